@@ -83,3 +83,23 @@ def words(text: Column) -> Column:
 def let(value: Column, body) -> Column:
     """body(value) with value worked out once."""
     return F.get(F.transform(F.array(value), lambda v: body(v)), F.lit(0))
+
+
+#: Rows up to which a counted table may be broadcast.
+BROADCAST_ROWS = 100_000
+
+
+def lookup_join(big: DataFrame, small: DataFrame, key: str, salts: int = 16) -> DataFrame:
+    """Left join of big to small, unique on key, nulls equal, without hot tasks.
+
+    small is counted first (pass a materialised table): a small one is
+    broadcast; a larger one is repeated once a salt and big's rows are dealt
+    over the salts, so that one key never lands in one task.
+    """
+    right = small.withColumnRenamed(key, "_key")
+    if small.count() <= BROADCAST_ROWS:
+        return big.join(F.broadcast(right), F.col(key).eqNullSafe(F.col("_key")), "left").drop("_key")
+    right = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    left = big.withColumn("_deal", F.pmod(F.xxhash64(*big.columns), F.lit(salts)).cast("int"))
+    on = F.col(key).eqNullSafe(F.col("_key")) & (F.col("_deal") == F.col("_salt"))
+    return left.join(right, on, "left").drop("_key", "_salt", "_deal")

@@ -6,19 +6,43 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pagemill.llm import fingerprints
-from pagemill.llm.common import table
+from pagemill.llm import chat, fingerprints, mixing, simhash, urls
+from pagemill.llm.common import materialise, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def _simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def _chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    planted = spark.createDataFrame(chat.PLANTED, rows.schema)
+    return chat.digests(materialise(chat.format_conversations(rows.unionByName(planted)), "chat"))
+
+
+def _urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge_pages(table(spark, sf_dir, "pages"))
+
+
+def _mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
 def _fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_edits(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Query]:
-    return {"op8_fingerprints": _fingerprints}
+    return {
+        "op1_simhash": _simhash,
+        "op5_chat": _chat,
+        "op6_urls": _urls,
+        "op7_mixing": _mixing,
+        "op8_fingerprints": _fingerprints,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_chat": chat.ORACLE, "op7_mixing": mixing.ORACLE}
