@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pagemill.llm import chat, fingerprints, mixing, simhash, urls
+from pagemill.llm import chat, fingerprints, mixing, simhash, tokens, urls
 from pagemill.llm.common import materialise, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,6 +16,12 @@ def _simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def _tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return tokens.token_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def _chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     planted = spark.createDataFrame(chat.PLANTED, rows.schema)
@@ -37,6 +43,7 @@ def _fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {
         "op1_simhash": _simhash,
+        "op2_tokens": _tokens,
         "op5_chat": _chat,
         "op6_urls": _urls,
         "op7_mixing": _mixing,
