@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pagemill.llm import chat, fingerprints, mixing, simhash, tokens, urls
+from pagemill.llm import chat, fingerprints, language, mixing, simhash, tokens, toxicity, urls
 from pagemill.llm.common import materialise, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,6 +22,14 @@ def _tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def _language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(table(spark, sf_dir, "documents"))
+
+
+def _toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.assess(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def _chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     planted = spark.createDataFrame(chat.PLANTED, rows.schema)
@@ -44,10 +52,12 @@ def queries() -> dict[str, Query]:
     return {
         "op1_simhash": _simhash,
         "op2_tokens": _tokens,
+        "op3_language": _language,
         "op5_chat": _chat,
         "op6_urls": _urls,
         "op7_mixing": _mixing,
         "op8_fingerprints": _fingerprints,
+        "op9_toxicity": _toxicity,
     }
 
 
