@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pagemill.llm import chat, fingerprints, language, mixing, simhash, tokens, toxicity, urls
+from pagemill.llm import chat, contamination, fingerprints, language, lines, mixing, simhash, tokens, toxicity, urls
 from pagemill.llm.common import materialise, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -48,16 +48,26 @@ def _fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_edits(table(spark, sf_dir, "documents"))
 
 
+def _contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.line_report(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_simhash": _simhash,
         "op2_tokens": _tokens,
         "op3_language": _language,
+        "op4_lines": _lines,
         "op5_chat": _chat,
         "op6_urls": _urls,
         "op7_mixing": _mixing,
         "op8_fingerprints": _fingerprints,
         "op9_toxicity": _toxicity,
+        "op10_contamination": _contamination,
     }
 
 
