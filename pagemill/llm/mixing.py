@@ -52,7 +52,7 @@ def targets(narrow: DataFrame, weights: tuple[float, ...], share: float, cap: fl
     onward = rising.rowsBetween(Window.currentRow, Window.unboundedFollowing)
     total = F.sum("source_size").over(every) * F.lit(float(share))
     by = by.withColumn("level", (total - F.coalesce(F.sum("most").over(before), F.lit(0.0))) / F.sum("w").over(onward))
-    by = by.withColumn("level", F.min(F.when(F.col("level") <= F.col("ratio"), F.col("level"))).over(every))
+    by = by.withColumn("level", F.max(F.when(F.col("level") <= F.col("ratio"), F.col("level"))).over(every))
     return by.select("source", "source_size", "source_mass", F.least("most", F.coalesce(F.col("level") * F.col("w"), F.col("most"))).alias("target"))
 
 
@@ -128,7 +128,7 @@ l AS (
   SELECT *, (CAST(sum(source_size) OVER () AS DOUBLE) * 1.5e0 - coalesce(sum(most) OVER (ORDER BY ratio, encode(source) NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0e0))
          / sum(w) OVER (ORDER BY ratio, encode(source) NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
   FROM r),
-t AS (SELECT source, source_size, least(most, coalesce((SELECT min(level) FROM l WHERE level <= ratio) * w, most)) AS target FROM l),
+t AS (SELECT source, source_size, least(most, coalesce((SELECT max(level) FROM l WHERE level <= ratio) * w, most)) AS target FROM l),
 c AS (
   SELECT d.doc_id, d.size, d.u, t.source, t.source_size, t.target,
          CASE WHEN t.source_size > 0 THEN floor(t.target / t.source_size) ELSE 0 END AS whole
