@@ -103,3 +103,13 @@ def lookup_join(big: DataFrame, small: DataFrame, key: str, salts: int = 16) ->
     left = big.withColumn("_deal", F.pmod(F.xxhash64(*big.columns), F.lit(salts)).cast("int"))
     on = F.col(key).eqNullSafe(F.col("_key")) & (F.col("_deal") == F.col("_salt"))
     return left.join(right, on, "left").drop("_key", "_salt", "_deal")
+
+
+def share(spark: SparkSession, value):
+    """Broadcast a value of bounded size, its class sent along by value."""
+    return spark.sparkContext.broadcast(cloudpickle.dumps(value))
+
+
+def shared_value(shared):
+    """What share() has sent, on an executor."""
+    return cloudpickle.loads(shared.value)

@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagemill.llm.common import materialise, ship
+from pagemill.llm.common import materialise, share, shared_value, ship
 
 WINDOW = 10
 SHARD_WORDS = 1 << 18
@@ -220,7 +220,7 @@ def _finder(shared, gap: int, span: int | None):
     schema = pa.schema([("part", pa.int64()), ("shard", pa.int64()), ("at", pa.int64()), ("doc_id", pa.int64()), ("n_words", pa.int64()), ("spans", pa.binary()), ("items", pa.binary())])
 
     def find(batches):
-        q = shared.value
+        q = shared_value(shared)
         for batch in batches:
             for i in range(batch.num_rows):
                 row = {c: batch.column(c)[i].as_py() for c in batch.schema.names}
@@ -279,7 +279,7 @@ def query_blocks(benchmark: DataFrame, window: int = WINDOW, block: int = BLOCK)
 def search(index: DataFrame, benchmark: DataFrame, window: int = WINDOW, span: int | None = None, block: int = BLOCK) -> DataFrame:
     """Spans and items by document: exact phrases, or within ``span`` words."""
     spark = index.sparkSession
-    found = [index.mapInArrow(_finder(spark.sparkContext.broadcast(q), window, span), FOUND_SCHEMA) for q in query_blocks(benchmark, window, block)]
+    found = [index.mapInArrow(_finder(share(spark, q), window, span), FOUND_SCHEMA) for q in query_blocks(benchmark, window, block)]
     if len(found) == 1:
         return found[0]
     every = found[0]

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagemill.llm.common import ship
+from pagemill.llm.common import share, shared_value, ship
 
 DOCS, PER_DOC, SAMPLE = 100, 2000, 40_000
 PIECE = 2048
@@ -150,7 +150,7 @@ def held_out(doc_id: Column, parts: int, part: int) -> Column:
 
 def _predictor(shared):
     def predict(batches):
-        model = shared.value
+        model = shared_value(shared)
         for batch in batches:
             texts = batch.column("text").to_pylist()
             langs, scores = [], []
@@ -175,7 +175,7 @@ def _predictor(shared):
 
 def predict(docs: DataFrame, model: Model, *keep: str) -> DataFrame:
     """The columns of keep, lang_pred and score; only text is looked at."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = share(docs.sparkSession, model)
     kinds = ", ".join(f"`{c}` {t}" for c, t in docs.select(*keep).dtypes)
     return docs.select(*keep, "text").mapInArrow(_predictor(shared), f"{kinds}, lang_pred string, score double")
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagemill.llm.common import ship
+from pagemill.llm.common import share, shared_value, ship
 from pagemill.llm.language import held_out
 
 ROWS, FEATURES, LEAST, SURE = 3000, 4096, 3, 4.5
@@ -144,7 +144,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
 
 def _scorer(shared):
     def score(batches):
-        model = shared.value
+        model = shared_value(shared)
         for batch in batches:
             texts = batch.column("text").to_pylist()
             out, at = [np.zeros(0)], 0
@@ -162,7 +162,7 @@ def _scorer(shared):
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id and score; only text is looked at."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = share(docs.sparkSession, model)
     kind = dict(docs.dtypes)["doc_id"]
     return docs.select("doc_id", "text").mapInArrow(_scorer(shared), f"doc_id {kind}, score double")
 
