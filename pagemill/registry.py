@@ -2,18 +2,538 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from pagemill import fixtures as fx
+from pagemill.functions import text as tx
+from pagemill.operators import boxes, extract, pixels, report
+from pagemill.plans import catalog
+from pagemill.sources import files
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+Query = Callable[[SparkSession, str], DataFrame]
+HAN_RE2 = r"\x{4e00}-\x{9fff}"
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None):
+    def put(f: Query) -> Query:
+        _QUERIES[name] = f
+        if sql:
+            _SQL[name] = sql
+        return f
+
+    return put
+
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
+
+def quote(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+def re2(pattern: str) -> str:
+    """A pattern of the catalog as RE2 spells it."""
+    out, inside, i = [], False, 0
+    while i < len(pattern):
+        c, two = pattern[i], pattern[i : i + 2]
+        if two == r"\w":
+            out.append(f"\\w{HAN_RE2}" if inside else f"[\\w{HAN_RE2}]")
+            i += 2
+        elif two == r"\s":
+            out.append(r"\s\x{3000}" if inside else r"[\s\x{3000}]")
+            i += 2
+        elif pattern.startswith(r"\p{No}", i):
+            i += 6
+        elif c == "\\":
+            out.append(two)
+            i += 2
+        else:
+            inside = c == "[" or inside and c != "]"
+            out.append(c)
+            i += 1
+    return "".join(out).replace("一-龥", r"\x{4e00}-\x{9fa5}")
+
+
+def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+# Document types
+
+def _score(profile: str, kind: str) -> str:
+    seen = "text" if profile == "lite" else "lower(text)"
+    return " + ".join(f"CAST(contains({seen}, {quote(w)}) AS INT)" for w in catalog.KEYWORDS[profile][kind])
+
+
+def _type_sql(profile: str) -> str:
+    kinds = list(catalog.KEYWORDS[profile])
+    top = ", ".join(_score(profile, k) for k in kinds)
+    cases = " ".join(f"WHEN ({_score(profile, k)}) = greatest({top}) THEN {quote(k)}" for k in kinds)
+    return f"CASE WHEN greatest({top}) = 0 THEN 'unknown' {cases} END"
+
+
+def _typed(profile: str) -> Query:
+    return lambda spark, d: fx.frame(spark, d, fx.INVOICES).select("doc_id", extract.document_type(F.col("text"), profile).alias("document_type"))
+
+
+for _p, _n in (("standard", "typ1_doctype"), ("lite", "typ2_doctype_lite")):
+    query(_n, f"SELECT doc_id, {_type_sql(_p)} AS document_type FROM ({fx.INVOICES}) t")(_typed(_p))
+
+
+@query("typ3_hint", f"SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'contract' ELSE {_type_sql('standard')} END AS document_type FROM ({fx.INVOICES}) t")
+def _hint(spark, d):
+    hint = F.when(F.col("doc_id") % 2 == 0, "contract").otherwise("auto")
+    return fx.frame(spark, d, fx.INVOICES).select("doc_id", extract.document_type(F.col("text"), hint=hint).alias("document_type"))
+
+
+def _route_values(profile: str) -> str:
+    return ", ".join(f"({quote(k)}, {quote(','.join(v))})" for k, v in catalog.ROUTES[profile].items())
+
+
+@query("typ4_routing", f"SELECT document_type, fields FROM (VALUES {_route_values('standard')}) AS v(document_type, fields)")
+def _routing(spark, d):
+    kinds = spark.createDataFrame([(k,) for k in catalog.ROUTES["standard"]], "document_type string")
+    return kinds.select("document_type", F.array_join(extract.routed(F.col("document_type")), ",").alias("fields"))
+
+
+@query("typ4_routing_lite", f"SELECT document_type, fields FROM (VALUES {_route_values('lite')}) AS v(document_type, fields)")
+def _routing_lite(spark, d):
+    kinds = spark.createDataFrame([(k,) for k in catalog.ROUTES["lite"]], "document_type string")
+    return kinds.select("document_type", F.array_join(extract.routed(F.col("document_type"), "lite"), ",").alias("fields"))
+
+
+# Text
+
+_wide, _plain = tx._halfwidth()
+_STRIP = r"regexp_replace(%s, '^[\s\x{3000}\x{a0}\x0b\x1c-\x1f]+|[\s\x{3000}\x{a0}\x0b\x1c-\x1f]+$', '', 'g')"
+
+
+def _words_sql(text: str) -> str:
+    plain, mixed = f"lower({text})", text
+    for wrong, right in tx.TYPOS.items():
+        plain = f"replace({plain}, '{wrong}', '{right}')"
+        for _ in range(2):
+            mixed = rf"regexp_replace({mixed}, '(?i)(^|[{HAN_RE2}]){wrong}([{HAN_RE2}]|$)', '\1{right}\2', 'g')"
+    return f"CASE WHEN regexp_matches({text}, '[{HAN_RE2}]') THEN {mixed} ELSE {plain} END"
+
+
+def _noise_sql(text: str) -> str:
+    return rf"array_to_string(list_transform(list_filter(string_split({text}, chr(10)), lambda l: regexp_matches(l, '[\p{{L}}\p{{N}}]') OR length(l) >= 3), lambda l: regexp_replace(l, '^[^\p{{L}}\p{{N}}_]+|[^\p{{L}}\p{{N}}_]+$', '', 'g')), chr(10))"
+
+
+def _space_sql(text: str) -> str:
+    return rf"regexp_replace(regexp_replace({text}, ' {{2,}}', ' ', 'g'), '\n{{3,}}', chr(10) || chr(10), 'g')"
+
+
+def _on_dirty(name: str, column: str, f, expr: str) -> None:
+    query(name, f"SELECT doc_id, {expr} AS {column} FROM ({fx.DIRTY}) t")(lambda spark, d: fx.frame(spark, d, fx.DIRTY).select("doc_id", f("text").alias(column)))
+
+
+_on_dirty("txt2_fullwidth", "text", tx.fullwidth_to_halfwidth, f"translate(text, '{_wide}', '{_plain}')")
+_on_dirty("txt3_words", "text", tx.correct_words, _words_sql("text"))
+_on_dirty("txt4_noise", "text", tx.remove_noise, _noise_sql("text"))
+_on_dirty("txt5_whitespace", "text", tx.normalize_whitespace, _space_sql("text"))
+_on_dirty("txt9_clean", "text", tx.clean_ocr_text, _STRIP % r"regexp_replace(regexp_replace(text, '[ \t]+', ' ', 'g'), '\n{3,}', chr(10) || chr(10), 'g')")
+_on_dirty("txt11_date", "iso_date", tx.normalize_date, r"""CASE
+  WHEN regexp_matches(text, '(\d{4})\s*年\s*(\d{1,2})\s*月\s*(\d{1,2})\s*日') THEN regexp_extract(text, '(\d{4})\s*年\s*(\d{1,2})\s*月\s*(\d{1,2})\s*日', 1) || '-' || lpad(regexp_extract(text, '(\d{4})\s*年\s*(\d{1,2})\s*月\s*(\d{1,2})\s*日', 2), 2, '0') || '-' || lpad(regexp_extract(text, '(\d{4})\s*年\s*(\d{1,2})\s*月\s*(\d{1,2})\s*日', 3), 2, '0')
+  WHEN regexp_matches(text, '[０-９]{4}') THEN translate(regexp_extract(text, '([０-９]{4})年([０-９]{2})月([０-９]{2})日', 1) || '-' || regexp_extract(text, '([０-９]{4})年([０-９]{2})月([０-９]{2})日', 2) || '-' || regexp_extract(text, '([０-９]{4})年([０-９]{2})月([０-９]{2})日', 3), '', '') END""")
+_on_dirty("txt12_phone", "phone", tx.normalize_phone, r"CASE WHEN length(regexp_replace(text, '[^0-9０-９]', '', 'g')) BETWEEN 10 AND 13 THEN regexp_replace(text, '[^0-9０-９]', '', 'g') END")
+_on_dirty("txt13_company", "company", tx.company_name, rf"nullif(regexp_extract(text, '([\x{{4e00}}-\x{{9fa5}}]+(?:{'|'.join(tx.COMPANY_ENDINGS)}))', 1), '')")
+_on_dirty("txt15_lines", "lines", lambda c: F.array_join(tx.text_lines(c), "|"), "array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda l: " + _STRIP % "l" + "), lambda l: l <> ''), '|')")
+
+
+@query("txt1_process", f"SELECT doc_id, {_STRIP % _space_sql('n')} AS text FROM (SELECT doc_id, {_noise_sql('w')} AS n FROM (SELECT doc_id, {_words_sql('f')} AS w FROM (SELECT doc_id, translate(text, '{_wide}', '{_plain}') AS f FROM ({fx.DIRTY}) t) a) b) c")
+def _process(spark, d):
+    return fx.frame(spark, d, fx.DIRTY).select("doc_id", tx.process_text("text").alias("text"))
+
+
+@query("txt6_page", f"SELECT doc_id, array_to_string(list_transform(string_split(text, chr(10)), lambda l: l), '|') AS lines FROM (SELECT doc_id, string_agg(line, chr(10) ORDER BY i) AS text FROM (SELECT doc_id, i, {_STRIP % _space_sql('n')} AS line FROM (SELECT doc_id, i, {_noise_sql('w')} AS n FROM (SELECT doc_id, i, {_words_sql('f')} AS w FROM (SELECT doc_id, i, translate(l, '{_wide}', '{_plain}') AS f FROM (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) AS i, unnest(string_split(text, chr(10))) AS l FROM ({fx.DIRTY}) t) s) a) b) c) e GROUP BY doc_id) g")
+def _page(spark, d):
+    lines = F.transform(F.split("text", "\n"), lambda t: F.struct(t.alias("text")))
+    return fx.frame(spark, d, fx.DIRTY).select("doc_id", F.array_join(F.transform(tx.process_lines(lines), lambda x: x["text"]), "|").alias("lines"))
+
+
+_AMOUNT_FIXTURE = f"SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN '¥1,' || CAST(doc_id AS STRING) || '.50元' WHEN 1 THEN 'CNY ' || CAST(doc_id AS STRING) WHEN 2 THEN CAST(doc_id AS STRING) || '.' WHEN 3 THEN 'abc, 12' WHEN 4 THEN '' ELSE 'rmb12.5.6' END AS text FROM ({fx.INVOICES}) t"
+
+
+@query("txt10_amount", rf"SELECT doc_id, TRY_CAST(nullif(replace(regexp_extract(regexp_replace(text, '(?i)[¥￥$€＄]|元|圆|CNY|RMB', '', 'g'), '[\d,]+\.?\d*'), ',', ''), '') AS DOUBLE) AS amount FROM ({_AMOUNT_FIXTURE}) a")
+def _amount(spark, d):
+    return fx.frame(spark, d, _AMOUNT_FIXTURE).select("doc_id", tx.normalize_amount("text").alias("amount"))
+
+
+@query("txt14_similarity", "SELECT doc_id, CASE WHEN length(text) = 0 OR length(source) = 0 THEN 0 ELSE CAST(floor(CAST(len(list_intersect(a, b)) AS DOUBLE) / len(list_distinct(list_concat(a, b))) * 100) AS INT) END AS similarity FROM (SELECT *, list_distinct(string_split(lower(text), '')) AS a, list_distinct(string_split(lower(source), '')) AS b FROM documents) t")
+def _similarity(spark, d):
+    return docs(spark, d).select("doc_id", tx.similarity("text", "source").alias("similarity"))
+
+
+# Merging lines
+
+_MERGE_SQL = """
+WITH RECURSIVE l AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY y, x, idx) AS r FROM ({lines}) t),
+g AS (
+  SELECT doc_id, r, y AS anchor, 1 AS g FROM l WHERE r = 1
+  UNION ALL
+  SELECT l.doc_id, l.r, CASE WHEN abs(l.y - g.anchor) <= {gap} THEN g.anchor ELSE l.y END, CASE WHEN abs(l.y - g.anchor) <= {gap} THEN g.g ELSE g.g + 1 END
+  FROM g JOIN l ON l.doc_id = g.doc_id AND l.r = g.r + 1)
+"""
+
+
+@query("txt7_merge_lines", _MERGE_SQL.format(lines=fx.LINES, gap=10) + """
+SELECT * FROM (SELECT l.doc_id, min(x) AS x, min(y) AS y, max(x + w) - min(x) AS w, max(y + h) - min(y) AS h, avg(confidence) AS confidence,
+  coalesce(string_agg(text, ' ' ORDER BY x, l.r) FILTER (trim(text) <> ''), '') AS text
+FROM l JOIN g ON l.doc_id = g.doc_id AND l.r = g.r GROUP BY l.doc_id, g.g) m WHERE text <> ''""")
+def _merge(spark, d):
+    lines = fx.frame(spark, d, fx.LINES).groupBy("doc_id").agg(F.collect_list(F.struct("idx", "x", "y", "w", "h", "text", "confidence")).alias("lines"))
+    return lines.select("doc_id", F.explode(boxes.merge_lines(F.col("lines"))).alias("m")).select("doc_id", "m.x", "m.y", "m.w", "m.h", "m.confidence", "m.text")
+
+
+@query("txt8_merge_texts", _MERGE_SQL.format(lines=fx.LINES, gap=5) + """
+SELECT * FROM (SELECT l.doc_id, min(y) AS y, coalesce(string_agg(text, ' ' ORDER BY x, l.r) FILTER (text <> ''), '') AS text
+FROM l JOIN g ON l.doc_id = g.doc_id AND l.r = g.r GROUP BY l.doc_id, g.g) m WHERE trim(text) <> ''""".replace("min(y) AS y, ", "").replace("SELECT * FROM (SELECT l.doc_id, ", "SELECT * FROM (SELECT l.doc_id, "))
+def _merge_texts(spark, d):
+    lines = fx.frame(spark, d, fx.LINES).groupBy("doc_id").agg(F.collect_list(F.struct("idx", "x", "y", "w", "h", "text", "confidence")).alias("lines"))
+    return lines.select("doc_id", F.explode(boxes.merge_texts(F.col("lines"))).alias("text"))
+
+
+# Fields
+
+def _fields_sql(profile: str, source: str = fx.INVOICES) -> str:
+    """Long rows of all fields by profile, from the same catalog."""
+    s = catalog.SCORING[profile]
+    own = catalog.fields(profile)
+    listed = [k for k in catalog.ROUTES[profile] if k != "unknown"]
+    branches = []
+    for kind, names in catalog.ROUTES[profile].items():
+        where = f"document_type = {quote(kind)}" if kind != "unknown" else f"document_type NOT IN ({', '.join(map(quote, listed))})"
+        for rank, name in enumerate(names):
+            f = own[name]
+            for i, (pattern, labelled) in enumerate(zip(f.patterns, f.labelled, strict=True)):
+                p = quote(re2(pattern))
+                value = _STRIP % f"regexp_extract(text, {p}, 1, 'i')"
+                valid = f"CASE WHEN regexp_matches({value}, {quote(re2(f.valid))}, 'i') THEN {s.valid}::DOUBLE ELSE 0::DOUBLE END" if f.valid and profile == "standard" else "0::DOUBLE"
+                score = f"least({s.cap}::DOUBLE, {s.base}::DOUBLE + {s.label if labelled else 0.0}::DOUBLE + CASE WHEN length({value}) >= {s.least} THEN {s.length}::DOUBLE ELSE 0::DOUBLE END + {valid})"
+                branches.append(f"SELECT doc_id, document_type, text, {quote(name)} AS field_type, {rank} AS r, {i} AS i, {value} AS value, {score} AS confidence, regexp_extract(text, {p}, 0, 'i') AS source_text FROM t WHERE {where} AND regexp_matches(text, {p}, 'i')")
+    order = "confidence DESC, r" if profile == "standard" else "r"
+    best = "(row_number() OVER (PARTITION BY doc_id, field_type ORDER BY confidence DESC, i)) AS k"
+    return f"""WITH t AS (SELECT doc_id, text, {_type_sql(profile)} AS document_type FROM ({source}) t0), c AS (SELECT *, {best} FROM ({' UNION ALL '.join(branches)}) u)
+SELECT doc_id, document_type, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY {order}) - 1 AS INT) AS rank, field_type, value, round(confidence, 6) AS confidence, source_text,
+  CAST(coalesce(list_position(list_transform(list_filter(string_split(text, chr(10)), lambda l: trim(l) <> ''), lambda l: contains(l, value)), true), 0) - 1 AS INT) AS source_line FROM c WHERE k = 1"""
+
+
+def _extracted(spark, d, profile="standard", **options):
+    rows = fx.frame(spark, d, fx.INVOICES).withColumnRenamed("text", "full_text")
+    return extract.extract(rows, profile, **options)
+
+
+def _long(profile: str) -> Query:
+    def run(spark, d):
+        rows = extract.fields_long(_extracted(spark, d, profile), "doc_id")
+        return rows.select("doc_id", "document_type", F.col("rank").cast("int").alias("rank"), "field_type", "value", F.round("confidence", 6).alias("confidence"), "source_text", "source_line")
+
+    return run
+
+
+query("ext1_fields_long", _fields_sql("standard"))(_long("standard"))
+query("ext8_fields_lite", _fields_sql("lite"))(_long("lite"))
+
+
+@query("ext1_summary", f"SELECT t.doc_id, t.document_type, CAST(count(f.field_type) AS INT) AS total_fields, CAST(count(*) FILTER (f.confidence >= 0.6) AS INT) AS high_confidence_fields FROM (SELECT doc_id, {_type_sql('standard')} AS document_type FROM ({fx.INVOICES}) t0) t LEFT JOIN ({_fields_sql('standard')}) f ON f.doc_id = t.doc_id GROUP BY 1, 2")
+def _summary(spark, d):
+    return extract.summary(_extracted(spark, d)).select("doc_id", "document_type", "total_fields", "high_confidence_fields")
+
+
+@query("ext6_get_field", f"SELECT doc_id, max(CASE WHEN field_type = 'amount_total' THEN value END) AS amount_total, max(CASE WHEN field_type = 'buyer_name' THEN value END) AS buyer_name FROM ({_fields_sql('standard')}) f GROUP BY doc_id")
+def _get_field(spark, d):
+    return _extracted(spark, d).filter(F.size("fields") > 0).select("doc_id", extract.get_field("amount_total").alias("amount_total"), extract.get_field("buyer_name").alias("buyer_name"))
+
+
+_META = ", ".join(f"({quote(f.name)}, {quote(f.category)})" for f in catalog.STANDARD)
+
+
+@query("ext7_category", f"SELECT category, count(*) AS n, string_agg(name, ',' ORDER BY name) AS fields FROM (VALUES {_META}) AS v(name, category) GROUP BY category")
+def _category(spark, d):
+    m = extract.metadata_frame(spark)
+    return m.groupBy("category").agg(F.count("*").alias("n"), F.array_join(F.sort_array(F.collect_list("field_type")), ",").alias("fields"))
+
+
+@query("ext1_amount_by_type", f"SELECT document_type, count(*) AS n, CAST(round(sum(CAST(value AS DOUBLE)), 2) AS DECIMAL(18,2))::DOUBLE AS amount FROM ({_fields_sql('standard')}) f WHERE field_type = 'amount_total' GROUP BY document_type")
+def _amounts(spark, d):
+    rows = extract.fields_long(_extracted(spark, d), "doc_id").filter("field_type = 'amount_total'")
+    return rows.groupBy("document_type").agg(F.count("*").alias("n"), F.round(F.sum(F.col("value").cast("double")), 2).alias("amount"))
+
+
+@query("ext1_all_fields")
+def _all_fields(spark, d):
+    rows = extract.fields_long(_extracted(spark, d, every=True), "doc_id")
+    return rows.select("doc_id", "document_type", "field_type", "value", "confidence")
+
+
+def _lined(spark, d):
+    """Invoice texts as recognized lines with boxes, every fifth document with a blank first line."""
+    rows = fx.frame(spark, d, fx.INVOICES).withColumn("text", F.when(F.col("doc_id") % 5 == 0, F.concat(F.lit(" \n"), F.col("text"))).otherwise(F.col("text")))
+    lines = rows.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_idx", "text"))
+    at = F.col("line_idx") * 12 + F.col("doc_id") % 7
+    return lines.select("doc_id", "line_idx", "text", F.lit(0.9).alias("confidence"), (F.col("doc_id") % 3).cast("int").alias("x"), at.cast("int").alias("y"), (F.char_length("text") * 9 + 1).alias("w"), F.lit(11).alias("h"))
+
+
+@query("ext5_boxes")
+def _boxes(spark, d):
+    rows = extract.fields_long(extract.extract(files.pages_of_lines(_lined(spark, d))), "doc_id")
+    return rows.select("doc_id", "field_type", "value", "source_line", "bbox.*")
+
+
+@query("ext9_value_boxes")
+def _value_boxes(spark, d):
+    rows = extract.extract(files.pages_of_lines(_lined(spark, d)), "lite")
+    return rows.select("doc_id", F.explode(extract.value_boxes(rows)).alias("b")).select("doc_id", "b.*")
+
+
+@query("src_pages_of_lines", f"SELECT doc_id, text AS full_text, CAST(len(string_split(text, chr(10))) AS INT) AS n_lines, CAST(0.9 AS DOUBLE) AS avg_confidence FROM (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN ' ' || chr(10) || text ELSE text END AS text FROM ({fx.INVOICES}) i) t")
+def _pages(spark, d):
+    return files.pages_of_lines(_lined(spark, d)).select("doc_id", "full_text", F.size("lines").alias("n_lines"), F.round("avg_confidence", 9).alias("avg_confidence"))
+
+
+# Boxes
+
+def _regions(spark, d):
+    return fx.frame(spark, d, fx.REGIONS)
+
+
+@query("box1_derived", f"SELECT doc_id, region_idx, CAST(w AS BIGINT) * h AS area, CAST(w AS DOUBLE) / greatest(h, 1) AS aspect_ratio, CAST(x + floor(w / 2) AS INT) AS center_x, CAST(y + floor(h / 2) AS INT) AS center_y FROM ({fx.REGIONS}) r")
+def _derived(spark, d):
+    return boxes.with_derived(_regions(spark, d)).select("doc_id", "region_idx", "area", "aspect_ratio", "center_x", "center_y")
+
+
+@query("det5_filter", f"SELECT doc_id, region_idx FROM ({fx.REGIONS}) r WHERE w * h BETWEEN 1500 AND 2500 AND CAST(w AS DOUBLE) / greatest(h, 1) BETWEEN 0.1 AND 4")
+def _sized(spark, d):
+    return boxes.filter_by_size(_regions(spark, d), 1500, 2500, 0.1, 4.0).select("doc_id", "region_idx")
+
+
+_IOU = "CASE WHEN {a}.w * {a}.h + {b}.w * {b}.h - {i} <= 0 THEN 0 ELSE CAST({i} AS DOUBLE) / ({a}.w * {a}.h + {b}.w * {b}.h - {i}) END"
+
+
+def _iou_sql(a: str, b: str) -> str:
+    i = f"(greatest(0, least({a}.x + {a}.w, {b}.x + {b}.w) - greatest({a}.x, {b}.x)) * greatest(0, least({a}.y + {a}.h, {b}.y + {b}.h) - greatest({a}.y, {b}.y)))"
+    return _IOU.format(a=a, b=b, i=i)
+
+
+@query("det6_nms", f"""WITH RECURSIVE b AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY confidence DESC, region_idx) AS r FROM ({fx.REGIONS}) q),
+k AS (SELECT doc_id, r, [struct_pack(x := x, y := y, w := w, h := h, id := region_idx)] AS kept FROM b WHERE r = 1
+UNION ALL SELECT b.doc_id, b.r, CASE WHEN len(list_filter(k.kept, lambda o: {_iou_sql('o', 'b')} >= 0.3)) > 0 THEN k.kept ELSE list_append(k.kept, struct_pack(x := b.x, y := b.y, w := b.w, h := b.h, id := b.region_idx)) END FROM k JOIN b ON b.doc_id = k.doc_id AND b.r = k.r + 1)
+SELECT doc_id, unnest(list_transform(kept, lambda o: o.id)) AS region_idx FROM (SELECT doc_id, arg_max(kept, r) AS kept FROM k GROUP BY doc_id) z""")
+def _nms(spark, d):
+    return boxes.suppress(_regions(spark, d)).select("doc_id", "region_idx")
+
+
+@query("det7_iou", f"SELECT a.doc_id, a.region_idx AS i, b.region_idx AS j, {_iou_sql('a', 'b')} AS iou FROM ({fx.REGIONS}) a JOIN ({fx.REGIONS}) b ON a.doc_id = b.doc_id AND b.region_idx = a.region_idx + 1")
+def _iou(spark, d):
+    r = _regions(spark, d)
+    pair = lambda p: F.struct("x", "y", "w", "h").alias(p)
+    a = r.select("doc_id", F.col("region_idx").alias("i"), pair("a"))
+    b = r.select("doc_id", (F.col("region_idx") - 1).alias("i"), F.col("region_idx").alias("j"), pair("b"))
+    return a.join(b, ["doc_id", "i"]).select("doc_id", "i", "j", boxes.iou(F.col("a"), F.col("b")).alias("iou"))
+
+
+@query("det8_confident", f"SELECT doc_id, count(*) AS n FROM ({fx.REGIONS}) r WHERE confidence >= 0.65 GROUP BY doc_id")
+def _confident(spark, d):
+    return boxes.filter_by_confidence(_regions(spark, d), 0.65).groupBy("doc_id").agg(F.count("*").alias("n"))
+
+
+@query("det9_order", f"SELECT doc_id, region_idx, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY y, x, region_idx) - 1 AS INT) AS \"order\" FROM ({fx.REGIONS}) r")
+def _order(spark, d):
+    return boxes.reading_order(_regions(spark, d)).select("doc_id", "region_idx", "order")
+
+
+@query("det1_detect")
+def _detect(spark, d):
+    return boxes.detect(_regions(spark, d)).select("doc_id", "region_idx", "order")
+
+
+@query("det10_points", f"SELECT doc_id, count(*) AS n, min(x) AS x, min(y) AS y, max(x + w) - min(x) AS w, max(y + h) - min(y) AS h FROM ({fx.REGIONS}) r GROUP BY doc_id")
+def _points(spark, d):
+    corner = lambda a, b: F.struct(a.cast("double").alias("x"), b.cast("double").alias("y"))
+    both = F.flatten(F.collect_list(F.array(corner(F.col("x"), F.col("y")), corner(F.col("x") + F.col("w"), F.col("y") + F.col("h")))))
+    rows = _regions(spark, d).groupBy("doc_id").agg(F.count("*").alias("n"), both.alias("pts"))
+    return rows.select("doc_id", "n", boxes.points_to_box(F.col("pts")).alias("b")).select("doc_id", "n", "b.*")
+
+
+_POSITION = "CASE WHEN (y + CAST(h AS DOUBLE) / 2) / height < 0.15 THEN CASE WHEN h > height * 0.03e0 THEN 'title' ELSE 'header' END WHEN (y + CAST(h AS DOUBLE) / 2) / height > 0.90e0 THEN 'footer' WHEN (y + CAST(h AS DOUBLE) / 2) / height < 0.4e0 AND w > width * 0.5e0 THEN 'title' ELSE 'body' END"
+_PLACED = f"SELECT r.doc_id, region_idx, x, CAST(y * 25 AS INT) AS y, w, CAST(CASE WHEN region_idx % 2 = 0 THEN h ELSE 10 END AS INT) AS h, height, width FROM ({fx.REGIONS}) r JOIN ({fx.PAGES}) p ON p.doc_id = r.doc_id"
+
+
+@query("cls3_position", f"SELECT doc_id, region_idx, {_POSITION} AS region_type FROM ({_PLACED}) q")
+def _position(spark, d):
+    return fx.frame(spark, d, _PLACED).select("doc_id", "region_idx", boxes.class_by_position(F.col("height"), F.col("width")).alias("region_type"))
+
+
+@query("lay7_region", f"SELECT doc_id, region_idx, CASE WHEN y + floor(h / 2) < height * 0.15e0 THEN 'header' WHEN y + floor(h / 2) > height * 0.85e0 THEN 'footer' WHEN CAST(w AS DOUBLE) / greatest(h, 1) < 0.2e0 OR CAST(w AS DOUBLE) / greatest(h, 1) > 5.0e0 THEN 'sidebar' WHEN CAST(w AS DOUBLE) * h / (CAST(width AS DOUBLE) * height) > 0.3e0 THEN 'table' ELSE 'body' END AS region_type FROM ({_PLACED}) q")
+def _layout_class(spark, d):
+    return fx.frame(spark, d, _PLACED).select("doc_id", "region_idx", boxes.layout_class(F.col("height"), F.col("width")).alias("region_type"))
+
+
+_COVER = "greatest(0, least(r.x + r.w, l.x + l.w) - greatest(r.x, l.x)) * greatest(0, least(r.y + r.h, l.y + l.h) - greatest(r.y, l.y))"
+_OVERLAP = f"SELECT doc_id, region_idx, region_type FROM (SELECT r.doc_id, r.region_idx, CASE WHEN coalesce({_COVER}, 0) > 0 THEN l.region_type ELSE 'body' END AS region_type, row_number() OVER (PARTITION BY r.doc_id, r.region_idx ORDER BY coalesce({_COVER}, 0) DESC, l.layout_idx) AS k FROM ({fx.REGIONS}) r LEFT JOIN ({fx.LAYOUT}) l ON l.doc_id = r.doc_id) z WHERE k = 1"
+
+
+@query("cls2_overlap", _OVERLAP)
+def _overlap(spark, d):
+    return boxes.class_by_overlap(_regions(spark, d), fx.frame(spark, d, fx.LAYOUT)).select("doc_id", "region_idx", "region_type")
+
+
+@query("cls1_classify", f"SELECT o.doc_id, o.region_idx, CASE WHEN o.doc_id % 3 <> 0 THEN o.region_type ELSE p.region_type END AS region_type FROM ({_OVERLAP}) o JOIN (SELECT doc_id, region_idx, {_POSITION} AS region_type FROM (SELECT *, 600 AS height, 200 AS width FROM ({fx.REGIONS}) r) q) p ON p.doc_id = o.doc_id AND p.region_idx = o.region_idx")
+def _classify(spark, d):
+    return boxes.classify(_regions(spark, d), fx.frame(spark, d, fx.LAYOUT), 600, 200).select("doc_id", "region_idx", "region_type")
+
+
+@query("cls4_histogram", f"SELECT doc_id, region_type, count(*) AS n FROM ({_OVERLAP}) o GROUP BY doc_id, region_type")
+def _histogram(spark, d):
+    return boxes.count_types(boxes.class_by_overlap(_regions(spark, d), fx.frame(spark, d, fx.LAYOUT)))
+
+
+# Pixels
+
+@query("img1_gray", "SELECT doc_id, CAST(list_sum(list_transform(px, lambda v: CAST(floor(v * 0.299e0 + v * 0.587e0 + v * 0.114e0 + 0.5e0) AS INT))) AS BIGINT) AS total FROM (" + fx.GRIDS + ") g")
+def _gray(spark, d):
+    total = F.aggregate(pixels.rgb_to_gray(pixels.gray_to_rgb(F.col("px"))), F.lit(0).cast("bigint"), lambda s, v: s + v)
+    return fx.grids(spark, d).select("doc_id", total.alias("total"))
+
+
+@query("img9_bytes", "SELECT doc_id, CAST(list_sum(list_transform(px, lambda v: CAST(floor(v / 255e0 * 255e0) AS INT))) AS BIGINT) AS total FROM (" + fx.GRIDS + ") g")
+def _bytes(spark, d):
+    values = F.transform("px", lambda v: v / F.lit(255.0))
+    return fx.grids(spark, d).select("doc_id", F.aggregate(pixels.ensure_bytes(values), F.lit(0).cast("bigint"), lambda s, v: s + v).alias("total"))
+
+
+@query("img10_dpi", f"SELECT doc_id, greatest(72, least(600, CAST(floor(72e0 * sqrt(CAST(height AS DOUBLE) * 3 * (width * 3) / (595e0 * 842e0))) AS INT))) AS dpi FROM ({fx.PAGES}) p")
+def _dpi(spark, d):
+    return fx.frame(spark, d, fx.PAGES).select("doc_id", pixels.estimate_dpi(F.col("height") * 3, F.col("width") * 3).alias("dpi"))
+
+
+_BITS = "list_transform(range(0, 49), lambda i: CASE WHEN px[(i // 7) * 8 + i % 7 + 2] > px[(i // 7) * 8 + i % 7 + 1] THEN '1' ELSE '0' END)"
+
+
+@query("img11_dhash", f"SELECT doc_id, array_to_string(list_transform(range(0, 12), lambda k: substr('0123456789abcdef', 1 + CAST(b[k * 4 + 1] AS INT) * 8 + CAST(b[k * 4 + 2] AS INT) * 4 + CAST(b[k * 4 + 3] AS INT) * 2 + CAST(b[k * 4 + 4] AS INT), 1)), '') AS hash FROM (SELECT doc_id, {_BITS} AS b FROM ({fx.GRIDS}) g) h")
+def _dhash(spark, d):
+    return fx.grids(spark, d).select("doc_id", pixels.difference_hash(F.col("px"), 7).alias("hash"))
+
+
+@query("img6_otsu", f"""WITH l AS (SELECT doc_id, v, count(*) AS n FROM (SELECT doc_id, unnest(px) AS v FROM ({fx.GRIDS}) g) u GROUP BY 1, 2),
+s AS (SELECT doc_id, v, sum(n) OVER a AS n0, sum(n * v) OVER a AS s0, sum(n) OVER b AS al, sum(n * v) OVER b AS tot FROM l WINDOW a AS (PARTITION BY doc_id ORDER BY v ROWS UNBOUNDED PRECEDING), b AS (PARTITION BY doc_id)),
+m AS (SELECT doc_id, v, coalesce(CAST(n0 AS DOUBLE) * (al - n0) * (CAST(s0 AS DOUBLE) / n0 - CAST(tot - s0 AS DOUBLE) / nullif(al - n0, 0)) * (CAST(s0 AS DOUBLE) / n0 - CAST(tot - s0 AS DOUBLE) / nullif(al - n0, 0)), 0) AS k FROM s)
+SELECT doc_id, v AS threshold FROM (SELECT doc_id, v, row_number() OVER (PARTITION BY doc_id ORDER BY k DESC, v) AS r FROM m) q WHERE r = 1""")
+def _otsu(spark, d):
+    return pixels.otsu(fx.grids(spark, d))
+
+
+@query("lay3_header", f"SELECT doc_id, 0 AS x, 0 AS y, width AS w, height AS h, 'header' AS region_type, 0.6::DOUBLE AS confidence FROM ({fx.GRIDS}) g WHERE CAST(len(list_filter(px, lambda v: v = 255)) AS DOUBLE) / 64 < 0.95e0")
+def _header(spark, d):
+    rows = fx.grids(spark, d).select("doc_id", pixels.strip_box(F.col("height"), F.col("width"), F.col("px")).alias("b"))
+    return rows.filter(F.col("b").isNotNull()).select("doc_id", "b.*")
+
+
+@query("lay4_footer", f"SELECT doc_id, 0 AS x, 0 AS y, width AS w, height AS h, 'footer' AS region_type, 0.6::DOUBLE AS confidence FROM ({fx.GRIDS}) g WHERE CAST(len(list_filter(px, lambda v: v = 255)) AS DOUBLE) / 64 < 0.95e0")
+def _footer(spark, d):
+    rows = fx.grids(spark, d).select("doc_id", pixels.strip_box(F.col("height"), F.col("width"), F.col("px"), bottom=True).alias("b"))
+    return rows.filter(F.col("b").isNotNull()).select("doc_id", "b.*")
+
+
+@query("img7_angle", f"SELECT doc_id, CASE WHEN abs(a) < 0.5e0 THEN 0e0 ELSE a END AS angle FROM (SELECT doc_id, median(CASE WHEN g > 45 THEN g - 90 WHEN g < -45 THEN g + 90 ELSE g END) AS a FROM (SELECT doc_id, degrees(atan2(CAST(h AS DOUBLE), CAST(w AS DOUBLE))) AS g FROM ({fx.REGIONS}) r) q GROUP BY doc_id) z")
+def _angle(spark, d):
+    lines = _regions(spark, d).select("doc_id", F.lit(0.0).alias("x1"), F.lit(0.0).alias("y1"), F.col("w").cast("double").alias("x2"), F.col("h").cast("double").alias("y2"))
+    return pixels.skew_angle(lines)
+
+
+@query("lay6_red", "SELECT doc_id, len(list_filter(px, lambda v: ((v % 181) BETWEEN 0 AND 10 OR (v % 181) BETWEEN 160 AND 180) AND v >= 70)) AS n FROM (" + fx.GRIDS + ") g")
+def _red(spark, d):
+    return fx.grids(spark, d).select("doc_id", F.size(F.filter("px", lambda v: pixels.is_red(v % 181, v, v))).cast("bigint").alias("n"))
+
+
+# Reports and sinks
+
+@query("rpt1_color", f"SELECT doc_id, field_type, CASE WHEN confidence >= 0.8e0 THEN 'rgb(0,200,0)' WHEN confidence >= 0.6e0 THEN 'rgb(0,165,255)' ELSE 'rgb(0,0,255)' END AS color FROM ({_fields_sql('standard').replace('round(confidence, 6) AS confidence', 'confidence')}) f")
+def _color(spark, d):
+    return extract.fields_long(_extracted(spark, d), "doc_id").select("doc_id", "field_type", report.confidence_color(F.col("confidence")).alias("color"))
+
+
+@query("rpt2_percent", f"SELECT doc_id, field_type, CAST(round_even(confidence * 100, 0) AS INT) AS pct, CASE WHEN round_even(confidence * 100, 0) >= 80 THEN '#28a745' WHEN round_even(confidence * 100, 0) >= 60 THEN '#fd7e14' ELSE '#dc3545' END AS color FROM ({_fields_sql('standard')}) f")
+def _percent(spark, d):
+    rows = extract.fields_long(_extracted(spark, d), "doc_id")
+    return rows.select("doc_id", "field_type", report.percent(F.col("confidence")).alias("pct"), report.percent_color(F.col("confidence")).alias("color"))
+
+
+@query("rpt3_palette", f"SELECT region_type, max(CASE region_type {' '.join(f'WHEN {quote(k)} THEN {quote(f'rgb({c[0]},{c[1]},{c[2]})')}' for k, c in report.REGION_COLORS.items())} ELSE 'rgb(200,200,200)' END) AS color, count(*) AS n FROM ({_OVERLAP}) o GROUP BY region_type")
+def _palette(spark, d):
+    rows = boxes.class_by_overlap(_regions(spark, d), fx.frame(spark, d, fx.LAYOUT))
+    return rows.groupBy("region_type").agg(F.max(report.region_color(F.col("region_type"))).alias("color"), F.count("*").alias("n"))
+
+
+@query("rpt7_templates", f"SELECT document_type, name, description, field_types FROM (VALUES {', '.join(f'({quote(k)}, {quote(n)}, {quote(a)}, {quote(chr(44).join(o))})' for k, n, a, o in catalog.TEMPLATES['standard'])}) AS v(document_type, name, description, field_types)")
+def _templates(spark, d):
+    return report.templates(spark).withColumn("field_types", F.array_join("field_types", ","))
+
+
+@query("rpt10_title", f"SELECT doc_id, CASE document_type {' '.join(f'WHEN {quote(k)} THEN {quote(v)}' for k, v in catalog.TYPE_TITLES.items())} ELSE document_type END AS title FROM (SELECT doc_id, {_type_sql('lite')} AS document_type FROM ({fx.INVOICES}) t) q")
+def _title(spark, d):
+    return fx.frame(spark, d, fx.INVOICES).select("doc_id", report.type_title(extract.document_type(F.col("text"), "lite")).alias("title"))
+
+
+@query("rpt4_annotations")
+def _annotations(spark, d):
+    rows = extract.extract(files.pages_of_lines(_lined(spark, d)))
+    marks = report.annotations(F.col("fields"))
+    return rows.select("doc_id", F.size(marks).alias("n"), report.svg(F.lit(400), F.lit(200), marks).alias("svg"))
+
+
+@query("snk4_html")
+def _html(spark, d):
+    return _extracted(spark, d).select("doc_id", report.html(F.col("doc_id"), F.col("document_type"), F.col("fields"), F.col("full_text")).alias("html"))
+
+
+@query("snk2_json")
+def _json(spark, d):
+    rows = _extracted(spark, d)
+    return rows.select("doc_id", report.extraction_json(rows).alias("json"))
+
+
+@query("snk1_result_json", f"SELECT doc_id, CASE WHEN doc_id % 9 = 0 THEN '{{\"success\":false,\"extraction\":null,\"error\":\"cannot decode image\"}}' ELSE '{{\"success\":true,\"extraction\":\"' || document_type || '\"}}' END AS json FROM (SELECT doc_id, {_type_sql('standard')} AS document_type FROM ({fx.INVOICES}) t) q")
+def _result_json(spark, d):
+    bad = F.col("doc_id") % 9 == 0
+    rows = fx.frame(spark, d, fx.INVOICES).withColumn("k", extract.document_type(F.col("text")))
+    return rows.select("doc_id", report.result_json(~bad, F.when(bad, "cannot decode image"), F.when(~bad, F.col("k"))).alias("json"))
+
+
+@query("snk8_response", f"SELECT t.doc_id, true AS success, t.document_type, s.total_fields, s.high_confidence_fields, substr(t.text, 1, 500) AS ocr_text FROM (SELECT doc_id, text, {_type_sql('standard')} AS document_type FROM ({fx.INVOICES}) t0) t JOIN ({_SQL['ext1_summary']}) s ON s.doc_id = t.doc_id")
+def _response(spark, d):
+    return report.response(_extracted(spark, d))
+
+
+@query("snk9_batch", f"SELECT count(*) AS total, count(*) FILTER (doc_id % 9 <> 0) AS successful, count(*) FILTER (doc_id % 9 = 0) AS failed FROM ({fx.INVOICES}) t")
+def _batch(spark, d):
+    return report.batch_summary(fx.frame(spark, d, fx.INVOICES).select((F.col("doc_id") % 9 != 0).alias("success")))
+
+
+@query("snk6_console")
+def _console(spark, d):
+    rows = _extracted(spark, d)
+    return rows.select("doc_id", F.array_join(report.console_lines(rows), "\n").alias("summary"))
+
+
+@query("rpt9_empty_page", f"SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 'no text was recognized' END AS warning FROM ({fx.INVOICES}) t")
+def _empty(spark, d):
+    lines = F.when(F.col("doc_id") % 4 == 0, F.array().cast("array<string>")).otherwise(F.split("text", "\n"))
+    return fx.frame(spark, d, fx.INVOICES).select("doc_id", report.empty_page(lines).alias("warning"))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    return _QUERIES["ext1_fields_long"](spark, sf_dir)
