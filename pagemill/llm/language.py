@@ -73,13 +73,13 @@ class Model:
     def __init__(self, samples: dict[str, bytes]):
         self.langs = sorted(samples, key=lambda s: [ord(c) for c in s])
         used = sorted({c for s in samples.values() for c in s})
-        self.classes = np.zeros(256, np.int32)
+        self.classes = np.zeros(256, np.uint8)
         self.classes[used] = np.arange(1, len(used) + 1)
         width = len(used) + 1
         rows, self.roots, base = [], [], 0
         for lang in self.langs:
             go = automaton(samples[lang])
-            start = np.full(width, base * width)
+            start = np.full(width, base * width, np.int64)
             for c, to in go[0].items():
                 start[self.classes[c]] = (base + to) * width
             table = np.tile(start * 2 + 1, (len(go), 1))
@@ -107,7 +107,7 @@ class Model:
         live = np.searchsorted(-lengths, -np.arange(lengths[0]), side="left")
         for t in range(lengths[0]):
             n = live[t]
-            step = self.table.take(state[:, :n] + flat[t, :n])
+            step = self.table.take(state[:, :n] + flat[t, :n].astype(np.int32))
             count[:, :n] += step & 1
             state[:, :n] = step >> 1
         owner = np.array([p[0] for p in pieces])
@@ -148,36 +148,36 @@ def held_out(doc_id: Column, parts: int, part: int) -> Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(parts)) == part, F.lit(False))
 
 
-def _predictor(shared):
+def _predictor(shared, text_at: int, keep: int):
     def predict(batches):
         model = shared_value(shared)
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            langs, scores = [], []
-            at = 0
-            while at < len(texts):
-                upto, chars = at, 0
-                while upto < len(texts) and (upto == at or chars < 1 << 23):
-                    chars += len(texts[upto] or "")
-                    upto += 1
-                a, b = model.predict(texts[at:upto])
-                langs += a
-                scores.append(b)
-                at = upto
-            names = [c for c in batch.schema.names if c != "text"]
+            column = batch.column(text_at)
+            langs, scores, at = [], [np.zeros(0)], 0
+            while at < len(column):
+                texts, chars = [], 0
+                while at < len(column) and (not texts or chars < 1 << 21):
+                    texts.append(column[at].as_py())
+                    chars += len(texts[-1] or "")
+                    at += 1
+                own, score = model.predict(texts)
+                langs += own
+                scores.append(score)
             yield pa.RecordBatch.from_arrays(
-                [*[batch.column(c) for c in names], pa.array(langs, pa.string()), pa.array(np.concatenate(scores) if scores else np.zeros(0))],
-                names=[*names, "lang_pred", "score"],
+                [*batch.columns[:keep], pa.array(langs, pa.string()), pa.array(np.concatenate(scores))],
+                names=[*batch.schema.names[:keep], "lang_pred", "score"],
             )
 
     return predict
 
 
 def predict(docs: DataFrame, model: Model, *keep: str) -> DataFrame:
-    """The columns of keep, lang_pred and score; only text is looked at."""
+    """The columns of keep as _0, _1, ..., and lang_pred and score; only text is looked at."""
     shared = share(docs.sparkSession, model)
-    kinds = ", ".join(f"`{c}` {t}" for c, t in docs.select(*keep).dtypes)
-    return docs.select(*keep, "text").mapInArrow(_predictor(shared), f"{kinds}, lang_pred string, score double")
+    columns = list(keep) if "text" in keep else [*keep, "text"]
+    rows = docs.select(*[F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(columns)])
+    kinds = "".join(f"{c} {t}, " for c, t in rows.dtypes[: len(keep)])
+    return rows.mapInArrow(_predictor(shared, columns.index("text"), len(keep)), f"{kinds}lang_pred string, score double")
 
 
 def learned(docs: DataFrame) -> Model:
@@ -187,15 +187,14 @@ def learned(docs: DataFrame) -> Model:
 
 def identify(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, lang_pred and score, learned from the rest."""
-    out = predict(docs, learned(docs), "doc_id")
+    out = predict(docs, learned(docs), "doc_id").withColumnRenamed("_0", "doc_id")
     return out.select("doc_id", held_out(F.col("doc_id"), 4, 2).alias("held_out"), "lang_pred", "score")
 
 
 def keep_identified(docs: DataFrame) -> DataFrame:
     """The documents, all columns, whose language is not unknown."""
-    plain = docs.withColumn("_own", F.struct(*docs.columns))
-    out = predict(plain, learned(docs), "_own")
-    return out.filter(F.col("lang_pred") != UNKNOWN).select("_own.*")
+    out = predict(docs, learned(docs), *docs.columns).filter(F.col("lang_pred") != UNKNOWN)
+    return out.select(*[F.col(f"_{i}").alias(c) for i, c in enumerate(docs.columns)])
 
 
 ship(__name__)
