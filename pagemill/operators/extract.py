@@ -9,20 +9,23 @@ from pagemill.functions.text import FLAGS, strip
 from pagemill.plans import catalog
 
 
-def type_scores(text: Column, profile: str = "standard") -> dict[str, Column]:
-    """How many listed words of each type a text holds; lite minds case."""
-    seen = text if profile == "lite" else F.lower(text)
+def let(value: Column, body) -> Column:
+    """body(value) with value worked out once, which no later projection undoes."""
+    return F.get(F.transform(F.array(value), lambda v: body(v)), F.lit(0))
+
+
+def type_scores(seen: Column, profile: str = "standard") -> dict[str, Column]:
+    """How many listed words of each type a text holds."""
     return {k: sum((F.contains(seen, F.lit(w)).cast("int") for w in words), F.lit(0)) for k, words in catalog.KEYWORDS[profile].items()}
 
 
 def document_type(text: Column, profile: str = "standard", hint: Column | None = None) -> Column:
     """The type of the highest score, the first of equals; unknown without a word.
 
-    A hint other than "auto" decides alone.
+    Lite minds case.  A hint other than "auto" decides alone.
     """
-    scores = list(type_scores(text, profile).items())
-    best = F.array_max(F.array(*[F.struct(s.alias("score"), F.lit(-i).alias("i"), F.lit(k).alias("type")) for i, (k, s) in enumerate(scores)]))
-    found = F.when(best["score"] > 0, best["type"]).otherwise("unknown")
+    best = lambda seen: F.array_max(F.array(*[F.struct(s.alias("score"), F.lit(-i).alias("i"), F.lit(k).alias("type")) for i, (k, s) in enumerate(type_scores(seen, profile).items())]))
+    found = let(text if profile == "lite" else F.lower(text), lambda seen: let(best(seen), lambda b: F.when(b["score"] > 0, b["type"]).otherwise("unknown")))
     return found if hint is None else F.when(F.coalesce(hint, F.lit("auto")) != "auto", hint).otherwise(found)
 
 
@@ -61,12 +64,14 @@ def _candidates(text: Column, kind: Column, profile: str, every: bool) -> Column
 def _scored(found: Column, profile: str) -> Column:
     s = catalog.SCORING[profile]
 
+    def points(c: Column, value: Column) -> Column:
+        total = F.lit(s.base) + F.when(c["labelled"], F.lit(s.label)).otherwise(F.lit(0.0))
+        total = total + F.when(F.char_length(value) >= s.least, F.lit(s.length)).otherwise(F.lit(0.0))
+        total = total + F.when(F.coalesce(F.rlike(value, c["valid"]), F.lit(False)), F.lit(s.valid)).otherwise(F.lit(0.0))
+        return F.struct(c["field"].alias("field"), c["i"].alias("i"), value.alias("value"), F.least(total, F.lit(s.cap)).alias("confidence"), c["source_text"].alias("source_text"))
+
     def one(c: Column) -> Column:
-        value = strip(c["value"])
-        points = F.lit(s.base) + F.when(c["labelled"], F.lit(s.label)).otherwise(F.lit(0.0))
-        points = points + F.when(F.char_length(value) >= s.least, F.lit(s.length)).otherwise(F.lit(0.0))
-        points = points + F.when(F.coalesce(F.rlike(value, c["valid"]), F.lit(False)), F.lit(s.valid)).otherwise(F.lit(0.0))
-        return F.struct(c["field"].alias("field"), c["i"].alias("i"), value.alias("value"), F.least(points, F.lit(s.cap)).alias("confidence"), c["source_text"].alias("source_text"))
+        return let(strip(c["value"]), lambda value: points(c, value))
 
     return F.transform(found, one)
 
@@ -81,47 +86,44 @@ def extract(pages: DataFrame, profile: str = "standard", hint: str | None = None
     of the non-blank lines.
     """
     has_lines = "lines" in pages.columns
-    line_texts = F.filter(F.transform("lines", lambda x: x["text"]), lambda t: strip(t) != "") if has_lines else None
-    text = F.coalesce(F.col("full_text"), F.lit("")) if "full_text" in pages.columns else F.lit("")
-    if has_lines:
-        text = F.when(text == "", F.array_join(line_texts, "\n")).otherwise(text)
-    else:
-        line_texts = F.filter(F.split(text, "\n"), lambda t: strip(t) != "")
-    df = pages.withColumn("_text", text).withColumn("_lines", line_texts)
-    df = df.withColumn("document_type", document_type(F.col("_text"), profile, F.col(hint) if hint else None))
-    df = df.withColumn("_found", _candidates(F.col("_text"), F.col("document_type"), profile, every))
-    df = df.withColumn("_scored", _scored(F.col("_found"), profile))
-    df = df.withColumn("_route", F.array(*[F.lit(f.name) for f in catalog.PROFILES[profile]]) if every else routed(F.col("document_type"), profile))
-    best = F.filter("_scored", lambda c: ~F.exists("_scored", lambda o: (o["field"] == c["field"]) & ((o["confidence"] > c["confidence"]) | ((o["confidence"] == c["confidence"]) & (o["i"] < c["i"])))))
-    no_box = F.struct(*[F.lit(0).alias(k) for k in "xywh"])
+    full = F.coalesce(F.col("full_text"), F.lit("")) if "full_text" in pages.columns else F.lit("")
+    own = F.transform("lines", lambda x: x["text"]) if has_lines else F.split(full, "\n")
+    return pages.withColumn("_e", let(F.filter(own, lambda t: strip(t) != ""), lambda lines: let(F.when(full == "", F.array_join(lines, "\n")).otherwise(full), lambda text: let(document_type(text, profile, F.col(hint) if hint else None), lambda kind: _extracted(text, lines, kind, has_lines, profile, every, aligned))))).select(*[c for c in pages.columns], "_e.document_type", "_e.fields")
+
 
-    def line_of(value: Column) -> Column:
-        return F.coalesce(F.array_position(F.transform("_lines", lambda t: F.contains(t, value)), True).cast("int") - 1, F.lit(-1))
+def _extracted(text: Column, lines: Column, kind: Column, has_lines: bool, profile: str, every: bool, aligned: bool) -> Column:
+    """struct(document_type, fields)."""
+    no_box = F.struct(*[F.lit(0).alias(k) for k in "xywh"])
+    digits = catalog.SCORING[profile].digits
 
     def box_of(at: Column) -> Column:
         if not has_lines:
             return no_box
-        lines = F.filter("lines", lambda x: strip(x["text"]) != "") if aligned else F.col("lines")
-        box = F.get(F.transform(lines, lambda x: F.struct(*[x[k].cast("int").alias(k) for k in "xywh"])), F.when(at >= 0, at))
+        rows = F.filter("lines", lambda x: strip(x["text"]) != "") if aligned else F.col("lines")
+        box = F.get(F.transform(rows, lambda x: F.struct(*[x[k].cast("int").alias(k) for k in "xywh"])), F.when(at >= 0, at))
         return F.coalesce(box, no_box)
 
-    digits = catalog.SCORING[profile].digits
-    rows = F.transform(
-        best,
-        lambda c: F.struct(
+    def best(scored: Column) -> Column:
+        better = lambda o, c: (o["field"] == c["field"]) & ((o["confidence"] > c["confidence"]) | ((o["confidence"] == c["confidence"]) & (o["i"] < c["i"])))
+        return F.filter(scored, lambda c: ~F.exists(scored, lambda o: better(o, c)))
+
+    def ranked(found: Column, order: Column) -> Column:
+        line_of = lambda value: F.coalesce(F.array_position(F.transform(lines, lambda t: F.contains(t, value)), True).cast("int") - 1, F.lit(-1))
+        row = lambda c: F.struct(
             (F.lit(0.0) if profile == "lite" else -c["confidence"]).alias("o"),
-            F.array_position("_route", c["field"]).alias("r"),
+            F.array_position(order, c["field"]).alias("r"),
             c["field"].alias("field_type"),
             c["value"].alias("value"),
             (F.round(c["confidence"], digits) if digits else c["confidence"]).alias("confidence"),
             c["source_text"].alias("source_text"),
             line_of(c["value"]).alias("source_line"),
-        ),
-    )
-    df = df.withColumn("_rows", F.array_sort(rows))
-    keep = ("field_type", "value", "confidence", "source_text", "source_line")
-    df = df.withColumn("fields", F.transform("_rows", lambda c: F.struct(*[c[k].alias(k) for k in keep], box_of(c["source_line"]).alias("bbox"))))
-    return df.drop("_text", "_lines", "_found", "_scored", "_route", "_rows")
+        )
+        keep = ("field_type", "value", "confidence", "source_text", "source_line")
+        return F.transform(F.array_sort(F.transform(found, row)), lambda c: F.struct(*[c[k].alias(k) for k in keep], box_of(c["source_line"]).alias("bbox")))
+
+    order = F.array(*[F.lit(f.name) for f in catalog.PROFILES[profile]]) if every else routed(kind, profile)
+    fields = let(_candidates(text, kind, profile, every), lambda found: let(_scored(found, profile), lambda scored: let(best(scored), lambda chosen: let(order, lambda o: ranked(chosen, o)))))
+    return F.struct(kind.alias("document_type"), fields.alias("fields"))
 
 
 def summary(extracted: DataFrame, profile: str = "standard") -> DataFrame:

@@ -226,7 +226,7 @@ def _fields_sql(profile: str, source: str = fx.INVOICES) -> str:
                 branches.append(f"SELECT doc_id, document_type, text, {quote(name)} AS field_type, {rank} AS r, {i} AS i, {value} AS value, {score} AS confidence, regexp_extract(text, {p}, 0, 'i') AS source_text FROM t WHERE {where} AND regexp_matches(text, {p}, 'i')")
     order = "confidence DESC, r" if profile == "standard" else "r"
     best = "(row_number() OVER (PARTITION BY doc_id, field_type ORDER BY confidence DESC, i)) AS k"
-    return f"""WITH t AS (SELECT doc_id, text, {_type_sql(profile)} AS document_type FROM ({source}) t0), c AS (SELECT *, {best} FROM ({' UNION ALL '.join(branches)}) u)
+    return f"""WITH t AS MATERIALIZED (SELECT doc_id, text, {_type_sql(profile)} AS document_type FROM ({source}) t0), c AS (SELECT *, {best} FROM ({' UNION ALL '.join(branches)}) u)
 SELECT doc_id, document_type, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY {order}) - 1 AS INT) AS rank, field_type, value, round(confidence, 6) AS confidence, source_text,
   CAST(coalesce(list_position(list_transform(list_filter(string_split(text, chr(10)), lambda l: trim(l) <> ''), lambda l: contains(l, value)), true), 0) - 1 AS INT) AS source_line FROM c WHERE k = 1"""
 
@@ -382,7 +382,7 @@ def _layout_class(spark, d):
     return fx.frame(spark, d, _PLACED).select("doc_id", "region_idx", boxes.layout_class(F.col("height"), F.col("width")).alias("region_type"))
 
 
-_COVER = "greatest(0, least(r.x + r.w, l.x + l.w) - greatest(r.x, l.x)) * greatest(0, least(r.y + r.h, l.y + l.h) - greatest(r.y, l.y))"
+_COVER = "CASE WHEN l.layout_idx IS NULL THEN 0 ELSE greatest(0, least(r.x + r.w, l.x + l.w) - greatest(r.x, l.x)) * greatest(0, least(r.y + r.h, l.y + l.h) - greatest(r.y, l.y)) END"
 _OVERLAP = f"SELECT doc_id, region_idx, region_type FROM (SELECT r.doc_id, r.region_idx, CASE WHEN coalesce({_COVER}, 0) > 0 THEN l.region_type ELSE 'body' END AS region_type, row_number() OVER (PARTITION BY r.doc_id, r.region_idx ORDER BY coalesce({_COVER}, 0) DESC, l.layout_idx) AS k FROM ({fx.REGIONS}) r LEFT JOIN ({fx.LAYOUT}) l ON l.doc_id = r.doc_id) z WHERE k = 1"
 
 
