@@ -83,7 +83,8 @@ class Model:
             for c, to in go[0].items():
                 start[self.classes[c]] = (base + to) * width
             table = np.tile(start * 2 + 1, (len(go), 1))
-            for s, out in enumerate(go):
+            # From the start, and after an unseen byte, which is a phrase alone, every byte begins a phrase.
+            for s, out in enumerate(go[1:], 1):
                 for c, to in out.items():
                     table[s, self.classes[c]] = (base + to) * width * 2
             rows.append(table)
@@ -103,7 +104,7 @@ class Model:
         flat = self.classes[np.frombuffer(b"".join(p[1].ljust(lengths[0]) for p in pieces), np.uint8)].reshape(len(pieces), -1).T
         flat = np.ascontiguousarray(flat)
         state = np.repeat(np.array(self.roots, np.int32)[:, None], len(pieces), axis=1)
-        count = np.ones((len(self.langs), len(pieces)), np.int32)
+        count = np.zeros((len(self.langs), len(pieces)), np.int32)
         live = np.searchsorted(-lengths, -np.arange(lengths[0]), side="left")
         for t in range(lengths[0]):
             n = live[t]
