@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from pagemill.llm.common import lookup_join, materialise
+from pagemill.llm.common import lookup_join, materialise, shielded
 
 WORD = r"[^\x20\x09-\x0D]+"
 BUCKETS = 4096
@@ -61,7 +61,7 @@ def _ranked(rows: DataFrame, per_source: DataFrame) -> DataFrame:
     rows = lookup_join(rows, per_source, "source")
     copies = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     rows = rows.withColumn("whole", F.floor(copies)).withColumn("part", copies - F.floor(copies))
-    p = F.col("part") * F.col("weight") * F.col("source_size") / F.col("source_mass")
+    p = F.try_divide(F.col("part") * F.col("weight") * F.col("source_size"), F.col("source_mass"))
     p = F.least(F.greatest(F.coalesce(p, F.lit(0.0)), F.lit(1e-15)), F.lit(1.0 - 1e-15))
     q = (F.col("u") / (1.0 - F.col("u"))) / (p / (1.0 - p))
     return rows.withColumn("z", q / (1.0 + q)).withColumn("wanted", F.col("target") - F.col("whole") * F.col("source_size"))
@@ -109,11 +109,12 @@ def mix(docs: DataFrame, **options) -> DataFrame:
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The documents themselves, each as often as the mix takes it."""
+    docs, back = shielded(docs, "doc_id", "text", "source")
     rows, _ = decide(docs, **options)
     kept = rows.select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("tie").alias("_tie"), F.when(F.col("size") > 0, taken_copies()).otherwise(F.lit(0)).alias("_copies")).filter("_copies > 0").distinct()
     keyed = docs.withColumn("_t", F.xxhash64("text"))
     both = keyed.join(kept, keyed["doc_id"].eqNullSafe(kept["_id"]) & keyed["source"].eqNullSafe(kept["_source"]) & (keyed["_t"] == kept["_tie"]))
-    return both.withColumn("_c", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*[docs[c] for c in docs.columns])
+    return back(both.withColumn("_c", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))))
 
 
 _SIZED_SQL = r"""
