@@ -77,7 +77,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def words(text: Column) -> Column:
     """Words between ASCII white space; null and blank texts have none."""
-    return F.filter(F.split(F.coalesce(text, F.lit("")), ASCII_SPACE), lambda w: w != "")
+    return F.array_remove(F.split(F.coalesce(text, F.lit("")), ASCII_SPACE), "")
 
 
 def let(value: Column, body) -> Column:
@@ -113,3 +113,13 @@ def share(spark: SparkSession, value):
 def shared_value(shared):
     """What share() has sent, on an executor."""
     return cloudpickle.loads(shared.value)
+
+
+def shielded(docs: DataFrame, *used: str):
+    """docs with all columns but the used ones renamed, and the way back.
+
+    Extra columns then never clash with an operator's own.
+    """
+    names = {c: c if c in used else f"_extra{i}" for i, c in enumerate(docs.columns)}
+    renamed = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()])
+    return renamed, lambda df: df.select(*[F.col(n).alias(c) for c, n in names.items()])

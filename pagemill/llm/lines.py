@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagemill.llm.common import let, materialise, words
+from pagemill.llm.common import let, materialise, shielded, words
 
 MIN_WORDS = 8
 LAST = 2**63 - 1
@@ -82,9 +82,12 @@ def near_lines(docs: DataFrame, lines: DataFrame) -> DataFrame:
     by_doc = wanted.groupBy("k", "tie").agg(F.collect_list(F.struct("no", "h1", "h2")).alias("wanted"))
     own = docs.select(F.coalesce(F.col("doc_id"), F.lit(LAST)).cast("long").alias("k"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("tie"), "text")
     found = own.join(by_doc, ["k", "tie"]).withColumn("w", F.explode("wanted")).select("k", "tie", "w.*", _line_words(F.get(F.split("text", "\n"), F.col("w.no"))).alias("words"))
-    texts = materialise(found.select("h1", "h2", F.struct("k", "tie", "no").alias("first"), "words").dropDuplicates(["h1", "h2"]), "line-words")
-    without = F.transform(F.sequence(F.lit(1), F.size("words")), lambda i: F.struct(F.xxhash64(F.concat(F.slice("words", F.lit(1), i - 1), F.slice("words", i + 1, F.size("words") - i))).alias("key"), i.alias("at")))
-    whole = F.array(F.struct(F.xxhash64("words").alias("key"), F.lit(0).alias("at")))
+    hashed = F.transform("words", lambda w: F.xxhash64(w)).alias("hashes")
+    texts = materialise(found.select("h1", "h2", F.struct("k", "tie", "no").alias("first"), "words", hashed).dropDuplicates(["h1", "h2"]), "line-words")
+    # The hash of two arrays is that of one after the other.
+    n = F.size("hashes")
+    without = F.transform(F.sequence(F.lit(1), n), lambda i: F.struct(F.xxhash64(F.slice("hashes", F.lit(1), i - 1), F.slice("hashes", i + 1, n - i)).alias("key"), i.alias("at")))
+    whole = F.array(F.struct(F.xxhash64("hashes").alias("key"), F.lit(0).alias("at")))
     variants = texts.select("h1", "h2", "first", F.explode(F.concat(whole, without)).alias("v")).select("h1", "h2", "first", "v.*").distinct()
     several = variants.groupBy("key").agg(F.min("h1").alias("a"), F.max("h1").alias("b"), F.min("h2").alias("c"), F.max("h2").alias("d")).filter("a <> b or c <> d").select("key")
     joined = materialise(variants.join(several, "key", "left_semi"), "line-variants")
@@ -123,8 +126,9 @@ def line_report(docs: DataFrame) -> DataFrame:
 
 def deduplicate(docs: DataFrame) -> DataFrame:
     """The documents without their dropped lines, all columns kept."""
+    docs, back = shielded(docs, "doc_id", "text")
     keyed = docs.withColumn("_tie", F.xxhash64(F.coalesce("text", F.lit(""))))
     told = decide(docs).select(F.col("doc_id").alias("_id"), F.col("tie").alias("_t"), F.col("dropped").alias("_gone"))
     both = keyed.join(told, keyed["doc_id"].eqNullSafe(told["_id"]) & (keyed["_tie"] == told["_t"]), "left")
     kept = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("_gone", i)), "\n")
-    return both.withColumn("text", kept).select(*docs.columns)
+    return back(both.withColumn("text", kept))
