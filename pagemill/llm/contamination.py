@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagemill.llm.common import materialise, share, shared_value, ship
+from pagemill.llm.common import materialise, share, shared_value, shielded, ship
 
 WINDOW = 10
 SHARD_WORDS = 1 << 18
@@ -300,10 +300,11 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     A doc_id whose rows have different texts is judged text by text.
     """
+    docs, back = shielded(docs, "doc_id", "text")
     keyed = docs.withColumn("_key", F.xxhash64("doc_id", "text"))
     judged = contamination(keyed.select(F.col("_key").alias("doc_id"), "text"), benchmark)
     hit = judged.filter("contaminated").select(F.col("doc_id").alias("_key")).distinct()
-    return keyed.join(hit, "_key", "left_anti").select(*docs.columns)
+    return back(keyed.join(hit, "_key", "left_anti"))
 
 
 ship(__name__)

@@ -94,13 +94,13 @@ def _bucket(key: Column, bounds: list[int]) -> Column:
     )
 
 
-def with_next(df: DataFrame, order: str, columns: list[str]) -> DataFrame:
-    """Add next_<column>: the row that follows in descending order, in a ring.
+def ranged(df: DataFrame, order: str, columns: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Deal rows to ranges of about equal size; returns them and the ghosts.
 
-    Rows are dealt to ranges of about equal size; the first row of each range
-    is copied to the end of the range before it, so no range needs another's
-    rows.  Ties are ordered by the hash of the columns; a null comes last.
-    What the driver sees is one key for each range.
+    Rows follow each other in descending order, in a ring.  The first row of
+    each range is copied, as a ghost, to the end of the range before it, so no
+    range needs another's rows.  Ties are ordered by the hash of the first
+    column; a null comes last.  The driver sees one key for each range.
     """
     spark = df.sparkSession
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
@@ -119,7 +119,7 @@ def with_next(df: DataFrame, order: str, columns: list[str]) -> DataFrame:
 
 
 def _ringed(df: DataFrame, ghosts: DataFrame, columns: list[str]) -> DataFrame:
-    """One ghost for each range, of a size bounded by the number of ranges."""
+    """Add next_<column> of each row; the ghosts are as few as the ranges."""
     both = df.join(F.broadcast(ghosts), ["_k", "_t"], "left").withColumn("_c", F.explode(F.when(F.col("_g").isNull(), F.array(F.struct(F.col("_r").alias("r"), F.lit(0).alias("g")))).otherwise(F.array(F.struct(F.col("_r").alias("r"), F.lit(0).alias("g")), F.struct(F.col("_g").alias("r"), F.lit(1).alias("g"))))))
     both = both.withColumn("_r", F.col("_c.r")).withColumn("_ghost", F.col("_c.g")).drop("_c", "_g")
     ring = Window.partitionBy("_r").orderBy(F.col("_ghost"), F.col("_k").desc(), F.col("_t").desc())
@@ -133,7 +133,7 @@ def fingerprint_edits(docs: DataFrame) -> DataFrame:
     own next.
     """
     base = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    keyed, ghosts = with_next(base, "doc_id", ["text"])
+    keyed, ghosts = ranged(base, "doc_id", ["text"])
     signed = with_signature(keyed, "text", "sig")
     ringed = _ringed(signed, ghosts, ["text", "sig"])
     n = F.char_length("text")

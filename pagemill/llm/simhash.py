@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagemill.llm.common import discard, materialise, ship
+from pagemill.llm.common import discard, materialise, shielded, ship
 
 SHINGLE = 4
 SEED = 42
@@ -310,13 +310,14 @@ def near_duplicates(docs: DataFrame, radius: int = 4, keep: tuple[str, ...] = ("
 
 def one_of_each(docs: DataFrame, radius: int = 4) -> DataFrame:
     """One row of each component: the one of the least doc_id, then text hash."""
+    docs, back = shielded(docs, "doc_id", "text")
     tagged = docs.withColumn("_tie", F.xxhash64("text"))
     found = materialise(near_duplicates(tagged, radius, ("doc_id", "_tie")), "simhash-classes")
     kept = found.groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("fingerprint")).alias("_fp")).agg(F.min(F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("k"), F.col("_tie"), F.col("doc_id"))).alias("m")).select(F.col("m.doc_id").alias("_id"), F.col("m._tie").alias("_t"), F.lit(True).alias("_kept")).distinct()
     same = tagged["doc_id"].eqNullSafe(kept["_id"]) & (tagged["_tie"] == kept["_t"])
     rows = tagged.join(kept, same, "left_semi")
     repeated = rows.groupBy("doc_id", "_tie").count().filter("count > 1").isEmpty()
-    return (rows if repeated else rows.dropDuplicates(["doc_id", "_tie"])).select(*docs.columns)
+    return back(rows if repeated else rows.dropDuplicates(["doc_id", "_tie"]))
 
 
 ship(__name__)
