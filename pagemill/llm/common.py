@@ -32,6 +32,33 @@ def worker_cache() -> dict:
 ship(__name__)
 
 
+def lean(kernel, keeps: bool = False):
+    """A batch kernel that gives freed memory back when its task ends.
+
+    Python workers live on between stages beside the executor's heap.  A
+    kernel that does not keep what others have cached drops it first.
+    """
+
+    def run(batches):
+        if not keeps:
+            cache = worker_cache()
+            for key in [k for k in cache if isinstance(k, tuple)]:
+                del cache[key]
+        try:
+            yield from kernel(batches)
+        finally:
+            import ctypes
+            import gc
+
+            gc.collect()
+            try:
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+            except (OSError, AttributeError):
+                pass  # another C library keeps its own counsel
+
+    return run
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder named by spark.checkpoint.dir; a temporary one only if unset."""
     folder = spark.conf.get("spark.checkpoint.dir", None)

@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagemill.llm.common import materialise, share, shared_value, shielded, ship
+from pagemill.llm.common import lean, materialise, share, shared_value, shielded, ship
 
 WINDOW = 10
 SHARD_WORDS = 1 << 18
@@ -102,7 +102,7 @@ def _indexer(gap: int, shard_words: int):
 def build_index(docs: DataFrame, window: int = WINDOW, shard_words: int = SHARD_WORDS) -> DataFrame:
     """The index of docs, stored in the shared folder, one row a shard."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return materialise(rows.mapInArrow(_indexer(window, shard_words), INDEX_SCHEMA), "posting-index")
+    return materialise(rows.mapInArrow(lean(_indexer(window, shard_words)), INDEX_SCHEMA), "posting-index")
 
 
 class Queries:
@@ -279,7 +279,7 @@ def query_blocks(benchmark: DataFrame, window: int = WINDOW, block: int = BLOCK)
 def search(index: DataFrame, benchmark: DataFrame, window: int = WINDOW, span: int | None = None, block: int = BLOCK) -> DataFrame:
     """Spans and items by document: exact phrases, or within ``span`` words."""
     spark = index.sparkSession
-    found = [index.mapInArrow(_finder(share(spark, q), window, span), FOUND_SCHEMA) for q in query_blocks(benchmark, window, block)]
+    found = [index.mapInArrow(lean(_finder(share(spark, q), window, span)), FOUND_SCHEMA) for q in query_blocks(benchmark, window, block)]
     if len(found) == 1:
         return found[0]
     every = found[0]

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagemill.llm.common import share, shared_value, ship
+from pagemill.llm.common import lean, share, shared_value, ship
 
 DOCS, PER_DOC, SAMPLE = 100, 2000, 40_000
 PIECE = 2048
@@ -178,7 +178,7 @@ def predict(docs: DataFrame, model: Model, *keep: str) -> DataFrame:
     columns = list(keep) if "text" in keep else [*keep, "text"]
     rows = docs.select(*[F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(columns)])
     kinds = "".join(f"{c} {t}, " for c, t in rows.dtypes[: len(keep)])
-    return rows.mapInArrow(_predictor(shared, columns.index("text"), len(keep)), f"{kinds}lang_pred string, score double")
+    return rows.mapInArrow(lean(_predictor(shared, columns.index("text"), len(keep))), f"{kinds}lang_pred string, score double")
 
 
 def learned(docs: DataFrame) -> Model:

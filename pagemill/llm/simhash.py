@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagemill.llm.common import discard, materialise, shielded, ship
+from pagemill.llm.common import discard, lean, materialise, shielded, ship
 
 SHINGLE = 4
 SEED = 42
@@ -68,7 +68,7 @@ def _fingerprints(batches):
 def fingerprints(docs: DataFrame, *keep: str) -> DataFrame:
     """The columns of keep and fp, the fingerprint as a signed long."""
     kinds = ", ".join(f"`{c}` {t}" for c, t in docs.select(*keep).dtypes)
-    return docs.select(*keep, "text").mapInArrow(_fingerprints, f"{kinds}, fp long")
+    return docs.select(*keep, "text").mapInArrow(lean(_fingerprints), f"{kinds}, fp long")
 
 
 def _bit_counts(batches):
@@ -260,7 +260,7 @@ def links(nodes: DataFrame, radius: int, block: int = BLOCK) -> DataFrame:
     total, both = bit_statistics(nodes)
     masks = masks_of(allocate(total, both, radius))
     filed = _filed(nodes, masks)
-    found = materialise(filed.repartition("pid", "value").sortWithinPartitions("pid", "value").mapInArrow(_verifier(radius, block), "a long, b long, hot boolean"), "simhash-links")
+    found = materialise(filed.repartition("pid", "value").sortWithinPartitions("pid", "value").mapInArrow(lean(_verifier(radius, block)), "a long, b long, hot boolean"), "simhash-links")
     edges = found.filter("not hot").select("a", "b").distinct()
     hot = found.filter("hot").select(F.col("a").cast("int").alias("pid"), F.col("b").alias("value"))
     if hot.isEmpty():

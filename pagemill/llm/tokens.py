@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -30,10 +31,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from pagemill.llm.common import materialise, new_path, ship, worker_cache
+from pagemill.llm.common import lean, materialise, new_path, ship, worker_cache
 
 SHARD_TOKENS = 1 << 18
-CACHE = 250_000
+CACHE = 500_000
 #: A space inside a longer run of white space, or controls that regex engines class differently.
 UNSAFE = re.compile(r"\s (?!\S)|[\x1c-\x1f\x85\u180e\u200b\u2028\u2029\ufeff]")
 MAGIC = b"PMWAVE01"
@@ -211,14 +212,21 @@ def tokenizer(path: str):
     return cache["tokenizer", path]
 
 
+def _visible_bytes() -> dict[int, int]:
+    """Characters for bytes, as byte-level tokenizers write them: others follow 255."""
+    shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: 256 + i for i, b in enumerate(hidden)}
+
+
 class _Words(dict):
     """Ids of a pre-token, by the tokenizer's model; the first CACHE are kept."""
 
-    def __init__(self, tok, kind):
-        self.tokenize, self.kind = tok.model.tokenize, kind
+    def __init__(self, tok, code: str):
+        self.tokenize, self.code = tok.model.tokenize, code
 
     def __missing__(self, word: str) -> bytes:
-        data = np.array([t.id for t in self.tokenize(word)], self.kind).tobytes()
+        data = array(self.code, [t.id for t in self.tokenize(word)]).tobytes()
         if len(self) < CACHE:
             self[word] = data
         return data
@@ -227,21 +235,49 @@ class _Words(dict):
 class _Pieces(dict):
     """Ids of a piece that follows a space; the first CACHE are kept."""
 
-    def __init__(self, tok, kind):
-        self.tok, self.kind, self.words = tok, kind, _Words(tok, kind)
+    def __init__(self, tok, code: str):
+        self.tok, self.code, self.words = tok, code, _Words(tok, code)
         self.cut = tok.pre_tokenizer.pre_tokenize_str
         self.marks = [t.content for t in tok.get_added_tokens_decoder().values()]
+        self.table = _visible_bytes()
+        self.space, self.line = chr(self.table[32]), chr(self.table[10])
+        # The short way is for byte-level tokenizers that cut lines as this one does.
+        self.plain = [w for w, _ in self.cut(" ab.\ncd")] == [self.space + "ab", ".", self.line, "cd"]
 
     def of(self, text: str) -> bytes:
+        """Ids of any text."""
         if not text:
             return b""
         if any(m in text for m in self.marks):
-            return np.array(self.tok.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
+            return array(self.code, self.tok.encode(text, add_special_tokens=False).ids).tobytes()
         words = self.words
         return b"".join([words[w] for w, _ in self.cut(text)])
 
+    def word(self, lead: str, letters: str) -> bytes:
+        return self.words[lead + (letters if letters.isascii() else letters.encode().decode("latin-1").translate(self.table))]
+
+    def short(self, piece: str) -> bytes | None:
+        """Ids of Latin words, each with one mark at most, on lines; None for all else."""
+        lead, out = self.space, []
+        for part in piece.split("\n"):
+            if out:
+                out.append(self.words[self.line])
+            if not part or not (part.isascii() or max(part) < "\u0250"):
+                return None
+            if part.isalpha():
+                out.append(self.word(lead, part))
+            elif part[-1] in ".,;:!?" and part[:-1].isalpha():
+                out.append(self.word(lead, part[:-1]))
+                out.append(self.words[part[-1]])
+            else:
+                return None
+            lead = ""
+        return b"".join(out)
+
     def __missing__(self, piece: str) -> bytes:
-        data = self.of(" " + piece)
+        data = self.short(piece) if self.plain else None
+        if data is None:
+            data = self.of(" " + piece)
         if len(self) < CACHE:
             self[piece] = data
         return data
@@ -253,7 +289,7 @@ def encode_texts(texts: list[str], path: str, end_id: int) -> list[np.ndarray]:
     kind = np.uint16 if tok.get_vocab_size() <= 1 << 16 else np.uint32
     cache = worker_cache()
     if ("pieces", path) not in cache:
-        cache["pieces", path] = _Pieces(tok, kind)
+        cache["pieces", path] = _Pieces(tok, np.dtype(kind).char)
     pieces = cache["pieces", path]
     get, end, out = pieces.__getitem__, np.array([end_id], kind).tobytes(), []
     for text in texts:
@@ -344,7 +380,7 @@ def write_shards(docs: DataFrame, tokenizer_path: str, end_id: int = 2, shard_to
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("tie", F.xxhash64("text"))
     dealt = rows.repartitionByRange(parts, F.col("doc_id").asc_nulls_first(), "tie").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "tie")
-    manifest = dealt.select("doc_id", "text").mapInArrow(_writer(folder, tokenizer_path, end_id, shard_tokens), "part long, shard long, file string, n_docs long, n_tokens long")
+    manifest = dealt.select("doc_id", "text").mapInArrow(lean(_writer(folder, tokenizer_path, end_id, shard_tokens), keeps=True), "part long, shard long, file string, n_docs long, n_tokens long")
     return folder, materialise(manifest, "wavelet-manifest")
 
 
@@ -356,7 +392,7 @@ def read_shards(folder: str, manifest: DataFrame) -> DataFrame:
     bases = parts.select("part", F.coalesce(F.sum("n").over(upto), F.lit(0)).alias("base"))
     placed = manifest.join(F.broadcast(bases), "part").withColumn("start", F.col("base") + F.coalesce(F.sum("n_tokens").over(own), F.lit(0)))
     spread = max(1, int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    return placed.select("file", "start").repartition(spread).mapInArrow(_reader(folder), "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return placed.select("file", "start").repartition(spread).mapInArrow(lean(_reader(folder), keeps=True), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def token_digests(docs: DataFrame, tokenizer_path: str, end_id: int = 2, shard_tokens: int = SHARD_TOKENS) -> DataFrame:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagemill.llm.common import share, shared_value, ship
+from pagemill.llm.common import lean, share, shared_value, ship
 from pagemill.llm.language import held_out
 
 ROWS, FEATURES, LEAST, SURE = 3000, 4096, 3, 4.5
@@ -137,7 +137,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     taken = labels.filter(draw < limit)
     # About 2 * ROWS rows by the draw above.
     rows = docs.select("doc_id", "text").join(F.broadcast(taken), "doc_id").select("doc_id", "toxic", "text")
-    found = rows.select("toxic", "text").mapInArrow(_bags, "toxic int, bag binary").collect()
+    found = rows.select("toxic", "text").mapInArrow(lean(_bags), "toxic int, bag binary").collect()
     found.sort(key=lambda r: (r["toxic"], bytes(r["bag"])))
     return train([np.frombuffer(r["bag"], np.int32) for r in found], np.array([r["toxic"] for r in found]), sizes.get(1, 0) / max(1, sum(sizes.values())))
 
@@ -164,7 +164,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id and score; only text is looked at."""
     shared = share(docs.sparkSession, model)
     kind = dict(docs.dtypes)["doc_id"]
-    return docs.select("doc_id", "text").mapInArrow(_scorer(shared), f"doc_id {kind}, score double")
+    return docs.select("doc_id", "text").mapInArrow(lean(_scorer(shared)), f"doc_id {kind}, score double")
 
 
 def assess(docs: DataFrame, labels: DataFrame) -> DataFrame:
