@@ -32,7 +32,9 @@ LAST = 2**63 - 1
 
 
 def _line_words(line: Column) -> Column:
-    return words(F.lower(line))
+    """Lower-cased words; a line with plain spaces alone needs no pattern."""
+    odd = F.contains(line, F.lit("\t")) | F.contains(line, F.lit("\x0b")) | F.contains(line, F.lit("\x0c")) | F.contains(line, F.lit("\r"))
+    return F.when(odd, words(F.lower(line))).otherwise(F.array_remove(F.split(F.lower(line), " "), ""))
 
 
 def _halves(w: Column) -> Column:
@@ -88,9 +90,9 @@ def near_lines(docs: DataFrame, lines: DataFrame) -> DataFrame:
     n = F.size("hashes")
     without = F.transform(F.sequence(F.lit(1), n), lambda i: F.struct(F.xxhash64(F.slice("hashes", F.lit(1), i - 1), F.slice("hashes", i + 1, n - i)).alias("key"), i.alias("at")))
     whole = F.array(F.struct(F.xxhash64("hashes").alias("key"), F.lit(0).alias("at")))
-    variants = texts.select("h1", "h2", "first", F.explode(F.concat(whole, without)).alias("v")).select("h1", "h2", "first", "v.*").distinct()
+    variants = materialise(texts.select("h1", "h2", "first", F.explode(F.concat(whole, without)).alias("v")).select("h1", "h2", "first", "v.*"), "line-variants")
     several = variants.groupBy("key").agg(F.min("h1").alias("a"), F.max("h1").alias("b"), F.min("h2").alias("c"), F.max("h2").alias("d")).filter("a <> b or c <> d").select("key")
-    joined = materialise(variants.join(several, "key", "left_semi"), "line-variants")
+    joined = materialise(variants.join(several, "key", "left_semi"), "line-shared")
     places = joined.groupBy("key", "at").agg(F.min("first").alias("same"))
     sides = joined.groupBy("key").agg(F.min(F.when(F.col("at") == 0, F.col("first"))).alias("w"), F.min(F.when(F.col("at") > 0, F.col("first"))).alias("d"))
     both = joined.join(places, ["key", "at"]).join(sides, "key")
