@@ -89,6 +89,14 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return out
 
 
+def release(spark: SparkSession) -> None:
+    """Free the shuffle files of finished stages, which go when the driver collects garbage."""
+    import gc
+
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def discard(df: DataFrame) -> None:
     """Delete a table made by materialise() that no plan needs any more."""
     path = getattr(df, "materialised_path", None)

@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagemill.llm.common import let, materialise, shielded, words
+from pagemill.llm.common import discard, let, materialise, release, shielded, words
 
 MIN_WORDS = 8
 LAST = 2**63 - 1
@@ -77,25 +77,31 @@ def _within_one(a: Column, b: Column) -> Column:
 
 def near_lines(docs: DataFrame, lines: DataFrame) -> DataFrame:
     """h1, h2 and witness of each line within one edit of an earlier one."""
-    filed = lines.filter(F.col("n") >= MIN_WORDS).select("h1", "h2", F.explode("halves").alias("half"))
+    filed = lines.filter(F.col("n") >= MIN_WORDS).select("h1", "h2", F.posexplode("halves").alias("i", "half"))
     shared = filed.groupBy("half").agg(F.count("*").alias("c")).filter("c > 1").select("half")
-    some = filed.join(shared, "half", "left_semi").select("h1", "h2").distinct()
-    wanted = lines.join(some, ["h1", "h2"], "left_semi").select("h1", "h2", "first.*")
-    by_doc = wanted.groupBy("k", "tie").agg(F.collect_list(F.struct("no", "h1", "h2")).alias("wanted"))
+    # Where the first words agree the edit is after them; where the last do, before.
+    some = filed.join(shared, "half", "left_semi").groupBy("h1", "h2").agg(F.max(F.col("i") % 2 == 0).alias("start"), F.max(F.col("i") % 2 == 1).alias("end"))
+    wanted = lines.join(some, ["h1", "h2"]).select("h1", "h2", "first.*", "start", "end")
+    by_doc = wanted.groupBy("k", "tie").agg(F.collect_list(F.struct("no", "h1", "h2", "start", "end")).alias("wanted"))
     own = docs.select(F.coalesce(F.col("doc_id"), F.lit(LAST)).cast("long").alias("k"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("tie"), "text")
     found = own.join(by_doc, ["k", "tie"]).withColumn("w", F.explode("wanted")).select("k", "tie", "w.*", _line_words(F.get(F.split("text", "\n"), F.col("w.no"))).alias("words"))
     hashed = F.transform("words", lambda w: F.xxhash64(w)).alias("hashes")
-    texts = materialise(found.select("h1", "h2", F.struct("k", "tie", "no").alias("first"), "words", hashed).dropDuplicates(["h1", "h2"]), "line-words")
+    texts = materialise(found.select("h1", "h2", F.struct("k", "tie", "no").alias("first"), "start", "end", "words", hashed).dropDuplicates(["h1", "h2"]), "line-words")
+    release(docs.sparkSession)
     # The hash of two arrays is that of one after the other.
     n = F.size("hashes")
-    without = F.transform(F.sequence(F.lit(1), n), lambda i: F.struct(F.xxhash64(F.slice("hashes", F.lit(1), i - 1), F.slice("hashes", i + 1, n - i)).alias("key"), i.alias("at")))
+    same = F.shiftright(F.pow(F.lit(2.0), F.floor(F.log2(n - 0.5))).cast("int"), 1)
+    places = F.filter(F.sequence(F.lit(1), n), lambda i: (F.col("start") & (i > same)) | (F.col("end") & (i <= n - same)))
+    without = F.transform(places, lambda i: F.struct(F.xxhash64(F.slice("hashes", F.lit(1), i - 1), F.slice("hashes", i + 1, n - i)).alias("key"), i.alias("at")))
     whole = F.array(F.struct(F.xxhash64("hashes").alias("key"), F.lit(0).alias("at")))
-    variants = materialise(texts.select("h1", "h2", "first", F.explode(F.concat(whole, without)).alias("v")).select("h1", "h2", "first", "v.*"), "line-variants")
+    variants = materialise(texts.select("h1", "h2", F.explode(F.concat(whole, without)).alias("v")).select("h1", "h2", "v.*"), "line-variants")
     several = variants.groupBy("key").agg(F.min("h1").alias("a"), F.max("h1").alias("b"), F.min("h2").alias("c"), F.max("h2").alias("d")).filter("a <> b or c <> d").select("key")
-    joined = materialise(variants.join(several, "key", "left_semi"), "line-shared")
-    places = joined.groupBy("key", "at").agg(F.min("first").alias("same"))
+    joined = materialise(variants.join(several, "key", "left_semi").join(texts.select("h1", "h2", "first"), ["h1", "h2"]), "line-shared")
+    discard(variants)
+    release(docs.sparkSession)
+    firsts = joined.groupBy("key", "at").agg(F.min("first").alias("same"))
     sides = joined.groupBy("key").agg(F.min(F.when(F.col("at") == 0, F.col("first"))).alias("w"), F.min(F.when(F.col("at") > 0, F.col("first"))).alias("d"))
-    both = joined.join(places, ["key", "at"]).join(sides, "key")
+    both = joined.join(firsts, ["key", "at"]).join(sides, "key")
     earlier = F.least(F.when(F.col("at") > 0, F.col("same")), F.when(F.col("at") > 0, F.col("w")).otherwise(F.col("d")))
     witness = both.withColumn("witness", earlier).filter(F.col("witness") < F.col("first")).groupBy("h1", "h2").agg(F.min("witness").alias("witness"))
     a = witness.join(texts.select("h1", "h2", "words"), ["h1", "h2"])
