@@ -115,3 +115,24 @@ def test_stream_is_the_batch(spark, tmp_path):
     landing.start(landing.pages(spark, str(tmp_path / "in")), out, str(tmp_path / "check")).awaitTermination()
     got = {r.doc_id: r for r in spark.read.parquet(out).collect()}
     assert got[1].document_type == "invoice" and got[1].total_fields == 1 and got[2].document_type == "receipt" and "amount_total" in got[2].fields
+
+
+def test_command_writes_results(spark, tmp_path, capsys):
+    from pagemill.__main__ import main
+
+    (tmp_path / "pages.json").write_text(json.dumps({"doc_id": 1, "full_text": "发票号码：12345678\n备注: a\"b,c"}))
+    main(["extract", str(tmp_path / "pages.json"), str(tmp_path / "out"), "--form", "both"])
+    got = json.loads(spark.read.text(str(tmp_path / "out" / "json")).first().value)
+    assert got["doc_id"] == 1 and got["result"]["fields"]["invoice_number"]["value"] == "12345678"
+    rows = spark.read.option("escape", '"').csv(str(tmp_path / "out" / "csv"), header=True).collect()
+    assert {r.field_type: r.value for r in rows} == {"invoice_number": "12345678", "remarks": 'a"b,c'}
+    main(["config"])
+    assert json.loads(capsys.readouterr().out.split("\n\n")[-1])["detection"]["nms_threshold"] == 0.3
+    with pytest.raises(SystemExit):
+        main(["extract"])
+
+
+def test_logger_is_set_up_once():
+    from pagemill.sinks.files import logger
+
+    assert logger("x") is logger("x") and len(logger("x").handlers) == 1
