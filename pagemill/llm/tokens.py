@@ -34,7 +34,7 @@ from pyspark.sql.window import Window
 from pagemill.llm.common import lean, materialise, new_path, ship, worker_cache
 
 SHARD_TOKENS = 1 << 18
-CACHE = 500_000
+CACHE = 150_000
 #: A space inside a longer run of white space, or controls that regex engines class differently.
 UNSAFE = re.compile(r"\s (?!\S)|[\x1c-\x1f\x85\u180e\u200b\u2028\u2029\ufeff]")
 MAGIC = b"PMWAVE01"
