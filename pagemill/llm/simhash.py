@@ -174,13 +174,22 @@ def _forest(fps: np.ndarray, radius: int) -> list[np.ndarray]:
 
 
 def _across(a: np.ndarray, b: np.ndarray, radius: int) -> list[np.ndarray]:
-    """Links between two blocks, one for each member of b and of a at most."""
+    """Edges of a spanning forest of the links between two blocks, breadth first."""
     edges = []
-    for at in range(0, len(a), 512):
-        near = np.bitwise_count(a[at : at + 512, None] ^ b[None, :]) <= radius
-        hit, own = near.any(axis=0), near.any(axis=1)
-        edges.append(np.stack([a[at : at + 512][near[:, hit].argmax(axis=0)], b[hit]]))
-        edges.append(np.stack([a[at : at + 512][own], b[near[own].argmax(axis=1)]]))
+    while len(a) and len(b):
+        front, a = a[:1], a[1:]
+        while len(front):
+            found = [front[:0]]
+            for at in range(0, len(front), 256):
+                own = front[at : at + 256]
+                near = np.bitwise_count(own[:, None] ^ b[None, :]) <= radius
+                hit = near.any(axis=0)
+                if hit.any():
+                    edges.append(np.stack([own[near[:, hit].argmax(axis=0)], b[hit]]))
+                    found.append(b[hit])
+                    b = b[~hit]
+            # What was found stands in b: the next step goes back over a.
+            front, a, b = np.concatenate(found), b, a
     return edges
 
 

@@ -56,6 +56,38 @@ def test_blocks_of_hot_groups_lose_nothing(spark):
     assert small == large and len({r for _, r in large}) == 1
 
 
+def joined(edges):
+    """The least member of each member's component."""
+    root = {x: x for e in edges for x in e}
+    for _ in root:
+        for a, b in edges:
+            root[a] = root[b] = min(root[a], root[b])
+    return root
+
+
+def test_links_between_blocks_join_all_they_should():
+    across = lambda a, b: [(int(x), int(y)) for e in simhash._across(np.array(a, np.uint64), np.array(b, np.uint64), 4) for x, y in e.T]
+    assert set(joined(across([0x0, 0xFF], [0xFFF, 0xF])).values()) == {0}
+    rng = np.random.default_rng(4)
+    for _ in range(30):
+        fps = np.unique(rng.integers(0, 1 << 12, 60))
+        side = rng.integers(0, 2, len(fps))
+        a, b = fps[side == 0].tolist(), fps[side == 1].tolist()
+        got = across(a, b)
+        assert joined(got) == joined([(x, y) for x in a for y in b if (x ^ y).bit_count() <= 4])
+        assert len(got) < len(fps)
+
+
+def test_chains_hold_over_blocks():
+    """Fingerprints 4 bits apart in two chains, dealt over small blocks."""
+    chains = [[((1 << 4 * i) - 1) ^ (c << 40) for i in range(9)] for c in (0, 0xFFFFF)]
+    rng = np.random.default_rng(6)
+    for size in (2, 3, 5):
+        dealt = np.array_split(rng.permutation(np.array(sum(chains, []), np.uint64)), 18 // size)
+        edges = [(int(x), int(y)) for i, a in enumerate(dealt) for b in dealt[i:] for e in (simhash._forest(a, 4) if b is a else simhash._across(a, b, 4)) for x, y in e.T]
+        assert joined(edges) == {f: min(c) for c in chains for f in c}
+
+
 def test_thresholds_follow_the_pigeonhole(spark):
     bits = np.eye(64) * 500 + 250
     for total in (10**4, 10**7, 10**9):
