@@ -54,13 +54,16 @@ def fitting_rule(host: Column, path: Column, rules: list[tuple[str, str, str]])
     return out
 
 
-def propagate(hosts: DataFrame, edges: DataFrame, rounds: int = 12, damping: float = 0.85, every: int = 4) -> DataFrame:
-    """host, trust and distrust after ``rounds`` of both walks at once.
+def propagate(hosts: DataFrame, edges: DataFrame, tolerance: float = 1e-12, damping: float = 0.85, every: int = 4) -> DataFrame:
+    """host, trust and distrust where both walks, taken at once, come to rest.
 
     hosts: host, allowed, blocked (page counts).  edges: src, dst, n.
     Trust walks from src to dst, distrust from dst to src; both are one join
     and one sum a round.  Mass that leaves a host without links is not given
-    back.  Every few rounds the state is written, which bounds the plan.
+    back.  Every few rounds the state is written, which bounds the plan, and
+    compared with the one written before.  The walks rest when no new host was
+    reached and the scores moved by ``tolerance`` at most in all (or, as each
+    round shrinks what is left to move by ``damping``, can move no more).
     """
     seeds = hosts.select("host", F.explode(F.array(F.struct(F.lit("t").alias("kind"), F.col("allowed").alias("n")), F.struct(F.lit("d").alias("kind"), F.col("blocked").alias("n")))).alias("s")).select("host", "s.kind", F.col("s.n").cast("double").alias("n")).filter("n > 0")
     total = seeds.groupBy("kind").agg(F.sum("n").alias("total"))
@@ -68,19 +71,21 @@ def propagate(hosts: DataFrame, edges: DataFrame, rounds: int = 12, damping: flo
     walks = edges.filter("src <> dst").select(F.explode(F.array(F.struct(F.lit("t").alias("kind"), F.col("src").alias("a"), F.col("dst").alias("b"), "n"), F.struct(F.lit("d").alias("kind"), F.col("dst").alias("a"), F.col("src").alias("b"), "n"))).alias("e")).select("e.*")
     out = walks.groupBy("kind", "a").agg(F.sum("n").alias("out"))
     walks = materialise(walks.join(out, ["kind", "a"]).select("kind", F.col("a").alias("host"), "b", (F.col("n") / F.col("out")).alias("share")), "url-walks")
-    if walks.isEmpty():
-        rounds = 0
-    state = seeds.withColumnRenamed("seed", "score")
-    written = None
-    for i in range(rounds):
-        moved = state.join(walks, ["kind", "host"]).select("kind", F.col("b").alias("host"), (F.col("score") * F.col("share") * damping).alias("score"))
-        given = seeds.select("kind", "host", (F.col("seed") * (1 - damping)).alias("score"))
-        state = moved.unionByName(given).groupBy("kind", "host").agg(F.sum("score").alias("score"))
-        if (i + 1) % every == 0 or i == rounds - 1:
-            state = materialise(state, "url-state")
-            if written is not None:
-                discard(written)
-            written = state
+    state = written = materialise(seeds.withColumnRenamed("seed", "score"), "url-state")
+    reached, i, rest = state.count(), 0, walks.isEmpty()
+    while not rest:
+        for _ in range(every):
+            moved = state.join(walks, ["kind", "host"]).select("kind", F.col("b").alias("host"), (F.col("score") * F.col("share") * damping).alias("score"))
+            given = seeds.select("kind", "host", (F.col("seed") * (1 - damping)).alias("score"))
+            state = moved.unionByName(given).groupBy("kind", "host").agg(F.sum("score").alias("score"))
+        i += every
+        state = materialise(state, "url-state")
+        both = state.unionByName(written.withColumn("score", -F.col("score"))).groupBy("kind", "host").agg(F.sum("score").alias("by"))
+        change = both.agg(F.coalesce(F.sum(F.abs("by")), F.lit(0.0))).first()[0]
+        now = state.count()
+        rest = now == reached and (change <= tolerance or damping**i <= tolerance)
+        discard(written)
+        written, reached = state, now
     part = lambda k: F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("score"))), F.lit(0.0))
     return state.groupBy("host").agg(part("t").alias("trust"), part("d").alias("distrust"))
 

@@ -178,3 +178,16 @@ def test_links_decide_where_no_rule_does(spark):
     distrust = brute_walk({"bad.net": 1}, {(b, a): n for (a, b), n in edges.items()})
     for r in got.values():
         assert abs(r.host_trust - trust.get(r.host, 0)) < 1e-9 and abs(r.host_distrust - distrust.get(r.host, 0)) < 1e-9
+
+
+def test_walks_go_on_until_they_rest(spark):
+    n = 15
+    hosts = spark.createDataFrame([(f"h{i}", int(i == 0), int(i == n)) for i in range(n + 1)], "host string, allowed long, blocked long")
+    chain = {(f"h{i}", f"h{i + 1}"): 1 for i in range(n)} | {("h1", "h0"): 1}
+    edges = spark.createDataFrame([(*e, k) for e, k in chain.items()], "src string, dst string, n long")
+    got = {r.host: r for r in urls.propagate(hosts, edges).collect()}
+    trust = brute_walk({"h0": 1}, chain, 300)
+    distrust = brute_walk({f"h{n}": 1}, {(b, a): k for (a, b), k in chain.items()}, 300)
+    assert len(trust) == len(distrust) == n + 1
+    for i in range(n + 1):
+        assert abs(got[f"h{i}"].trust - trust[f"h{i}"]) < 1e-11 and abs(got[f"h{i}"].distrust - distrust[f"h{i}"]) < 1e-11
