@@ -7,7 +7,8 @@ and distrust from hosts with blocked pages against them; a host whose distrust
 is above its trust is blocked.  A host that neither reaches is allowed.
 
 A null url, or one without ``://``, has an empty host and path, fits no rule,
-and is judged as the empty host.  Null html has no links.  Hosts are compared
+and is judged as the empty host.  Null html has no links; a link
+without a scheme (``//host/path``) counts like any other.  Hosts are compared
 as they stand, ports included.  Only Spark expressions run here.
 """
 
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 from pagemill.llm.common import discard, lookup_join, materialise
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-LINK = r"(?i)<a\s[^>]*?href\s*=\s*[\"']?\s*[a-z][a-z0-9+.-]*://([^/?#\"'\s>]+)"
+LINK = r"(?i)<a\s[^>]*?href\s*=\s*[\"']?\s*(?:[a-z][a-z0-9+.-]*:)?//([^/?#\"'\s>]+)"
 #: (verdict, host, path), as given.
 RULES = [
     ("allow", "com", "/"),

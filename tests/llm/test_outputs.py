@@ -7,6 +7,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 
 from pagemill.llm import chat, fingerprints, mixing, tokens, urls
 
@@ -191,3 +192,9 @@ def test_walks_go_on_until_they_rest(spark):
     assert len(trust) == len(distrust) == n + 1
     for i in range(n + 1):
         assert abs(got[f"h{i}"].trust - trust[f"h{i}"]) < 1e-11 and abs(got[f"h{i}"].distrust - distrust[f"h{i}"]) < 1e-11
+
+
+def test_links_without_a_scheme_count(spark):
+    html = '<a href="//One.org/x">a</a> <A class=b href=\'http://two.org\'>b</A> <a href=//three.org>c</a> <a href="/path//four.org">d</a> <a href="five.org/x">e</a>'
+    found = spark.createDataFrame([(html,)], "html string").select(F.regexp_extract_all("html", F.lit(urls.LINK), F.lit(1)).alias("x")).first().x
+    assert found == ["One.org", "two.org", "three.org"]
