@@ -12,8 +12,8 @@ answer proximity searches: all terms within a span, in any order.
 Words are runs of ASCII letters and digits and of non-ASCII characters, A-Z
 lower-cased.  A window is ``WINDOW`` consecutive words of an item; a shorter
 item that has words is one window.  A document word inside any occurrence of a
-window is hit.  A null or blank text has no words; a null item has no window;
-equal items are each counted; a repeated document gives repeated rows.  The
+window is hit.  A null or blank text has no words; an item with a null id is hit
+like any other but not counted or named; equal items are each counted; a repeated document gives repeated rows.  The
 benchmark is a stated query set: it is taken in blocks of ``BLOCK`` windows,
 each broadcast, and hits of several blocks are joined per document.
 """
@@ -108,14 +108,16 @@ def build_index(docs: DataFrame, window: int = WINDOW, shard_words: int = SHARD_
 class Queries:
     """Windows as numbers of terms, padded with -1, and the items of each."""
 
-    def __init__(self, items: list[tuple[int, list[bytes]]], window: int):
+    def __init__(self, items: list[tuple[int | None, list[bytes]]], window: int):
         vocabulary: dict[bytes, int] = defaultdict()
         vocabulary.default_factory = vocabulary.__len__
         found: dict[tuple[int, ...], set[int]] = {}
         for item, own in items:
             numbers = [vocabulary[w] for w in own]
             for at in range(max(1, len(own) - window + 1) if own else 0):
-                found.setdefault(tuple(numbers[at : at + window]), set()).add(item)
+                named = found.setdefault(tuple(numbers[at : at + window]), set())
+                if item is not None:
+                    named.add(item)
         self.terms = list(vocabulary)
         self.items = [np.array(sorted(v), np.int64) for v in found.values()]
         self.windows = np.full((len(found), window), -1, np.int32)
@@ -265,7 +267,7 @@ def _digest(batches):
 def query_blocks(benchmark: DataFrame, window: int = WINDOW, block: int = BLOCK):
     """The benchmark's windows, a bounded block at a time."""
     own, size, any_block = [], 0, False
-    for r in benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").filter(F.col("item_id").isNotNull()).toLocalIterator():
+    for r in benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").toLocalIterator():
         words = _cut(r["text"])
         own.append((r["item_id"], words))
         size += max(0, len(words) - window + 1) or bool(words)

@@ -197,3 +197,12 @@ def test_deduplicated_texts(spark):
 def test_hash_of_two_arrays_is_that_of_one(spark):
     r = spark.range(1).select((F.xxhash64(F.array(F.lit(1), F.lit(2)), F.array(F.lit(3))) == F.xxhash64(F.array(F.lit(1), F.lit(2), F.lit(3)))).alias("x"))
     assert r.first().x
+
+
+def test_items_without_an_id_are_hit_but_not_named(spark):
+    docs = spark.createDataFrame([(1, "a b c d"), (2, "c d e"), (3, "x y")], "doc_id long, text string")
+    items = spark.createDataFrame([(None, "b c"), (7, "d e"), (None, "d e"), (None, None)], "item_id long, text string").coalesce(1)
+    sha = lambda x: hashlib.sha256(x).hexdigest()
+    for block in (contamination.BLOCK, 1):
+        got = sorted(map(tuple, contamination.contamination(docs, items, block=block).collect()))
+        assert got == [(1, 4, 2, 0, sha(b""), True), (2, 3, 2, 1, sha(b"7"), True), (3, 2, 0, 0, sha(b""), False)]
