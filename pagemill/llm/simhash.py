@@ -306,23 +306,28 @@ def components(edges: DataFrame) -> DataFrame:
         seen = sign
 
 
-def near_duplicates(docs: DataFrame, radius: int = 4, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """keep, fingerprint and component_id, one row a row of docs."""
+def _classes(docs: DataFrame, radius: int, keep: tuple[str, ...]) -> DataFrame:
+    """keep, fp, component_id and root, the component's own name, one row a row of docs."""
     fps = materialise(fingerprints(docs, *keep), "simhash-fps")
     nodes = materialise(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-nodes")
     roots = materialise(components(links(nodes, radius)), "simhash-roots")
     placed = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     named = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = placed.join(named, "root").select("fp", "component_id")
-    return fps.join(classes, "fp", "left").select(*keep, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    classes = placed.join(named, "root").select("fp", "component_id", "root")
+    return fps.join(classes, "fp", "left").select(*keep, "fp", "component_id", "root")
+
+
+def near_duplicates(docs: DataFrame, radius: int = 4) -> DataFrame:
+    """doc_id, fingerprint and component_id, one row a row of docs."""
+    return _classes(docs, radius, ("doc_id",)).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def one_of_each(docs: DataFrame, radius: int = 4) -> DataFrame:
     """One row of each component: the one of the least doc_id, then text hash."""
     docs, back = shielded(docs, "doc_id", "text")
     tagged = docs.withColumn("_tie", F.xxhash64("text"))
-    found = materialise(near_duplicates(tagged, radius, ("doc_id", "_tie")), "simhash-classes")
-    kept = found.groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("fingerprint")).alias("_fp")).agg(F.min(F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("k"), F.col("_tie"), F.col("doc_id"))).alias("m")).select(F.col("m.doc_id").alias("_id"), F.col("m._tie").alias("_t"), F.lit(True).alias("_kept")).distinct()
+    found = materialise(_classes(tagged, radius, ("doc_id", "_tie")), "simhash-classes")
+    kept = found.groupBy("root").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("k"), F.col("_tie"), F.col("doc_id"))).alias("m")).select(F.col("m.doc_id").alias("_id"), F.col("m._tie").alias("_t"), F.lit(True).alias("_kept")).distinct()
     same = tagged["doc_id"].eqNullSafe(kept["_id"]) & (tagged["_tie"] == kept["_t"])
     rows = tagged.join(kept, same, "left_semi")
     repeated = rows.groupBy("doc_id", "_tie").count().filter("count > 1").isEmpty()

@@ -206,3 +206,13 @@ def test_items_without_an_id_are_hit_but_not_named(spark):
     for block in (contamination.BLOCK, 1):
         got = sorted(map(tuple, contamination.contamination(docs, items, block=block).collect()))
         assert got == [(1, 4, 2, 0, sha(b""), True), (2, 3, 2, 1, sha(b"7"), True), (3, 2, 0, 0, sha(b""), False)]
+
+
+def test_one_of_each_without_ids(spark):
+    """Near copies with no doc_id are one component; others stay apart."""
+    text = " ".join(f"w{i}" for i in range(400))
+    near = text + " w1"
+    assert 0 < (simhash.fingerprint(text) ^ simhash.fingerprint(near)).bit_count() <= 4
+    docs = spark.createDataFrame([(None, text), (None, near), (None, "something else"), (3, "with an id")], "doc_id long, text string").coalesce(1)
+    kept = {r.text for r in simhash.one_of_each(docs).collect()}
+    assert len(kept) == 3 and len(kept & {text, near}) == 1
