@@ -187,7 +187,7 @@ def rotate(image: np.ndarray, degrees: float) -> np.ndarray:
     return image[np.floor(sy + 0.5).astype(int).clip(0, h - 1), np.floor(sx + 0.5).astype(int).clip(0, w - 1)]
 
 
-def skew(binary: np.ndarray, most: float = 15.0, step: float = 0.5) -> float:
+def skew(binary: np.ndarray, most: float = 45.0, step: float = 0.5) -> float:
     """The angle to turn by so that rows differ most in ink; 0 below half a degree."""
     small = shrink(binary, 400) < 128
     y, x = np.nonzero(small)

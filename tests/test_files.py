@@ -63,6 +63,14 @@ def test_skew_is_found():
     assert abs(abs(images.skew(images.rotate(line, 5.0))) - 5.0) <= 1.0
 
 
+def test_skew_is_found_to_45_degrees():
+    page = np.full((300, 300), 255, np.uint8)
+    page[40:260:20, 30:270] = page[41:260:20, 30:270] = 0
+    for turned in (-40.0, -20.0, 30.0):
+        assert abs(abs(images.skew(images.rotate(page, turned))) - abs(turned)) <= 1.0
+        assert images.skew(images.rotate(page, turned)) * images.skew(images.rotate(page, -turned)) < 0
+
+
 def test_layout():
     got = images.layout_boxes(images.binarize(images.to_gray(page()), "otsu"), page())
     assert [g[4] for g in got] == ["title", "header", "seal"]
