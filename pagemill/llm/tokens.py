@@ -12,17 +12,20 @@ A null text is empty and has just the end id.  Repeated rows are encoded as
 often as they occur; an empty table gives no file.  A special token's string
 in a text is that token, as the tokenizer's default is.
 
-Pieces of text between single spaces, and the pre-tokens in them, are encoded
-once and remembered, up to ``CACHE`` of each a worker.  The pre-tokenizer's pattern is only ever cut where
-it would cut itself: before a space that follows or precedes a visible
-character.  Texts with other runs (see ``UNSAFE``) are encoded whole.
+A byte-level tokenizer's pre-tokens are cut by its own pattern, spelled out for
+Latin text (``CUT``), and each is encoded by the tokenizer's model; those in use
+are remembered, twice ``CACHE`` a worker.  Texts with other characters (see
+``plain``) or with special tokens, and other tokenizers, are encoded whole.
+Extra columns are ignored; a very long text is one document of one shard.
 """
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from array import array
+from codecs import charmap_decode
 
 import numpy as np
 import pyarrow as pa
@@ -35,8 +38,14 @@ from pagemill.llm.common import lean, materialise, new_path, ship, worker_cache
 
 SHARD_TOKENS = 1 << 18
 CACHE = 150_000
-#: A space inside a longer run of white space, or controls that regex engines class differently.
-UNSAFE = re.compile(r"\s (?!\S)|[\x1c-\x1f\x85\u180e\u200b\u2028\u2029\ufeff]")
+# The byte-level pattern, with the letters and numbers below U+0250.
+_LETTERS = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f"
+_NUMBERS = "0-9\xb2\xb3\xb9\xbc-\xbe"
+CUT = re.compile(f"'(?:[sdmt]|ll|ve|re)| ?[{_LETTERS}]+| ?[{_NUMBERS}]+| ?[^\\s{_LETTERS}{_NUMBERS}]+|\\s+(?!\\S)|\\s+")
+#: All but Latin and marks that are neither letters, numbers nor spaces.
+OTHER = re.compile("[^\x00-\u024f\u2010-\u2027\u2030-\u205e\u20a0-\u20bf]")
+#: Characters that regex engines class differently.
+CONTROLS = "\x1c\x1d\x1e\x1f\x85"
 MAGIC = b"PMWAVE01"
 STEP = 512
 
@@ -212,75 +221,58 @@ def tokenizer(path: str):
     return cache["tokenizer", path]
 
 
-def _visible_bytes() -> dict[int, int]:
-    """Characters for bytes, as byte-level tokenizers write them: others follow 255."""
+def _visible_bytes() -> str:
+    """The character for each byte, as byte-level tokenizers write them: others follow 255."""
     shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
     hidden = [b for b in range(256) if b not in shown]
-    return {b: 256 + i for i, b in enumerate(hidden)}
+    return "".join(chr(b if b in shown else 256 + hidden.index(b)) for b in range(256))
 
 
-class _Words(dict):
-    """Ids of a pre-token, by the tokenizer's model; the first CACHE are kept."""
+class _Recent(dict):
+    """Values made once and kept while in use: what is asked for again while
+    ``CACHE`` other keys pass moves to the next generation, the rest goes."""
 
-    def __init__(self, tok, code: str):
-        self.tokenize, self.code = tok.model.tokenize, code
+    def __init__(self):
+        self.before = {}
 
-    def __missing__(self, word: str) -> bytes:
-        data = array(self.code, [t.id for t in self.tokenize(word)]).tobytes()
-        if len(self) < CACHE:
-            self[word] = data
+    def __missing__(self, key: str) -> bytes:
+        data = self.before.get(key)
+        if data is None:
+            data = self.made(key)
+        if len(self) >= CACHE:
+            self.before = dict(self)
+            self.clear()
+        self[key] = data
         return data
 
 
-class _Pieces(dict):
-    """Ids of a piece that follows a space; the first CACHE are kept."""
+class _Words(_Recent):
+    """Ids of a pre-token, by the tokenizer's model."""
 
     def __init__(self, tok, code: str):
-        self.tok, self.code, self.words = tok, code, _Words(tok, code)
-        self.cut = tok.pre_tokenizer.pre_tokenize_str
+        super().__init__()
+        model, self.code, self.table = tok.model, code, _visible_bytes()
+        if hasattr(model, "_resize_cache"):
+            model._resize_cache(0)  # words are remembered here; theirs costs more than it saves
+        self.tokenize = model.tokenize
         self.marks = [t.content for t in tok.get_added_tokens_decoder().values()]
-        self.table = _visible_bytes()
-        self.space, self.line = chr(self.table[32]), chr(self.table[10])
-        # The short way is for byte-level tokenizers that cut lines as this one does.
-        self.plain = [w for w, _ in self.cut(" ab.\ncd")] == [self.space + "ab", ".", self.line, "cd"]
-
-    def of(self, text: str) -> bytes:
-        """Ids of any text."""
-        if not text:
-            return b""
-        if any(m in text for m in self.marks):
-            return array(self.code, self.tok.encode(text, add_special_tokens=False).ids).tobytes()
-        words = self.words
-        return b"".join([words[w] for w, _ in self.cut(text)])
-
-    def word(self, lead: str, letters: str) -> bytes:
-        return self.words[lead + (letters if letters.isascii() else letters.encode().decode("latin-1").translate(self.table))]
-
-    def short(self, piece: str) -> bytes | None:
-        """Ids of Latin words, each with one mark at most, on lines; None for all else."""
-        lead, out = self.space, []
-        for part in piece.split("\n"):
-            if out:
-                out.append(self.words[self.line])
-            if not part or not (part.isascii() or max(part) < "\u0250"):
-                return None
-            if part.isalpha():
-                out.append(self.word(lead, part))
-            elif part[-1] in ".,;:!?" and part[:-1].isalpha():
-                out.append(self.word(lead, part[:-1]))
-                out.append(self.words[part[-1]])
-            else:
-                return None
-            lead = ""
-        return b"".join(out)
+        told = json.loads(tok.to_str())
+        cut = told["pre_tokenizer"] or {}
+        self.own = told["model"]["type"] == "BPE" and not told["normalizer"] and cut.get("type") == "ByteLevel" and cut.get("use_regex", True) and not cut["add_prefix_space"]
 
-    def __missing__(self, piece: str) -> bytes:
-        data = self.short(piece) if self.plain else None
-        if data is None:
-            data = self.of(" " + piece)
-        if len(self) < CACHE:
-            self[piece] = data
-        return data
+    def made(self, word: str) -> bytes:
+        shown = charmap_decode(word.encode(), "strict", self.table)[0]
+        return array(self.code, [t.id for t in self.tokenize(shown)]).tobytes()
+
+    def plain(self, text: str) -> bool:
+        """Whether ``CUT`` cuts a text as the tokenizer does."""
+        if not self.own or any(m in text for m in self.marks) or any(c in text for c in CONTROLS):
+            return False
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return OTHER.search(text) is None
+        return True
 
 
 def encode_texts(texts: list[str], path: str, end_id: int) -> list[np.ndarray]:
@@ -288,16 +280,15 @@ def encode_texts(texts: list[str], path: str, end_id: int) -> list[np.ndarray]:
     tok = tokenizer(path)
     kind = np.uint16 if tok.get_vocab_size() <= 1 << 16 else np.uint32
     cache = worker_cache()
-    if ("pieces", path) not in cache:
-        cache["pieces", path] = _Pieces(tok, np.dtype(kind).char)
-    pieces = cache["pieces", path]
-    get, end, out = pieces.__getitem__, np.array([end_id], kind).tobytes(), []
+    if ("words", path) not in cache:
+        cache["words", path] = _Words(tok, np.dtype(kind).char)
+    words = cache["words", path]
+    get, end, out = words.__getitem__, np.array([end_id], kind).tobytes(), []
     for text in texts:
-        if UNSAFE.search(text):
-            data = np.array(tok.encode(text, add_special_tokens=False).ids, kind).tobytes()
+        if words.plain(text):
+            data = b"".join(map(get, CUT.findall(text)))
         else:
-            first, *rest = text.split(" ")
-            data = pieces.of(first) + b"".join(map(get, rest))
+            data = np.array(tok.encode(text, add_special_tokens=False).ids, kind).tobytes()
         out.append(np.frombuffer(data + end, kind))
     return out
 
