@@ -6,13 +6,20 @@ accepts; the language that needs the fewest phrases, each weighed by the
 log of its sample's length, wins.  Ties go to the first language by code point.
 
 Texts are lower-cased and each run of non-letters is one space, then read as
-UTF-8 bytes, so any script works.  Long texts are parsed whole, in pieces of
-``PIECE`` bytes side by side; a piece's start may cut one phrase in two.
+UTF-8 bytes, so any script works.  Long texts are cut into pieces that are parsed
+side by side; each piece is then taken up again in the state that the piece
+before it ends in, until both parses meet, so the phrases are those of the whole
+text.
 
-The model is fitted on a bounded sample: about ``DOCS`` documents a language by
-hash of doc_id, ``PER_DOC`` characters of each, ``SAMPLE`` bytes in all.  Every
-document is predicted over its whole text.  A null text, or one without a
+The model is fitted on a bounded sample, ``DOCS`` documents a language by the
+hash of doc_id and text, each taken whole.  Its table takes about 300 bytes for
+each byte of the sample.  There is one automaton a language: a column of more
+than ``MOST_LANGS`` different labels is refused.
+
+Every document is predicted over its whole text.  A null text, or one without a
 letter, is ``und`` with score 0; so is every text if no label is known.
+Repeated rows are predicted each, and learned once; an empty table gives no
+rows; extra columns are ignored, or kept as they are by ``keep_identified``.
 """
 
 from __future__ import annotations
@@ -26,7 +33,8 @@ from pyspark.sql import functions as F
 
 from pagemill.llm.common import lean, share, shared_value, ship
 
-DOCS, PER_DOC, SAMPLE = 100, 2000, 40_000
+DOCS = 16
+MOST_LANGS = 1000
 PIECE = 2048
 UNKNOWN = "und"
 GAPS = re.compile(r"[\W\d_]+")
@@ -93,17 +101,18 @@ class Model:
         self.table = np.concatenate(rows).ravel().astype(np.int32) if rows else np.zeros(0, np.int32)
         self.weights = np.array([np.log2(max(2, len(samples[x]))) for x in self.langs])
 
-    def phrases(self, texts: list[bytes]) -> np.ndarray:
+    def phrases(self, texts: list[bytes], size: int = PIECE) -> np.ndarray:
         """Phrases of each text by each language."""
-        pieces = [(i, t[a : a + PIECE]) for i, t in enumerate(texts) for a in range(0, len(t), PIECE)]
+        pieces = [(i, a, t[a : a + size]) for i, t in enumerate(texts) for a in range(0, len(t), size)]
         out = np.zeros((len(texts), len(self.langs)), np.int64)
         if not pieces or not self.langs:
             return out
-        pieces.sort(key=lambda p: -len(p[1]))
-        lengths = np.array([len(p[1]) for p in pieces])
-        flat = self.classes[np.frombuffer(b"".join(p[1].ljust(lengths[0]) for p in pieces), np.uint8)].reshape(len(pieces), -1).T
+        pieces.sort(key=lambda p: -len(p[2]))
+        lengths = np.array([len(p[2]) for p in pieces])
+        flat = self.classes[np.frombuffer(b"".join(p[2].ljust(lengths[0]) for p in pieces), np.uint8)].reshape(len(pieces), -1).T
         flat = np.ascontiguousarray(flat)
-        state = np.repeat(np.array(self.roots, np.int32)[:, None], len(pieces), axis=1)
+        roots = np.array(self.roots, np.int32)[:, None]
+        state = np.repeat(roots, len(pieces), axis=1)
         count = np.zeros((len(self.langs), len(pieces)), np.int32)
         live = np.searchsorted(-lengths, -np.arange(lengths[0]), side="left")
         for t in range(lengths[0]):
@@ -111,11 +120,47 @@ class Model:
             step = self.table.take(state[:, :n] + flat[t, :n].astype(np.int32))
             count[:, :n] += step & 1
             state[:, :n] = step >> 1
+        place = {p[:2]: k for k, p in enumerate(pieces)}
+        before = np.array([place.get((i, a - size), -1) for i, a, _ in pieces])
+        self._join(flat, lengths, before, state, count)
         owner = np.array([p[0] for p in pieces])
         for k in range(len(self.langs)):
             out[:, k] = np.bincount(owner, count[k], len(texts))
         return out
 
+    def _join(self, flat, lengths, before, state, count) -> None:
+        """Mend counts and last states of pieces that do not start a text.
+
+        Each is parsed from the last state of the piece before it, beside the
+        parse from the root, until both are in one state.  Where they do not
+        meet, the last state changes, and the piece after is taken up again.
+        """
+        roots = np.array(self.roots, np.int32)
+        entered = np.repeat(roots[:, None], len(before), axis=1)
+        todo = np.repeat((before >= 0)[None, :], len(roots), axis=0)
+        after = np.full(len(before), -1)
+        after[before[before >= 0]] = np.flatnonzero(before >= 0)
+        while todo.any():
+            lang, piece = np.nonzero(todo)
+            old, new = entered[lang, piece], state[lang, before[piece]]
+            entered[lang, piece] = new
+            todo[:] = False
+            t, differ = 0, old != new
+            lang, piece, old, new = lang[differ], piece[differ], old[differ], new[differ]
+            while len(piece):
+                own = flat[t, piece].astype(np.int32)
+                a, b = self.table.take(old + own), self.table.take(new + own)
+                np.add.at(count, (lang, piece), (b & 1) - (a & 1))
+                old, new, t = a >> 1, b >> 1, t + 1
+                done = lengths[piece] == t
+                if done.any():
+                    last = done & (old != new)
+                    state[lang[last], piece[last]] = new[last]
+                    again = after[piece[last]]
+                    todo[lang[last][again >= 0], again[again >= 0]] = True
+                go = ~done & (old != new)
+                lang, piece, old, new = lang[go], piece[go], old[go], new[go]
+
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
         """Languages and scores; a score is the winner's share of exp(-bits / 16)."""
         data = [normal(t) for t in texts]
@@ -129,19 +174,25 @@ class Model:
         return [self.langs[b] if k else UNKNOWN for b, k in zip(best.tolist(), known, strict=True)], np.where(known, score, 0.0)
 
 
-def fit(rows: DataFrame) -> Model:
-    """Fit on rows of doc_id, text and lang, null langs left out."""
+def fit(rows: DataFrame, docs: int = DOCS) -> Model:
+    """Fit on rows of doc_id, text and lang; null langs and texts are left out."""
     rows = rows.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    rows = rows.select("lang", "text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 62)).alias("draw"))
+    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).limit(MOST_LANGS + 1).collect()}
+    if len(sizes) > MOST_LANGS:
+        raise ValueError(f"more than {MOST_LANGS} languages")
     if not sizes:
         return Model({})
-    draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
-    limits = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, int(min(1.0, DOCS / n) * (1 << 30)))])
-    taken = rows.filter(draw < F.element_at(limits, F.col("lang"))).select("lang", draw.alias("draw"), F.substring("text", 1, PER_DOC).alias("text"))
-    samples = {lang: b"" for lang in sizes}
-    for r in sorted(taken.collect(), key=lambda r: (r["draw"], r["text"])):
-        if len(samples[r["lang"]]) < SAMPLE:
-            samples[r["lang"]] += normal(r["text"])
+    # About eight times the rows wanted, equal rows once; the first of them are taken.
+    limits = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, int(min(1.0, 8 * docs / n) * (1 << 62)))])
+    near = rows.filter(F.col("draw") < F.element_at(limits, F.col("lang"))).select("lang", "draw").distinct()
+    draws: dict[str, list[int]] = {}
+    for r in near.collect():
+        draws.setdefault(r["lang"], []).append(r["draw"])
+    wanted = [d for own in draws.values() for d in sorted(own)[:docs]]
+    samples = dict.fromkeys(sizes, b"")
+    for r in sorted(rows.filter(F.col("draw").isin(wanted)).dropDuplicates(["lang", "draw"]).collect(), key=lambda r: r["draw"]):
+        samples[r["lang"]] += normal(r["text"])
     return Model({k: s for k, s in samples.items() if s})
 
 
