@@ -1,21 +1,29 @@
 """Toxicity by a linear classifier over scaled character n-grams.
 
 Features are the 4- and 5-byte grams of the text (lower-cased, runs of
-non-letters one space), present or not, hashed to 2**21 buckets.  Each is
-scaled by its naive Bayes log-count ratio r = log((p + a) / |p|) -
-log((q + a) / |q|), p and q being the numbers of toxic and other training texts
-that have it, and a logistic regression is fitted on the scaled features.
+non-letters one space), present or not, hashed to 2**21 buckets; none is left
+out.  Each is scaled by its naive Bayes log-count ratio
+
+    r = log((p + a) / |p|) - log((q + a) / |q|)
+
+p and q being the numbers of toxic and other training texts that have it, |p|
+and |q| those of all toxic and other texts plus 2 a.  A text's scaled features
+are divided by their length, and a logistic regression with an L2 penalty is
+fitted by dual coordinate descent.  Its margins on texts left out, in ``FOLDS``
+folds, give the slope and offset that turn margins into probabilities.
 
 The model is fitted on a bounded sample of labelled rows, about ``ROWS`` a
-label by hash of doc_id, and keeps at most ``FEATURES`` grams, those whose
-shares of toxic and other texts differ by most standard errors (over ``SURE``),
-in at least ``LEAST`` texts.  Every document is scored over its whole text.  A
-null text is empty; an empty text gets the score of no features.  Without
-labels of both kinds, every score is the only label, or 0.
+label by hash of doc_id, each taken whole (at most 2**21 buckets a row).  Of a
+repeated doc_id the text of least hash is learned from; of conflicting labels
+the greater.  Every document is scored over its whole text, repeated rows each;
+an empty table gives no rows; extra columns are ignored.  A null text is empty;
+an empty text gets the score of no features.  Without labels of both kinds,
+every score is the only label, or 0.
 """
 
 from __future__ import annotations
 
+import math
 import re
 
 import numpy as np
@@ -26,104 +34,149 @@ from pyspark.sql import functions as F
 from pagemill.llm.common import lean, share, shared_value, ship
 from pagemill.llm.language import held_out
 
-ROWS, FEATURES, LEAST, SURE = 3000, 4096, 3, 4.5
+ROWS = 2000
+#: Smoothing of counts, cost of a training error, passes over the sample.
+ALPHA, COST, PASSES = 1.0, 10.0, 5
+FOLDS = 3
 BUCKETS = 21
 LENGTHS = (4, 5)
 GAPS = re.compile(r"[\W\d_]+")
 
 
-def grams(texts: list[str | None]):
-    """Of each length: the buckets of all grams, and the text each is in."""
-    parts = [f" {GAPS.sub(' ', (t or '').lower()).strip()} ".encode("utf-8", "replace") for t in texts]
-    data = np.frombuffer(b"".join(parts), np.uint8).astype(np.uint32)
-    ends = np.cumsum([len(p) for p in parts])
+def grams(text: str | None) -> np.ndarray:
+    """The buckets of all grams of a text, repeats included."""
+    data = np.frombuffer(f" {GAPS.sub(' ', (text or '').lower()).strip()} ".encode("utf-8", "replace"), np.uint8).astype(np.uint32)
+    out = [np.zeros(0, np.uint32)]
     for n in LENGTHS:
-        size = len(data) - n + 1
-        if size <= 0:
-            continue
-        h = np.full(size, n, np.uint32)
+        h = np.full(max(0, len(data) - n + 1), n, np.uint32)
         for k in range(n):
             h *= np.uint32(0x01000193)
-            h ^= data[k : k + size]
+            h ^= data[k : k + len(h)]
         h *= np.uint32(0x9E3779B1)
         h >>= np.uint32(32 - BUCKETS)
-        yield n, h, ends
+        out.append(h)
+    return np.concatenate(out).astype(np.int32)
 
 
-def _inside(at: np.ndarray, n: int, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The texts of grams at positions, and which grams lie in one text."""
-    text = np.searchsorted(ends, at, side="right")
-    return text, at + n <= ends[np.minimum(text, len(ends) - 1)]
+def bag(text: str | None) -> np.ndarray:
+    """The distinct buckets of a text."""
+    return np.unique(grams(text))
 
 
 def _bags(batches):
     for batch in batches:
-        texts = batch.column("text").to_pylist()
-        bags = []
-        for t in texts:
-            own = [np.unique(h) for _, h, _ in grams([t])]
-            bags.append(np.unique(np.concatenate(own)).astype(np.int32) if own else np.zeros(0, np.int32))
-        yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array([b.tobytes() for b in bags], pa.binary())], names=["toxic", "bag"])
+        own = [bag(t) for t in batch.column("text").to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array([b.tobytes() for b in own], pa.binary())], names=["toxic", "bag"])
 
 
 class Model:
-    """Weights by bucket, and the score without features as a log-odds."""
+    """A weight and a squared ratio by bucket, and the log-odds without features."""
 
-    def __init__(self, weights: np.ndarray, bias: float):
-        self.weights, self.bias = weights, bias
+    def __init__(self, weights: np.ndarray, squares: np.ndarray, bias: float):
+        self.table, self.bias = np.stack([weights, squares], axis=1).astype(np.float32), bias
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
-        total = np.full(len(texts), self.bias)
-        keys = []
-        for n, h, ends in grams(texts):
-            at = np.flatnonzero(self.weights.take(h))
-            text, ok = _inside(at, n, ends)
-            keys.append((text[ok].astype(np.int64) << BUCKETS) | h[at[ok]])
-        if keys:
-            every = np.unique(np.concatenate(keys))
-            total += np.bincount(every >> BUCKETS, self.weights[every & ((1 << BUCKETS) - 1)], len(texts))
+        total = np.full(len(texts), float(self.bias))
+        last = np.zeros(1 << BUCKETS, np.int32)
+        for i, text in enumerate(texts):
+            h = grams(text)
+            # Each bucket once: the place that was written last.
+            at = np.arange(len(h), dtype=np.int32)
+            last[h] = at
+            weight, square = self.table[h[last[h] == at]].sum(axis=0, dtype=np.float64)
+            total[i] += weight / np.sqrt(square) if square > 0 else 0.0
         return 1 / (1 + np.exp(-np.clip(total, -30, 30)))
 
 
-def train(bags: list[np.ndarray], labels: np.ndarray, prior: float | None = None, rounds: int = 400, alpha: float = 1.0, ridge: float = 2e-5) -> Model:
-    """Fit ratios, choose features, and fit the regression by gradient descent."""
-    weights = np.zeros(1 << BUCKETS, np.float32)
+def ratios(bags: list[np.ndarray], labels: np.ndarray, alpha: float = ALPHA) -> np.ndarray:
+    """Log-count ratios by bucket; 0 where no text has one."""
+    count = lambda k: sum((np.bincount(b, minlength=1 << BUCKETS) for b, y in zip(bags, labels, strict=True) if y == k), np.zeros(1 << BUCKETS))
+    p, q = count(1), count(0)
+    n1, n0 = int((labels == 1).sum()), int((labels == 0).sum())
+    out = np.log((p + alpha) / (n1 + 2 * alpha)) - np.log((q + alpha) / (n0 + 2 * alpha))
+    out[p + q == 0] = 0
+    return out.astype(np.float32)
+
+
+def descend(bags: list[np.ndarray], labels: np.ndarray, ratio: np.ndarray, cost: float = COST, passes: int = PASSES) -> tuple[np.ndarray, float]:
+    """Weights of scaled features and the bias of the penalised logistic regression.
+
+    Each step finds one text's dual variable z in (0, cost) exactly, by halving:
+    the zero of size * (z - old) + margin + log(z / (cost - z)).
+    """
+    w, bias = np.zeros(1 << BUCKETS), 0.0
+    unit = [x / max(float(np.sqrt(x @ x)), 1e-9) for x in (ratio[b].astype(np.float64) for b in bags)]
+    unit = [x.astype(np.float32) for x in unit]
+    sign, dual = np.where(labels == 1, 1.0, -1.0).tolist(), [0.0] * len(bags)
+    order = np.random.default_rng(0)
+    for _ in range(passes):
+        for i in order.permutation(len(bags)).tolist():
+            b, x, y, old = bags[i], unit[i], sign[i], dual[i]
+            margin = y * (float(w[b] @ x) + bias)
+            size, low, high = 1.0 + float(x @ x), 0.0, cost
+            for _ in range(40):
+                z = (low + high) / 2
+                if size * (z - old) + margin + math.log(z / (cost - z)) > 0:
+                    high = z
+                else:
+                    low = z
+            z = (low + high) / 2
+            w[b] += (z - old) * y * x
+            bias += (z - old) * y
+            dual[i] = z
+    return w, bias
+
+
+def margins(bags: list[np.ndarray], ratio: np.ndarray, w: np.ndarray, bias: float) -> np.ndarray:
+    out = np.full(len(bags), bias)
+    for i, b in enumerate(bags):
+        x = ratio[b].astype(np.float64)
+        size = float(x @ x)
+        out[i] += float(w[b] @ x) / math.sqrt(size) if size > 0 else 0.0
+    return out
+
+
+def calibrate(margin: np.ndarray, labels: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
+    """Slope and offset of the logistic curve through (margin, label), by Newton's steps."""
+    slope, offset = 1.0, 0.0
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-np.clip(slope * margin + offset, -30, 30)))
+        miss, bend = weight * (p - labels), weight * p * (1 - p)
+        cross = (bend * margin).sum()
+        hessian = np.array([[(bend * margin**2).sum() + 1e-3, cross], [cross, bend.sum() + 1e-3]])
+        step = np.linalg.solve(hessian, [(miss * margin).sum() + 1e-3 * (slope - 1), miss.sum()])
+        step *= min(1.0, 4.0 / max(1e-9, float(np.abs(step).max())))
+        slope, offset = slope - step[0], offset - step[1]
+    return float(slope), float(offset)
+
+
+def train(bags: list[np.ndarray], labels: np.ndarray, prior: float | None = None) -> Model:
+    """Fit ratios, the regression, and the curve from margins to probabilities.
+
+    prior is the share of toxic texts among all that are labelled.
+    """
+    none = np.zeros(1 << BUCKETS, np.float32)
     share = float(labels.mean()) if len(labels) else 0.0
     if not 0 < share < 1:
-        return Model(weights, 30.0 if share else -30.0)
-    p, q = (np.bincount(np.concatenate([b for b, y in zip(bags, labels, strict=True) if y == k]), minlength=1 << BUCKETS) for k in (1, 0))
-    a, b = (alpha + x / max(1, int((labels == k).sum())) * 1000 for x, k in ((p, 1), (q, 0)))
-    ratio = np.log(a / b)
-    # Grams whose shares differ by more than chance, the surest first.
-    n = [max(1, int((labels == k).sum())) for k in (1, 0)]
-    both = (p + q) / sum(n)
-    sure = np.abs(p / n[0] - q / n[1]) / np.sqrt(np.maximum(both * (1 - both), 1e-9) * (1 / n[0] + 1 / n[1]))
-    sure[p + q < LEAST] = 0
-    kept = np.argsort(-sure, kind="stable")[:FEATURES]
-    kept = np.sort(kept[sure[kept] > SURE])
-    slot = np.full(1 << BUCKETS, -1, np.int32)
-    slot[kept] = np.arange(len(kept))
-    rows = [s[s >= 0] for s in (slot[b] for b in bags)]
-    owner = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    column = np.concatenate(rows)
-    scale = ratio[kept]
-    # Each label weighs as much as it does among all labelled rows.
+        return Model(none, none, 30.0 if share else -30.0)
+    fold = np.empty(len(labels), np.int64)
+    for k in (0, 1):
+        own = np.flatnonzero(labels == k)
+        fold[own] = np.arange(len(own)) % FOLDS
+    left_out, asked = np.zeros(len(labels)), np.zeros(len(labels), bool)
+    for f in range(FOLDS):
+        learn, ask = np.flatnonzero(fold != f), np.flatnonzero(fold == f)
+        if 0 < labels[learn].mean() < 1:
+            some = [bags[i] for i in learn]
+            ratio = ratios(some, labels[learn])
+            left_out[ask] = margins([bags[i] for i in ask], ratio, *descend(some, labels[learn], ratio))
+            asked[ask] = True
+    ratio = ratios(bags, labels)
+    w, bias = descend(bags, labels, ratio)
     prior = share if prior is None else prior
-    weigh = np.where(labels == 1, prior / share, (1 - prior) / (1 - share)) / len(labels)
-    w, bias = np.full(len(kept), 0.05), 0.0
-    m, v, mb, vb = np.zeros(len(kept)), np.zeros(len(kept)), 0.0, 0.0
-    for t in range(1, rounds + 1):
-        z = bias + np.bincount(owner, (w * scale)[column], len(rows))
-        error = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - labels) * weigh
-        g = np.bincount(column, error[owner], len(kept)) * scale + ridge * w
-        gb = error.sum()
-        m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
-        mb, vb = 0.9 * mb + 0.1 * gb, 0.99 * vb + 0.01 * gb * gb
-        fix = np.sqrt(1 - 0.99**t) / (1 - 0.9**t)
-        w = w - 0.02 * fix * m / (np.sqrt(v) + 1e-8)
-        bias -= 0.02 * fix * mb / (np.sqrt(vb) + 1e-8)
-    weights[kept] = w * scale
-    return Model(weights, float(bias))
+    weight = np.where(labels == 1, prior / share, (1 - prior) / (1 - share))
+    slope, offset = calibrate(left_out[asked], labels[asked], weight[asked]) if 0 < (labels[asked].mean() if asked.any() else 0) < 1 else (1.0, 0.0)
+    return Model(slope * w * ratio, ratio**2, slope * bias + offset)
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
@@ -135,9 +188,10 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     for k, n in sizes.items():
         limit = F.when(F.col("toxic") == k, F.lit(int(min(1.0, ROWS / n) * (1 << 30)))).otherwise(limit)
     taken = labels.filter(draw < limit)
-    # About 2 * ROWS rows by the draw above.
-    rows = docs.select("doc_id", "text").join(F.broadcast(taken), "doc_id").select("doc_id", "toxic", "text")
-    found = rows.select("toxic", "text").mapInArrow(lean(_bags), "toxic int, bag binary").collect()
+    # About 2 * ROWS rows by the draw above, one text each.
+    rows = docs.select("doc_id", F.struct(F.xxhash64("text").alias("h"), "text").alias("t")).join(F.broadcast(taken), "doc_id")
+    rows = rows.groupBy("doc_id", "toxic").agg(F.min("t").alias("t")).select("toxic", "t.text")
+    found = rows.mapInArrow(lean(_bags), "toxic int, bag binary").collect()
     found.sort(key=lambda r: (r["toxic"], bytes(r["bag"])))
     return train([np.frombuffer(r["bag"], np.int32) for r in found], np.array([r["toxic"] for r in found]), sizes.get(1, 0) / max(1, sum(sizes.values())))
 
@@ -146,16 +200,8 @@ def _scorer(shared):
     def score(batches):
         model = shared_value(shared)
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            out, at = [np.zeros(0)], 0
-            while at < len(texts):
-                upto, chars = at, 0
-                while upto < len(texts) and (upto == at or chars < 1 << 21):
-                    chars += len(texts[upto] or "")
-                    upto += 1
-                out.append(model.scores(texts[at:upto]))
-                at = upto
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.concatenate(out))], names=["doc_id", "score"])
+            out = model.scores(batch.column("text").to_pylist())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out)], names=["doc_id", "score"])
 
     return score
 

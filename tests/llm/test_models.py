@@ -11,16 +11,14 @@ SF = "/root/testdata/sf0.01"
 
 
 def brute_phrases(text: bytes, sample: bytes) -> int:
-    """Longest matches from left to right, in pieces as the operator takes them."""
-    n = 0
-    for a in range(0, len(text), language.PIECE):
-        piece, at = text[a : a + language.PIECE], 0
-        while at < len(piece):
-            size = 1
-            while at + size < len(piece) and piece[at : at + size + 1] in sample:
-                size += 1
-            at += size
-            n += 1
+    """Longest matches from left to right, over the whole text."""
+    n = at = 0
+    while at < len(text):
+        size = 1
+        while at + size < len(text) and text[at : at + size + 1] in sample:
+            size += 1
+        at += size
+        n += 1
     return n
 
 
@@ -29,9 +27,46 @@ def test_phrases_are_longest_matches():
     samples = {k: bytes(rng.choice(list(b"abcd "), 400).tolist()) for k in ("x", "y")}
     texts = [bytes(rng.choice(list(b"abcde "), n).tolist()) for n in (1, 5, 300, 5000)]
     model = language.Model(samples)
-    got = model.phrases(texts)
-    for i, t in enumerate(texts):
-        assert [brute_phrases(t, samples[k]) for k in ("x", "y")] == got[i].tolist()
+    want = [[brute_phrases(t, samples[k]) for k in ("x", "y")] for t in texts]
+    for size in (1, 3, 50, language.PIECE):
+        assert model.phrases(texts, size).tolist() == want
+
+
+def test_phrases_go_over_pieces():
+    """Parses that never meet: every phrase is as long as the sample."""
+    samples = {"x": b"a" * 100, "y": b"ab" * 9}
+    texts = [b"a" * 7001, b"ab" * 3000 + b"c", b"b" + b"a" * 333]
+    want = [[brute_phrases(t, samples[k]) for k in ("x", "y")] for t in texts]
+    for size in (7, 64, language.PIECE):
+        assert language.Model(samples).phrases(texts, size).tolist() == want
+
+
+def test_prediction_is_the_brute_one():
+    rng = np.random.default_rng(5)
+    alphabets = {"de": "abcdüß ", "en": "abcdef ", "fr": "abcdéè "}
+    draw = lambda k, n: "".join(rng.choice(list(alphabets[k]), n))
+    samples = {k: language.normal(draw(k, 900)) for k in alphabets}
+    model = language.Model(samples)
+    texts = [draw(k, n) for k in alphabets for n in (12, 90, 6000)]
+    langs, scores = model.predict(texts)
+    for text, lang, score in zip(texts, langs, scores, strict=True):
+        bits = {k: brute_phrases(language.normal(text), s) * np.log2(len(s)) for k, s in samples.items()}
+        assert lang == min(bits, key=bits.get)
+        assert abs(score - 1 / sum(np.exp((min(bits.values()) - b) / 16) for b in bits.values())) < 1e-9
+
+
+def test_training_takes_whole_texts_of_bounded_rows(spark):
+    rows = [(i, f"{'x' * i} " + "word " * 3000 + "last", "en") for i in range(50)] + [(7, "same text", "fr")] * 40 + [(8, "gleich", "de"), (9, None, "de"), (10, "text", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    seen = {}
+    original = language.Model
+    try:
+        language.Model = lambda samples: seen.update(samples)
+        language.fit(docs, 5)
+    finally:
+        language.Model = original
+    assert set(seen) == {"en", "fr", "de"} and seen["fr"] == b" same text "
+    assert seen["en"].count(b"last") == 5 and seen["en"].count(b"word") == 15_000
 
 
 def test_identify_edges(nasty, empty):
@@ -87,10 +122,61 @@ def test_toxicity_edges(spark, nasty, empty):
 
 def test_scores_of_one_gram_in_two_texts_do_not_mix():
     weights = np.zeros(1 << toxicity.BUCKETS, np.float32)
-    for _, h, _ in toxicity.grams(["abcd"]):
-        weights[h] = 1
-    got = toxicity.Model(weights, 0.0).scores(["abcd", None, "abcd abcd", "x"])
-    assert got[0] == got[2] > got[1] == got[3] == 0.5
+    weights[toxicity.grams("abcd")] = 1
+    got = toxicity.Model(weights, np.ones(1 << toxicity.BUCKETS), 0.0).scores(["abcd", None, "abcd abcd", "abcd"])
+    assert got[0] == got[3] > got[1] and got[2] > 0.5
+
+
+def brute_toxicity(rows, asked):
+    """The same regression on dense vectors, by plain gradient steps on its primal."""
+    sets = [{h for n in (4, 5) for h in gram_set(t, n)} for t, _ in rows]
+    names = sorted(set().union(*sets))
+    y = np.array([k for _, k in rows])
+    n1, n0 = y.sum(), (1 - y).sum()
+    r = np.array([np.log((1 + sum(g in s and k == 1 for s, k in zip(sets, y, strict=True))) / (n1 + 2)) - np.log((1 + sum(g in s and k == 0 for s, k in zip(sets, y, strict=True))) / (n0 + 2)) for g in names])
+    vector = lambda s: (lambda v: v / max(np.sqrt(v @ v), 1e-9))(r * np.array([g in s for g in names]))
+    x = np.array([vector(s) for s in sets])
+    w, b = np.zeros(len(names)), 0.0
+    for _ in range(60_000):
+        e = toxicity.COST * (1 / (1 + np.exp(-(x @ w + b))) - y)
+        w, b = w - 0.003 * (w + x.T @ e), b - 0.003 * (b + e.sum())
+    return [float(vector({h for n in (4, 5) for h in gram_set(t, n)}) @ w + b) for t in asked]
+
+
+def gram_set(text, n):
+    data = f" {' '.join(text.lower().split())} ".encode()
+    return {data[i : i + n] for i in range(len(data) - n + 1)}
+
+
+def test_regression_is_the_brute_one(monkeypatch):
+    monkeypatch.setattr(toxicity, "PASSES", 400)
+    rows = [("you vile fool", 1), ("what a vile thing", 1), ("a fool and a thing", 1), ("what a fine thing", 0), ("a fine day to you", 0), ("the day is long", 0), ("long day and night", 0)]
+    asked = ["vile day", "fine night", "", "fool"]
+    bags, labels = [toxicity.bag(t) for t, _ in rows], np.array([k for _, k in rows])
+    ratio = toxicity.ratios(bags, labels)
+    got = toxicity.margins([toxicity.bag(t) for t in asked], ratio, *toxicity.descend(bags, labels, ratio, passes=400))
+    assert np.allclose(got, brute_toxicity(rows, asked), atol=1e-3)
+    model = toxicity.train(bags, labels)
+    own = toxicity.margins(bags, ratio, *toxicity.descend(bags, labels, ratio))
+    order = np.argsort(own)
+    assert (np.diff(model.scores([rows[i][0] for i in order])) >= -1e-6).all()
+
+
+def test_repeated_and_conflicting_labels(spark):
+    rows = [(i, "vile stuff" if i % 2 else "fine stuff") for i in range(40)] * 2 + [(1, "x " * 200_000)]
+    marks = [(i, i % 2) for i in range(40)] + [(3, 0), (3, 1)]
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(marks, "doc_id long, toxic int")
+    got = toxicity.assess(docs, labels).collect()
+    assert len(got) == len(rows)
+    assert all(r.predicted == r.doc_id % 2 for r in got if r.doc_id != 1)
+
+
+def test_toxicity_of_supplied_held_out_documents(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    got = toxicity.assess(docs, labels).join(labels, "doc_id").filter("held_out").collect()
+    hit = sum(r.predicted and r.toxic for r in got)
+    assert hit / sum(r.toxic for r in got) > 0.78 and hit / sum(r.predicted for r in got) > 0.9
+    assert sum(r.predicted == r.toxic for r in got) / len(got) > 0.96
 
 
 def test_pipeline(spark):
