@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,43 +39,46 @@ def routed(document_type: Column, profile: str = "standard") -> Column:
     return out
 
 
+def _found(text: Column, f: catalog.Field, i: int, profile: str) -> Column:
+    """The first match of a field's pattern with its score, or null.
+
+    The pattern runs once over the text; the capture is taken from the match,
+    and blank matches do not occur.
+    """
+    s, pattern = catalog.SCORING[profile], FLAGS + f.patterns[i]
+
+    def scored(match: Column, value: Column) -> Column:
+        total = F.lit(s.base + (s.label if f.labelled[i] else 0.0)) + F.when(F.char_length(value) >= s.least, F.lit(s.length)).otherwise(F.lit(0.0))
+        if f.valid and profile == "standard":
+            total = total + F.when(F.rlike(value, F.lit(FLAGS + f.valid)), F.lit(s.valid)).otherwise(F.lit(0.0))
+        return F.struct(F.lit(f.name).alias("field"), F.lit(i).alias("i"), value.alias("value"), F.least(total, F.lit(s.cap)).alias("confidence"), match.alias("source_text"))
+
+    return let(F.regexp_extract(text, pattern, 0), lambda match: F.when(match != "", let(strip(F.regexp_extract(match, pattern, 1)), lambda value: scored(match, value))))
+
+
 def _candidates(text: Column, kind: Column, profile: str, every: bool) -> Column:
-    """One struct for each pattern of each wanted field; null where not wanted or not found."""
-    out = []
+    """The scored matches of the wanted fields' patterns.
+
+    A pattern is only run where the text holds one of its labels, in any case.
+    """
     routes = catalog.ROUTES[profile]
     listed = [k for k in routes if k != "unknown"]
-    for f in catalog.PROFILES[profile]:
-        own = [k for k in listed if f.name in routes[k]]
-        wanted = kind.isin(own) if own else F.lit(False)
-        if f.name in routes["unknown"]:
-            wanted = wanted | ~kind.isin(listed)
-        for i, (pattern, labelled) in enumerate(zip(f.patterns, f.labelled, strict=True)):
-            found = F.struct(
-                F.lit(f.name).alias("field"),
-                F.lit(i).alias("i"),
-                F.lit(labelled).alias("labelled"),
-                F.lit(FLAGS + f.valid if f.valid and profile == "standard" else None).cast("string").alias("valid"),
-                F.regexp_substr(text, F.lit(FLAGS + pattern)).alias("source_text"),
-                F.regexp_extract(text, FLAGS + pattern, 1).alias("value"),
-            )
-            if every or own or f.name in routes["unknown"]:
-                out.append(found if every else F.when(wanted, found))
-    return F.filter(F.array(*out), lambda c: c["source_text"].isNotNull())
-
-
-def _scored(found: Column, profile: str) -> Column:
-    s = catalog.SCORING[profile]
-
-    def points(c: Column, value: Column) -> Column:
-        total = F.lit(s.base) + F.when(c["labelled"], F.lit(s.label)).otherwise(F.lit(0.0))
-        total = total + F.when(F.char_length(value) >= s.least, F.lit(s.length)).otherwise(F.lit(0.0))
-        total = total + F.when(F.coalesce(F.rlike(value, c["valid"]), F.lit(False)), F.lit(s.valid)).otherwise(F.lit(0.0))
-        return F.struct(c["field"].alias("field"), c["i"].alias("i"), value.alias("value"), F.least(total, F.lit(s.cap)).alias("confidence"), c["source_text"].alias("source_text"))
-
-    def one(c: Column) -> Column:
-        return let(strip(c["value"]), lambda value: points(c, value))
-
-    return F.transform(found, one)
+
+    def of(seen: Column) -> Column:
+        out = []
+        for f in catalog.PROFILES[profile]:
+            own = [k for k in listed if f.name in routes[k]]
+            wanted = kind.isin(own) if own else F.lit(False)
+            if f.name in routes["unknown"]:
+                wanted = wanted | ~kind.isin(listed)
+            for i, pattern in enumerate(f.patterns if every or own or f.name in routes["unknown"] else ()):
+                needs = [F.contains(seen, F.lit(x)) for x in catalog.literals(pattern)]
+                can = reduce(Column.__or__, needs) if needs else F.lit(True)
+                out.append(F.when(can if every else wanted & can, _found(text, f, i, profile)))
+        return F.filter(F.array(*out), lambda c: c.isNotNull())
+
+    # Letters that only case folding makes equal to Latin ones.
+    return let(F.lower(F.translate(text, "ſİıK", "siik")), of)
 
 
 def extract(pages: DataFrame, profile: str = "standard", hint: str | None = None, every: bool = False, aligned: bool = False) -> DataFrame:
@@ -88,7 +93,9 @@ def extract(pages: DataFrame, profile: str = "standard", hint: str | None = None
     has_lines = "lines" in pages.columns
     full = F.coalesce(F.col("full_text"), F.lit("")) if "full_text" in pages.columns else F.lit("")
     own = F.transform("lines", lambda x: x["text"]) if has_lines else F.split(full, "\n")
-    return pages.withColumn("_e", let(F.filter(own, lambda t: strip(t) != ""), lambda lines: let(F.when(full == "", F.array_join(lines, "\n")).otherwise(full), lambda text: let(document_type(text, profile, F.col(hint) if hint else None), lambda kind: _extracted(text, lines, kind, has_lines, profile, every, aligned))))).select(*[c for c in pages.columns], "_e.document_type", "_e.fields")
+    both = let(F.filter(own, lambda t: strip(t) != ""), lambda lines: let(F.when(full == "", F.array_join(lines, "\n")).otherwise(full), lambda text: let(document_type(text, profile, F.col(hint) if hint else None), lambda kind: _extracted(text, lines, kind, has_lines, profile, every, aligned))))
+    # The row generator keeps later projections from working the fields out once more each.
+    return pages.select("*", F.inline(F.array(both)))
 
 
 def _extracted(text: Column, lines: Column, kind: Column, has_lines: bool, profile: str, every: bool, aligned: bool) -> Column:
@@ -122,7 +129,7 @@ def _extracted(text: Column, lines: Column, kind: Column, has_lines: bool, profi
         return F.transform(F.array_sort(F.transform(found, row)), lambda c: F.struct(*[c[k].alias(k) for k in keep], box_of(c["source_line"]).alias("bbox")))
 
     order = F.array(*[F.lit(f.name) for f in catalog.PROFILES[profile]]) if every else routed(kind, profile)
-    fields = let(_candidates(text, kind, profile, every), lambda found: let(_scored(found, profile), lambda scored: let(best(scored), lambda chosen: let(order, lambda o: ranked(chosen, o)))))
+    fields = let(_candidates(text, kind, profile, every), lambda found: let(best(found), lambda chosen: let(order, lambda o: ranked(chosen, o))))
     return F.struct(kind.alias("document_type"), fields.alias("fields"))
 
 
@@ -137,20 +144,11 @@ def fields_long(extracted: DataFrame, *keys: str) -> DataFrame:
     return extracted.select(*keys, "document_type", F.posexplode("fields").alias("rank", "f")).select(*keys, "document_type", "rank", "f.*")
 
 
-def field_map(extracted: DataFrame) -> Column:
-    return F.map_from_entries(F.transform("fields", lambda f: F.struct(f["field_type"], f)))
-
-
 def get_field(name: str) -> Column:
     """The value of a field of an extracted row, or null."""
     return F.get(F.filter("fields", lambda f: f["field_type"] == name), F.lit(0))["value"]
 
 
-def catalog_frame(spark, profile: str = "standard") -> DataFrame:
-    rows = [(profile, f.name, f.title, f.title_en, f.category, i, p, f.labelled[i], f.valid) for f in catalog.PROFILES[profile] for i, p in enumerate(f.patterns or ())]
-    return spark.createDataFrame(rows, "profile string, field_type string, display_name string, display_name_en string, category string, pattern_rank int, pattern string, has_cjk boolean, validation string")
-
-
 def metadata_frame(spark, profile: str = "standard") -> DataFrame:
     return spark.createDataFrame([(f.name, f.title, f.title_en, f.category) for f in catalog.PROFILES[profile]], "field_type string, display_name string, display_name_en string, category string")
 

@@ -35,6 +35,20 @@ def after(labels: str, capture: str, gap: str = GAP) -> str:
     return f"(?:{labels}){gap}{capture}"
 
 
+def literals(pattern: str) -> tuple[str, ...]:
+    """Texts in lower case one of which any match holds: how each label begins; none if that is not known."""
+    if not pattern.startswith("(?:"):
+        return ()
+    out = []
+    for label in pattern[3 : pattern.index(")")].split("|"):
+        plain = re.match(r"[^\\.?*+\[({^$]*", label).group()
+        plain = plain[:-1] if label[len(plain) : len(plain) + 1] in ("?", "*") else plain
+        if not plain:
+            return ()
+        out.append(plain.lower())
+    return tuple(out)
+
+
 @dataclass(frozen=True)
 class Field:
     name: str

@@ -84,17 +84,17 @@ def _type_sql(profile: str) -> str:
 
 
 def _typed(profile: str) -> Query:
-    return lambda spark, d: fx.frame(spark, d, fx.INVOICES).select("doc_id", extract.document_type(F.col("text"), profile).alias("document_type"))
+    return lambda spark, d: fx.frame(spark, d, fx.BUSINESS).select("doc_id", extract.document_type(F.col("text"), profile).alias("document_type"))
 
 
 for _p, _n in (("standard", "typ1_doctype"), ("lite", "typ2_doctype_lite")):
-    query(_n, f"SELECT doc_id, {_type_sql(_p)} AS document_type FROM ({fx.INVOICES}) t")(_typed(_p))
+    query(_n, f"SELECT doc_id, {_type_sql(_p)} AS document_type FROM ({fx.BUSINESS}) t")(_typed(_p))
 
 
-@query("typ3_hint", f"SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'contract' ELSE {_type_sql('standard')} END AS document_type FROM ({fx.INVOICES}) t")
+@query("typ3_hint", f"SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'contract' ELSE {_type_sql('standard')} END AS document_type FROM ({fx.BUSINESS}) t")
 def _hint(spark, d):
     hint = F.when(F.col("doc_id") % 2 == 0, "contract").otherwise("auto")
-    return fx.frame(spark, d, fx.INVOICES).select("doc_id", extract.document_type(F.col("text"), hint=hint).alias("document_type"))
+    return fx.frame(spark, d, fx.BUSINESS).select("doc_id", extract.document_type(F.col("text"), hint=hint).alias("document_type"))
 
 
 def _route_values(profile: str) -> str:
@@ -199,8 +199,8 @@ def _merge(spark, d):
 
 
 @query("txt8_merge_texts", _MERGE_SQL.format(lines=fx.LINES, gap=5) + """
-SELECT * FROM (SELECT l.doc_id, min(y) AS y, coalesce(string_agg(text, ' ' ORDER BY x, l.r) FILTER (text <> ''), '') AS text
-FROM l JOIN g ON l.doc_id = g.doc_id AND l.r = g.r GROUP BY l.doc_id, g.g) m WHERE trim(text) <> ''""".replace("min(y) AS y, ", "").replace("SELECT * FROM (SELECT l.doc_id, ", "SELECT * FROM (SELECT l.doc_id, "))
+SELECT * FROM (SELECT l.doc_id, coalesce(string_agg(text, ' ' ORDER BY x, l.r) FILTER (text <> ''), '') AS text
+FROM l JOIN g ON l.doc_id = g.doc_id AND l.r = g.r GROUP BY l.doc_id, g.g) m WHERE trim(text) <> ''""")
 def _merge_texts(spark, d):
     lines = fx.frame(spark, d, fx.LINES).groupBy("doc_id").agg(F.collect_list(F.struct("idx", "x", "y", "w", "h", "text", "confidence")).alias("lines"))
     return lines.select("doc_id", F.explode(boxes.merge_texts(F.col("lines"))).alias("text"))
@@ -208,14 +208,15 @@ def _merge_texts(spark, d):
 
 # Fields
 
-def _fields_sql(profile: str, source: str = fx.INVOICES) -> str:
+def _fields_sql(profile: str, source: str = fx.BUSINESS, every: bool = False, confidence: str = "round(confidence, 6)") -> str:
     """Long rows of all fields by profile, from the same catalog."""
     s = catalog.SCORING[profile]
     own = catalog.fields(profile)
     listed = [k for k in catalog.ROUTES[profile] if k != "unknown"]
     branches = []
-    for kind, names in catalog.ROUTES[profile].items():
-        where = f"document_type = {quote(kind)}" if kind != "unknown" else f"document_type NOT IN ({', '.join(map(quote, listed))})"
+    routes = {None: list(own)} if every else catalog.ROUTES[profile]
+    for kind, names in routes.items():
+        where = "true" if kind is None else f"document_type = {quote(kind)}" if kind != "unknown" else f"document_type NOT IN ({', '.join(map(quote, listed))})"
         for rank, name in enumerate(names):
             f = own[name]
             for i, (pattern, labelled) in enumerate(zip(f.patterns, f.labelled, strict=True)):
@@ -227,13 +228,17 @@ def _fields_sql(profile: str, source: str = fx.INVOICES) -> str:
     order = "confidence DESC, r" if profile == "standard" else "r"
     best = "(row_number() OVER (PARTITION BY doc_id, field_type ORDER BY confidence DESC, i)) AS k"
     return f"""WITH t AS MATERIALIZED (SELECT doc_id, text, {_type_sql(profile)} AS document_type FROM ({source}) t0), c AS (SELECT *, {best} FROM ({' UNION ALL '.join(branches)}) u)
-SELECT doc_id, document_type, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY {order}) - 1 AS INT) AS rank, field_type, value, round(confidence, 6) AS confidence, source_text,
+SELECT doc_id, document_type, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY {order}) - 1 AS INT) AS rank, field_type, value, {confidence} AS confidence, source_text,
   CAST(coalesce(list_position(list_transform(list_filter(string_split(text, chr(10)), lambda l: trim(l) <> ''), lambda l: contains(l, value)), true), 0) - 1 AS INT) AS source_line FROM c WHERE k = 1"""
 
 
+def _spread(spark, d):
+    """Business texts over all cores: the supplied table is one row group, which one task would read."""
+    return fx.frame(spark, d, fx.BUSINESS).repartition(spark.sparkContext.defaultParallelism)
+
+
 def _extracted(spark, d, profile="standard", **options):
-    rows = fx.frame(spark, d, fx.INVOICES).withColumnRenamed("text", "full_text")
-    return extract.extract(rows, profile, **options)
+    return extract.extract(_spread(spark, d).withColumnRenamed("text", "full_text"), profile, **options)
 
 
 def _long(profile: str) -> Query:
@@ -248,7 +253,7 @@ query("ext1_fields_long", _fields_sql("standard"))(_long("standard"))
 query("ext8_fields_lite", _fields_sql("lite"))(_long("lite"))
 
 
-@query("ext1_summary", f"SELECT t.doc_id, t.document_type, CAST(count(f.field_type) AS INT) AS total_fields, CAST(count(*) FILTER (f.confidence >= 0.6) AS INT) AS high_confidence_fields FROM (SELECT doc_id, {_type_sql('standard')} AS document_type FROM ({fx.INVOICES}) t0) t LEFT JOIN ({_fields_sql('standard')}) f ON f.doc_id = t.doc_id GROUP BY 1, 2")
+@query("ext1_summary", f"SELECT t.doc_id, t.document_type, CAST(count(f.field_type) AS INT) AS total_fields, CAST(count(*) FILTER (f.confidence >= 0.6) AS INT) AS high_confidence_fields FROM (SELECT doc_id, {_type_sql('standard')} AS document_type FROM ({fx.BUSINESS}) t0) t LEFT JOIN ({_fields_sql('standard')}) f ON f.doc_id = t.doc_id GROUP BY 1, 2")
 def _summary(spark, d):
     return extract.summary(_extracted(spark, d)).select("doc_id", "document_type", "total_fields", "high_confidence_fields")
 
@@ -267,39 +272,65 @@ def _category(spark, d):
     return m.groupBy("category").agg(F.count("*").alias("n"), F.array_join(F.sort_array(F.collect_list("field_type")), ",").alias("fields"))
 
 
-@query("ext1_amount_by_type", f"SELECT document_type, count(*) AS n, CAST(round(sum(CAST(value AS DOUBLE)), 2) AS DECIMAL(18,2))::DOUBLE AS amount FROM ({_fields_sql('standard')}) f WHERE field_type = 'amount_total' GROUP BY document_type")
+@query("ext1_amount_by_type", f"SELECT document_type, count(*) AS n, CAST(round(sum(TRY_CAST(value AS DOUBLE)), 2) AS DECIMAL(18,2))::DOUBLE AS amount FROM ({_fields_sql('standard')}) f WHERE field_type = 'amount_total' GROUP BY document_type")
 def _amounts(spark, d):
     rows = extract.fields_long(_extracted(spark, d), "doc_id").filter("field_type = 'amount_total'")
-    return rows.groupBy("document_type").agg(F.count("*").alias("n"), F.round(F.sum(F.col("value").cast("double")), 2).alias("amount"))
+    return rows.groupBy("document_type").agg(F.count("*").alias("n"), F.round(F.sum(F.col("value").try_cast("double")), 2).alias("amount"))
 
 
-@query("ext1_all_fields")
+@query("ext1_all_fields", f"SELECT doc_id, document_type, field_type, value, confidence FROM ({_fields_sql('standard', every=True)}) f")
 def _all_fields(spark, d):
     rows = extract.fields_long(_extracted(spark, d, every=True), "doc_id")
-    return rows.select("doc_id", "document_type", "field_type", "value", "confidence")
+    return rows.select("doc_id", "document_type", "field_type", "value", F.round("confidence", 6).alias("confidence"))
+
+
+@query("ext8_all_fields_lite", f"SELECT doc_id, document_type, field_type, value, confidence FROM ({_fields_sql('lite', every=True)}) f")
+def _all_fields_lite(spark, d):
+    rows = extract.fields_long(_extracted(spark, d, "lite", every=True), "doc_id")
+    return rows.select("doc_id", "document_type", "field_type", "value", F.round("confidence", 6).alias("confidence"))
+
+
+#: Business texts with a blank first line in every fifth.
+_LINED = f"SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN ' ' || chr(10) || text ELSE text END AS text FROM ({fx.BUSINESS}) i"
+
+
+def _box_sql(at: str) -> str:
+    """The box of a line by its number from 1, as the fixture places it."""
+    return f"CAST(doc_id % 3 AS INT) AS x, CAST(({at} - 1) * 12 + doc_id % 7 AS INT) AS y, CAST(length(string_split(text, chr(10))[{at}]) * 9 + 1 AS INT) AS w, 11 AS h"
+
+
+_BOXED = f"""SELECT doc_id, rank, field_type, value, confidence, source_line, CASE WHEN source_line < 0 THEN 0 ELSE x END AS x, CASE WHEN source_line < 0 THEN 0 ELSE y END AS y,
+  CASE WHEN source_line < 0 THEN 0 ELSE w END AS w, CASE WHEN source_line < 0 THEN 0 ELSE h END AS h
+FROM (SELECT f.*, {_box_sql('(f.source_line + 1)').replace('doc_id', 'f.doc_id')} FROM ({_fields_sql('standard', _LINED, confidence='confidence')}) f JOIN ({_LINED}) l ON l.doc_id = f.doc_id) b"""
 
 
 def _lined(spark, d):
     """Invoice texts as recognized lines with boxes, every fifth document with a blank first line."""
-    rows = fx.frame(spark, d, fx.INVOICES).withColumn("text", F.when(F.col("doc_id") % 5 == 0, F.concat(F.lit(" \n"), F.col("text"))).otherwise(F.col("text")))
+    rows = _spread(spark, d).withColumn("text", F.when(F.col("doc_id") % 5 == 0, F.concat(F.lit(" \n"), F.col("text"))).otherwise(F.col("text")))
     lines = rows.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_idx", "text"))
     at = F.col("line_idx") * 12 + F.col("doc_id") % 7
     return lines.select("doc_id", "line_idx", "text", F.lit(0.9).alias("confidence"), (F.col("doc_id") % 3).cast("int").alias("x"), at.cast("int").alias("y"), (F.char_length("text") * 9 + 1).alias("w"), F.lit(11).alias("h"))
 
 
-@query("ext5_boxes")
+@query("ext5_boxes", f"SELECT doc_id, field_type, value, source_line, x, y, w, h FROM ({_BOXED}) b")
 def _boxes(spark, d):
     rows = extract.fields_long(extract.extract(files.pages_of_lines(_lined(spark, d))), "doc_id")
     return rows.select("doc_id", "field_type", "value", "source_line", "bbox.*")
 
 
-@query("ext9_value_boxes")
+_HIT = "list_position(list_transform(s, lambda t: contains(t, value) OR contains(value, t)), true)"
+
+
+@query("ext9_value_boxes", f"""SELECT doc_id, field_type, CASE WHEN last > 0 THEN x END AS x, y, w, CASE WHEN last > 0 THEN h END AS h FROM (SELECT doc_id, field_type, last, {_box_sql('last')} FROM (
+  SELECT *, len(s) + 1 - list_position(list_reverse(list_transform(s, lambda t: t = s[{_HIT}])), true) AS last FROM (
+    SELECT f.doc_id, f.field_type, f.value, l.text, list_transform(string_split(l.text, chr(10)), lambda t: {_STRIP % 't'}) AS s
+    FROM ({_fields_sql('lite', _LINED)}) f JOIN ({_LINED}) l ON l.doc_id = f.doc_id) a) b) c""")
 def _value_boxes(spark, d):
     rows = extract.extract(files.pages_of_lines(_lined(spark, d)), "lite")
     return rows.select("doc_id", F.explode(extract.value_boxes(rows)).alias("b")).select("doc_id", "b.*")
 
 
-@query("src_pages_of_lines", f"SELECT doc_id, text AS full_text, CAST(len(string_split(text, chr(10))) AS INT) AS n_lines, CAST(0.9 AS DOUBLE) AS avg_confidence FROM (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN ' ' || chr(10) || text ELSE text END AS text FROM ({fx.INVOICES}) i) t")
+@query("src_pages_of_lines", f"SELECT doc_id, text AS full_text, CAST(len(string_split(text, chr(10))) AS INT) AS n_lines, CAST(0.9 AS DOUBLE) AS avg_confidence FROM (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN ' ' || chr(10) || text ELSE text END AS text FROM ({fx.BUSINESS}) i) t")
 def _pages(spark, d):
     return files.pages_of_lines(_lined(spark, d)).select("doc_id", "full_text", F.size("lines").alias("n_lines"), F.round("avg_confidence", 9).alias("avg_confidence"))
 
@@ -355,7 +386,10 @@ def _order(spark, d):
     return boxes.reading_order(_regions(spark, d)).select("doc_id", "region_idx", "order")
 
 
-@query("det1_detect")
+@query("det1_detect", f"""WITH RECURSIVE b AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY confidence DESC, region_idx) AS r FROM ({fx.REGIONS}) q WHERE w * h BETWEEN 100 AND 50000 AND CAST(w AS DOUBLE) / greatest(h, 1) BETWEEN 0.1 AND 10),
+k AS (SELECT doc_id, r, [struct_pack(x := x, y := y, w := w, h := h, id := region_idx)] AS kept FROM b WHERE r = 1
+UNION ALL SELECT b.doc_id, b.r, CASE WHEN len(list_filter(k.kept, lambda o: {_iou_sql('o', 'b')} >= 0.3)) > 0 THEN k.kept ELSE list_append(k.kept, struct_pack(x := b.x, y := b.y, w := b.w, h := b.h, id := b.region_idx)) END FROM k JOIN b ON b.doc_id = k.doc_id AND b.r = k.r + 1)
+SELECT doc_id, o.id AS region_idx, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY o.y, o.x, o.id) - 1 AS INT) AS "order" FROM (SELECT doc_id, unnest(kept) AS o FROM (SELECT doc_id, arg_max(kept, r) AS kept FROM k GROUP BY doc_id) z) y""")
 def _detect(spark, d):
     return boxes.detect(_regions(spark, d)).select("doc_id", "region_idx", "order")
 
@@ -436,16 +470,21 @@ def _otsu(spark, d):
     return pixels.otsu(fx.grids(spark, d))
 
 
-@query("lay3_header", f"SELECT doc_id, 0 AS x, 0 AS y, width AS w, height AS h, 'header' AS region_type, 0.6::DOUBLE AS confidence FROM ({fx.GRIDS}) g WHERE CAST(len(list_filter(px, lambda v: v = 255)) AS DOUBLE) / 64 < 0.95e0")
-def _header(spark, d):
-    rows = fx.grids(spark, d).select("doc_id", pixels.strip_box(F.col("height"), F.col("width"), F.col("px")).alias("b"))
-    return rows.filter(F.col("b").isNotNull()).select("doc_id", "b.*")
+def _strip_sql(kind: str, first: int) -> str:
+    light = f"CAST(len(list_filter(px[{first * 8 + 1}:{(first + 20) * 8}], lambda v: v = 255)) AS DOUBLE) / 160"
+    return f"SELECT doc_id, 0 AS x, {first} AS y, width AS w, 20 AS h, '{kind}' AS region_type, 0.6::DOUBLE AS confidence FROM ({fx.TALL}) g WHERE {light} < 0.95e0"
 
 
-@query("lay4_footer", f"SELECT doc_id, 0 AS x, 0 AS y, width AS w, height AS h, 'footer' AS region_type, 0.6::DOUBLE AS confidence FROM ({fx.GRIDS}) g WHERE CAST(len(list_filter(px, lambda v: v = 255)) AS DOUBLE) / 64 < 0.95e0")
-def _footer(spark, d):
-    rows = fx.grids(spark, d).select("doc_id", pixels.strip_box(F.col("height"), F.col("width"), F.col("px"), bottom=True).alias("b"))
-    return rows.filter(F.col("b").isNotNull()).select("doc_id", "b.*")
+def _strip(bottom: bool) -> Query:
+    def run(spark, d):
+        rows = fx.tall(spark, d).select("doc_id", pixels.strip_box(F.col("height"), F.col("width"), F.col("px"), bottom=bottom).alias("b"))
+        return rows.filter(F.col("b").isNotNull()).select("doc_id", "b.*")
+
+    return run
+
+
+query("lay3_header", _strip_sql("header", 0))(_strip(False))
+query("lay4_footer", _strip_sql("footer", 44))(_strip(True))
 
 
 @query("img7_angle", f"SELECT doc_id, CASE WHEN abs(a) < 0.5e0 THEN 0e0 ELSE a END AS angle FROM (SELECT doc_id, median(CASE WHEN g > 45 THEN g - 90 WHEN g < -45 THEN g + 90 ELSE g END) AS a FROM (SELECT doc_id, degrees(atan2(CAST(h AS DOUBLE), CAST(w AS DOUBLE))) AS g FROM ({fx.REGIONS}) r) q GROUP BY doc_id) z")
@@ -461,7 +500,7 @@ def _red(spark, d):
 
 # Reports and sinks
 
-@query("rpt1_color", f"SELECT doc_id, field_type, CASE WHEN confidence >= 0.8e0 THEN 'rgb(0,200,0)' WHEN confidence >= 0.6e0 THEN 'rgb(0,165,255)' ELSE 'rgb(0,0,255)' END AS color FROM ({_fields_sql('standard').replace('round(confidence, 6) AS confidence', 'confidence')}) f")
+@query("rpt1_color", f"SELECT doc_id, field_type, CASE WHEN confidence >= 0.8e0 THEN 'rgb(0,200,0)' WHEN confidence >= 0.6e0 THEN 'rgb(0,165,255)' ELSE 'rgb(0,0,255)' END AS color FROM ({_fields_sql('standard', confidence='confidence')}) f")
 def _color(spark, d):
     return extract.fields_long(_extracted(spark, d), "doc_id").select("doc_id", "field_type", report.confidence_color(F.col("confidence")).alias("color"))
 
@@ -483,56 +522,81 @@ def _templates(spark, d):
     return report.templates(spark).withColumn("field_types", F.array_join("field_types", ","))
 
 
-@query("rpt10_title", f"SELECT doc_id, CASE document_type {' '.join(f'WHEN {quote(k)} THEN {quote(v)}' for k, v in catalog.TYPE_TITLES.items())} ELSE document_type END AS title FROM (SELECT doc_id, {_type_sql('lite')} AS document_type FROM ({fx.INVOICES}) t) q")
+@query("rpt10_title", f"SELECT doc_id, CASE document_type {' '.join(f'WHEN {quote(k)} THEN {quote(v)}' for k, v in catalog.TYPE_TITLES.items())} ELSE document_type END AS title FROM (SELECT doc_id, {_type_sql('lite')} AS document_type FROM ({fx.BUSINESS}) t) q")
 def _title(spark, d):
-    return fx.frame(spark, d, fx.INVOICES).select("doc_id", report.type_title(extract.document_type(F.col("text"), "lite")).alias("title"))
+    return fx.frame(spark, d, fx.BUSINESS).select("doc_id", report.type_title(extract.document_type(F.col("text"), "lite")).alias("title"))
+
+
+def _title_sql(names: dict[str, str], of: str) -> str:
+    return f"CASE {of} {' '.join(f'WHEN {quote(k)} THEN {quote(v)}' for k, v in names.items())} ELSE {of} END"
+
 
+def _html_sql(text: str) -> str:
+    return f"replace(replace(replace(replace({text}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;')"
 
-@query("rpt4_annotations")
+
+_NAMED = _title_sql({f.name: f.title for f in catalog.STANDARD}, "field_type")
+_PCT = "round_even(confidence * 100, 0)"
+_PCT_COLOR = f"CASE WHEN {_PCT} >= 80 THEN '#28a745' WHEN {_PCT} >= 60 THEN '#fd7e14' ELSE '#dc3545' END"
+_RGB = "CASE WHEN confidence >= 0.8e0 THEN 'rgb(0,200,0)' WHEN confidence >= 0.6e0 THEN 'rgb(0,165,255)' ELSE 'rgb(0,0,255)' END"
+_MARK = f"""'<rect x="' || x || '" y="' || y || '" width="' || w || '" height="' || h || '" fill="none" stroke="' || {_RGB} || '" stroke-width="2"/><text x="' || x || '" y="' || greatest(y - 5, 17) || '" fill="' || {_RGB} || '">' || {_html_sql(f"{_NAMED} || ': ' || substr(value, 1, 20)")} || '</text>'"""
+
+
+@query("rpt4_annotations", f"""SELECT t.doc_id, CAST(coalesce(m.n, 0) AS INT) AS n, '<svg xmlns="http://www.w3.org/2000/svg" width="400" height="200">' || coalesce(m.marks, '') || '</svg>' AS svg
+FROM ({fx.BUSINESS}) t LEFT JOIN (SELECT doc_id, count(*) AS n, string_agg({_MARK}, '' ORDER BY rank) AS marks FROM ({_BOXED}) b WHERE w > 0 OR h > 0 OR x > 0 OR y > 0 GROUP BY doc_id) m ON m.doc_id = t.doc_id""")
 def _annotations(spark, d):
     rows = extract.extract(files.pages_of_lines(_lined(spark, d)))
     marks = report.annotations(F.col("fields"))
     return rows.select("doc_id", F.size(marks).alias("n"), report.svg(F.lit(400), F.lit(200), marks).alias("svg"))
 
 
-@query("snk4_html")
+#: Documents with their type and what is made of their fields, in order of rank.
+_PER_DOC = f"SELECT t.doc_id, t.text, t.document_type, coalesce(f.n, 0) AS n, coalesce(f.high, 0) AS high, coalesce(f.made, '') AS made FROM (SELECT doc_id, text, {_type_sql('standard')} AS document_type FROM ({fx.BUSINESS}) t0) t LEFT JOIN (SELECT doc_id, count(*) AS n, count(*) FILTER (confidence >= 0.6e0) AS high, string_agg(%s, '%s' ORDER BY rank) AS made FROM ({_fields_sql('standard', confidence='confidence')}) f0 GROUP BY doc_id) f ON f.doc_id = t.doc_id"
+_ROW = f"""'<tr><td>' || {_html_sql(_NAMED)} || '</td><td>' || {_html_sql('value')} || '</td><td style="color:' || {_PCT_COLOR} || '">' || CAST({_PCT} AS INT) || '%%</td></tr>'"""
+
+
+@query("snk4_html", f"""SELECT doc_id, '<!DOCTYPE html><html><head><meta charset="utf-8"></head><body><h1>' || doc_id || '</h1><p>' || {_html_sql(_title_sql(catalog.TYPE_TITLES, 'document_type'))} || ': ' || n || '</p><table>' || made || '</table><pre>' || {_html_sql('substr(text, 1, 2000)')} || '</pre></body></html>' AS html
+FROM ({_PER_DOC.replace("%s", _ROW.replace("%%", "%"), 1).replace("'%s'", "''")}) q""")
 def _html(spark, d):
     return _extracted(spark, d).select("doc_id", report.html(F.col("doc_id"), F.col("document_type"), F.col("fields"), F.col("full_text")).alias("html"))
 
 
-@query("snk2_json")
+_ENTRY = f"""to_json(field_type) || ':{{"field_type":' || to_json(field_type) || ',"display_name":' || to_json({_NAMED}) || ',"value":' || to_json(value) || ',"confidence":' || round(confidence, 3) || ',"source_text":' || to_json(source_text) || ',"category":' || to_json({_title_sql({f.name: f.category for f in catalog.STANDARD}, 'field_type')}) || '}}'"""
+
+
+@query("snk2_json", f"""SELECT doc_id, '{{"document_type":"' || document_type || '","total_fields":' || n || ',"high_confidence_fields":' || high || ',"fields":{{' || made || '}}}}' AS json FROM ({_PER_DOC.replace("%s", _ENTRY, 1).replace("'%s'", "','")}) q""")
 def _json(spark, d):
     rows = _extracted(spark, d)
     return rows.select("doc_id", report.extraction_json(rows).alias("json"))
 
 
-@query("snk1_result_json", f"SELECT doc_id, CASE WHEN doc_id % 9 = 0 THEN '{{\"success\":false,\"extraction\":null,\"error\":\"cannot decode image\"}}' ELSE '{{\"success\":true,\"extraction\":\"' || document_type || '\"}}' END AS json FROM (SELECT doc_id, {_type_sql('standard')} AS document_type FROM ({fx.INVOICES}) t) q")
+@query("snk1_result_json", f"SELECT doc_id, CASE WHEN doc_id % 9 = 0 THEN '{{\"success\":false,\"extraction\":null,\"error\":\"cannot decode image\"}}' ELSE '{{\"success\":true,\"extraction\":\"' || document_type || '\"}}' END AS json FROM (SELECT doc_id, {_type_sql('standard')} AS document_type FROM ({fx.BUSINESS}) t) q")
 def _result_json(spark, d):
     bad = F.col("doc_id") % 9 == 0
-    rows = fx.frame(spark, d, fx.INVOICES).withColumn("k", extract.document_type(F.col("text")))
+    rows = fx.frame(spark, d, fx.BUSINESS).withColumn("k", extract.document_type(F.col("text")))
     return rows.select("doc_id", report.result_json(~bad, F.when(bad, "cannot decode image"), F.when(~bad, F.col("k"))).alias("json"))
 
 
-@query("snk8_response", f"SELECT t.doc_id, true AS success, t.document_type, s.total_fields, s.high_confidence_fields, substr(t.text, 1, 500) AS ocr_text FROM (SELECT doc_id, text, {_type_sql('standard')} AS document_type FROM ({fx.INVOICES}) t0) t JOIN ({_SQL['ext1_summary']}) s ON s.doc_id = t.doc_id")
+@query("snk8_response", f"SELECT t.doc_id, true AS success, t.document_type, s.total_fields, s.high_confidence_fields, substr(t.text, 1, 500) AS ocr_text FROM (SELECT doc_id, text, {_type_sql('standard')} AS document_type FROM ({fx.BUSINESS}) t0) t JOIN ({_SQL['ext1_summary']}) s ON s.doc_id = t.doc_id")
 def _response(spark, d):
     return report.response(_extracted(spark, d))
 
 
-@query("snk9_batch", f"SELECT count(*) AS total, count(*) FILTER (doc_id % 9 <> 0) AS successful, count(*) FILTER (doc_id % 9 = 0) AS failed FROM ({fx.INVOICES}) t")
+@query("snk9_batch", f"SELECT count(*) AS total, count(*) FILTER (doc_id % 9 <> 0) AS successful, count(*) FILTER (doc_id % 9 = 0) AS failed FROM ({fx.BUSINESS}) t")
 def _batch(spark, d):
-    return report.batch_summary(fx.frame(spark, d, fx.INVOICES).select((F.col("doc_id") % 9 != 0).alias("success")))
+    return report.batch_summary(fx.frame(spark, d, fx.BUSINESS).select((F.col("doc_id") % 9 != 0).alias("success")))
 
 
-@query("snk6_console")
+@query("snk6_console", f"""SELECT doc_id, made AS summary FROM ({_PER_DOC.replace("%s", f"{_NAMED} || ': ' || substr(value, 1, 40) || ' (' || CAST({_PCT} AS INT) || '%)'", 1).replace("'%s'", "chr(10)")}) q""")
 def _console(spark, d):
     rows = _extracted(spark, d)
     return rows.select("doc_id", F.array_join(report.console_lines(rows), "\n").alias("summary"))
 
 
-@query("rpt9_empty_page", f"SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 'no text was recognized' END AS warning FROM ({fx.INVOICES}) t")
+@query("rpt9_empty_page", f"SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 'no text was recognized' END AS warning FROM ({fx.BUSINESS}) t")
 def _empty(spark, d):
     lines = F.when(F.col("doc_id") % 4 == 0, F.array().cast("array<string>")).otherwise(F.split("text", "\n"))
-    return fx.frame(spark, d, fx.INVOICES).select("doc_id", report.empty_page(lines).alias("warning"))
+    return fx.frame(spark, d, fx.BUSINESS).select("doc_id", report.empty_page(lines).alias("warning"))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

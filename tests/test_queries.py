@@ -4,6 +4,7 @@ import duckdb
 import pytest
 
 from pagemill import registry
+from pagemill.plans import catalog
 
 SF = "/root/testdata/sf0.001"
 TABLES = ("orders", "lineitem", "documents", "embeddings")
@@ -40,9 +41,31 @@ def test_has_rows(spark, name):
 
 def test_boxes_follow_the_shift_of_blank_lines(spark):
     rows = {(r.doc_id, r.field_type): r for r in registry.queries()["ext5_boxes"](spark, SF).collect()}
-    plain_doc, shifted = rows[6, "invoice_number"], rows[10, "invoice_number"]
-    assert plain_doc.y == plain_doc.source_line * 12 + 6
-    assert shifted.source_line == 1 and shifted.y == 1 * 12 + 10 % 7
+    plain_doc, shifted = rows[11, "invoice_number"], rows[55, "invoice_number"]
+    assert plain_doc.y == plain_doc.source_line * 12 + 11 % 7
+    assert shifted.source_line == 1 and shifted.y == 1 * 12 + 55 % 7
+
+
+def test_fixtures_have_every_type_and_field(spark):
+    types = lambda name: {r.document_type for r in registry.queries()[name](spark, SF).select("document_type").distinct().collect()}
+    assert types("typ1_doctype") == {*catalog.KEYWORDS["standard"], "unknown"}
+    assert types("typ2_doctype_lite") == {*catalog.KEYWORDS["lite"], "unknown"}
+    for name, profile in (("ext1_all_fields", "standard"), ("ext8_all_fields_lite", "lite")):
+        found = {r.field_type for r in registry.queries()[name](spark, SF).select("field_type").distinct().collect()}
+        assert found == {f.name for f in catalog.PROFILES[profile] if f.patterns}
+
+
+def test_header_and_footer_differ(spark):
+    ids = lambda name: {r.doc_id for r in registry.queries()[name](spark, SF).collect()}
+    assert ids("lay3_header") - ids("lay4_footer") and ids("lay4_footer") - ids("lay3_header")
+
+
+def test_fields_are_worked_out_once(spark):
+    """In the optimized plan: two runs of a pattern at most, on the text and on its match."""
+    for name in ("ext1_fields_long", "ext1_summary", "ext6_get_field"):
+        plan = registry.queries()[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+        patterns = sum(len(f.patterns) for f in catalog.STANDARD if any(f.name in r for r in catalog.ROUTES["standard"].values()))
+        assert patterns <= plan.count("regexp_extract(") <= 2 * patterns, name
 
 
 def test_nothing_else_needs_the_corpus_package():
