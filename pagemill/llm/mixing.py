@@ -8,11 +8,22 @@ and p the wanted inclusion probability, documents are ranked by
 (U / (1 - U)) / (p / (1 - p)) and taken from the least while the middle of the
 next one is below the words still wanted.
 
-Weights go round the sources in code point order, null last.  A null or blank
-text has size 0 and is never counted.  Repeated rows of one doc_id and text
-share one draw.  Reruns agree: there is no other randomness.  Only Spark
-expressions run here; rows of a source are never gathered, only sums for each
-of 4,096 rank buckets, and the rows of the one bucket that the cut falls in.
+p is min(1, c w), w a document's weight and c such that the words expected are
+those wanted.  Unless given, w is size ** -1/4, so that a few long documents do
+not make up a source's sample.  Weights are rounded to 16 steps an octave, which
+makes c a matter of one row a step; one of null or below 2 ** -50 counts as
+that.
+
+Source weights go round the sources in code point order, null last.  A null or
+blank text has size 0 and is never counted.  A document without an id draws by
+its text.  Repeated rows of one doc_id and text share one draw, and are taken
+together.  Reruns agree: there is no other randomness.  An empty table gives no
+rows; extra columns are ignored by ``mix`` and kept by ``mixed_documents``.
+
+Only Spark expressions run here; rows of a source are never gathered, only sums
+for each of 4,096 rank buckets, and the rows of the one bucket that the cut
+falls in: about one in 4,096, as the cut lies near rank 1/2, where at most an
+even share of the ranks does.  One row a source is sorted in one task.
 """
 
 from __future__ import annotations
@@ -27,22 +38,35 @@ WORD = r"[^\x20\x09-\x0D]+"
 BUCKETS = 4096
 
 
+#: Steps of a weight's octave, and the least step.
+STEPS, LEAST = 16, -800
+
+
 def sized(docs: DataFrame, weight: Column | None = None) -> DataFrame:
-    """doc_id, source, size, u in (0, 1), weight and a tie-breaking hash."""
-    u = (F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))), 1, 13), 16, 10).cast("double") + 0.5) / F.lit(float(1 << 52))
-    return docs.select(
+    """doc_id, source, size, u in (0, 1), step of the weight and a tie-breaking hash."""
+    name = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("null "), F.hex(F.xxhash64("text"))))
+    u = (F.conv(F.substring(F.md5(name), 1, 13), 16, 10).cast("double") + 0.5) / F.lit(float(1 << 52))
+    rows = docs.select(
         "doc_id",
         "source",
         F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
         u.alias("u"),
-        (weight if weight is not None else F.lit(1.0)).alias("weight"),
         F.xxhash64("text").alias("tie"),
+        *([] if weight is None else [weight.cast("double").alias("weight")]),
     )
+    octaves = F.log2("size") * -0.25 if weight is None else F.log2("weight")
+    step = F.greatest(F.coalesce(F.round(octaves * STEPS), F.lit(float(LEAST))), F.lit(float(LEAST))).cast("int")
+    return rows.withColumn("step", step).drop("weight")
+
+
+def _weight(step: Column) -> Column:
+    return F.pow(F.lit(2.0), step / float(STEPS))
 
 
 def targets(narrow: DataFrame, weights: tuple[float, ...], share: float, cap: float) -> DataFrame:
-    """source, source_size, source_mass and target, one row a source."""
-    by = narrow.groupBy("source").agg(F.sum("size").alias("source_size"), F.sum(F.col("size") * F.col("weight")).alias("source_mass"))
+    """source, source_size, target, whole copies, words wanted beyond them and scale, one row a source."""
+    steps = materialise(narrow.groupBy("source", "step").agg(F.sum("size").alias("n")), "mix-steps")
+    by = steps.groupBy("source").agg(F.sum("n").alias("source_size"))
     every = Window.partitionBy(F.lit(0))
     turn = Window.partitionBy(F.lit(0)).orderBy(F.col("source").asc_nulls_last())
     by = by.withColumn("w", F.get(F.array(*[F.lit(float(w)) for w in weights]), (F.row_number().over(turn) - 1) % len(weights)))
@@ -53,18 +77,27 @@ def targets(narrow: DataFrame, weights: tuple[float, ...], share: float, cap: fl
     total = F.sum("source_size").over(every) * F.lit(float(share))
     by = by.withColumn("level", (total - F.coalesce(F.sum("most").over(before), F.lit(0.0))) / F.sum("w").over(onward))
     by = by.withColumn("level", F.max(F.when(F.col("level") <= F.col("ratio"), F.col("level"))).over(every))
-    return by.select("source", "source_size", "source_mass", F.least("most", F.coalesce(F.col("level") * F.col("w"), F.col("most"))).alias("target"))
+    by = by.withColumn("target", F.least("most", F.coalesce(F.col("level") * F.col("w"), F.col("most"))))
+    copies = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
+    by = by.withColumn("whole", F.floor(copies)).withColumn("wanted", F.col("target") - F.floor(copies) * F.col("source_size"))
+    # Steps above some are certain; the first that is not, with those below it, gives the scale.
+    own = steps.withColumnRenamed("source", "_s").join(F.broadcast(by.select("source", "wanted")), F.col("_s").eqNullSafe(F.col("source"))).filter("n > 0")
+    falling = Window.partitionBy("source").orderBy(F.col("step").desc())
+    above = F.coalesce(F.sum("n").over(falling.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    mass = F.sum(F.col("n") * _weight(F.col("step"))).over(falling.rowsBetween(Window.currentRow, Window.unboundedFollowing))
+    own = own.withColumn("c", (F.col("wanted") - above) / mass)
+    scale = own.filter(F.col("c") * _weight(F.col("step")) <= 1).groupBy("source").agg(F.max("c").alias("scale"))
+    joined = by.join(F.broadcast(scale.withColumnRenamed("source", "_s")), F.col("source").eqNullSafe(F.col("_s")), "left")
+    return joined.select("source", "source_size", "target", "whole", "wanted", F.coalesce("scale", F.lit(0.0)).alias("scale"))
 
 
 def _ranked(rows: DataFrame, per_source: DataFrame) -> DataFrame:
-    """Whole copies, and the Pareto rank z in (0, 1) of the fractional copy."""
+    """The Pareto rank z in (0, 1) of the fractional copy."""
     rows = lookup_join(rows, per_source, "source")
-    copies = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    rows = rows.withColumn("whole", F.floor(copies)).withColumn("part", copies - F.floor(copies))
-    p = F.try_divide(F.col("part") * F.col("weight") * F.col("source_size"), F.col("source_mass"))
-    p = F.least(F.greatest(F.coalesce(p, F.lit(0.0)), F.lit(1e-15)), F.lit(1.0 - 1e-15))
+    p = F.col("scale") * _weight(F.col("step"))
+    p = F.least(F.greatest(p, F.lit(1e-15)), F.lit(1.0 - 1e-15))
     q = (F.col("u") / (1.0 - F.col("u"))) / (p / (1.0 - p))
-    return rows.withColumn("z", q / (1.0 + q)).withColumn("wanted", F.col("target") - F.col("whole") * F.col("source_size"))
+    return rows.withColumn("z", q / (1.0 + q))
 
 
 def _cuts(ranked: DataFrame) -> DataFrame:
@@ -130,14 +163,25 @@ l AS (
          / sum(w) OVER (ORDER BY ratio, encode(source) NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
   FROM r),
 t AS (SELECT source, source_size, least(most, coalesce((SELECT max(level) FROM l WHERE level <= ratio) * w, most)) AS target FROM l),
-c AS (
-  SELECT d.doc_id, d.size, d.u, t.source, t.source_size, t.target,
-         CASE WHEN t.source_size > 0 THEN floor(t.target / t.source_size) ELSE 0 END AS whole
-  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+h AS (
+  SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS whole,
+         target - CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END * source_size AS wanted
+  FROM t),
+e AS (SELECT *, CASE WHEN size > 0 THEN greatest(-800, CAST(round(log2(size) * -4e0) AS INT)) ELSE -800 END AS step FROM d),
+g AS (SELECT source, step, pow(2e0, step / 16e0) AS weight, sum(size) AS n FROM e WHERE size > 0 GROUP BY source, step),
+k AS (
+  SELECT g.source, weight,
+         (wanted - coalesce(sum(n) OVER (PARTITION BY g.source ORDER BY step DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+         / sum(n * weight) OVER (PARTITION BY g.source ORDER BY step DESC ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS c
+  FROM g JOIN h ON g.source IS NOT DISTINCT FROM h.source),
+m AS (SELECT source, max(c) AS scale FROM k WHERE c * weight <= 1 GROUP BY source),
+p AS (
+  SELECT e.doc_id, e.size, e.u, h.source, h.source_size, h.target, h.whole, h.wanted,
+         least(greatest(coalesce(m.scale, 0e0) * pow(2e0, e.step / 16e0), 1e-15), 1e0 - 1e-15) AS p
+  FROM e JOIN h ON e.source IS NOT DISTINCT FROM h.source LEFT JOIN m ON e.source IS NOT DISTINCT FROM m.source),
 o AS (
-  SELECT *, target - whole * source_size AS wanted,
-         coalesce(sum(size) OVER (PARTITION BY source ORDER BY u, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ahead
-  FROM c)
+  SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY (u / (1 - u)) / (p / (1 - p)), doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ahead
+  FROM p)
 """
 
 ORACLE = (

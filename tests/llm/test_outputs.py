@@ -1,6 +1,7 @@
 """Token shards, chat format, mixing, fingerprints and URL filters."""
 
 import hashlib
+import math
 import random
 import zlib
 
@@ -110,6 +111,41 @@ def test_mix(spark, empty):
     assert mixing.mix(empty).count() == 0
 
 
+def test_long_documents_are_taken_less_often(spark):
+    """Inclusion frequencies by size are the wanted probabilities."""
+    rows = [(i, "w " * (1, 16, 81, 256)[i % 4], "a") for i in range(8000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.mix(docs, share=1.4).collect()
+    total = sum(r.size for r in got)
+    weight = {n: 2 ** (round(-4 * math.log2(n)) / 16) for n in (1, 16, 81, 256)}
+    low, high = 0.0, 100.0
+    for _ in range(100):
+        c = (low + high) / 2
+        low, high = (c, high) if sum(r.size * min(1, c * weight[r.size]) for r in got) < 0.4 * total else (low, c)
+    for n, w in weight.items():
+        own, p = [r for r in got if r.size == n], min(1, c * w)
+        assert abs(sum(r.taken > n for r in own) / len(own) - p) < 4 * math.sqrt(p * (1 - p) / len(own)) + 2e-3, (n, p)
+    assert abs(sum(r.taken for r in got) - 1.4 * total) <= 256
+
+
+def test_weights_given_by_column(spark):
+    rows = [(i, "w " * 10, "a", 8.0 if i % 2 else 1.0) for i in range(2000)] + [(5000, "w", "a", None), (5001, "w", "a", -1.0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, favour double")
+    got = mixing.mix(docs, share=0.2, weight=F.col("favour")).collect()
+    often = [sum(r.taken > 0 for r in got if r.doc_id % 2 == k and r.doc_id < 5000) for k in (0, 1)]
+    assert 6 < often[1] / often[0] < 11 and abs(sum(r.taken for r in got) - 0.2 * 20_002) <= 10
+
+
+def test_mix_of_repeated_rows_and_no_ids(spark):
+    rows = [(None, f"word{i} " * (i % 7 + 1), "a") for i in range(400)] + [(3, "same text", "b")] * 3
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.mix(docs, share=0.5).collect()
+    assert len(got) == len(rows)
+    for source_size in {r.source_size for r in got}:
+        own = [r for r in got if r.source_size == source_size]
+        assert abs(sum(r.taken for r in own) - own[0].target) <= 7
+
+
 def test_mixed_documents_keep_columns(nasty):
     assert mixing.mixed_documents(nasty).columns == nasty.columns
 
