@@ -11,8 +11,10 @@ verifying; m itself is the cheapest of 2 to 5.  Two fingerprints within the
 radius differ in at most t_i bits of some partition i, so they agree on one of
 its values with t_i bits masked.  Each fingerprint is filed once under each
 such value; those filed together are verified.  Of what is verified only a
-spanning forest is kept, never all pairs of a group.  Groups above
-``BLOCK`` members are dealt out as pairs of blocks over many tasks.
+spanning forest is kept, never all pairs of a group.  The members of a group
+above ``BLOCK`` are filed anew, by the same principle, under their key and each
+of radius + 1 parts of its free bits, until no group is too large; no task holds
+more than a block and a batch, or compares more than a block.
 
 Exact copies are one fingerprint from the start.  A null or blank text has the
 fingerprint zero and is linked like any other.  Ties: a component is named by
@@ -30,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagemill.llm.common import discard, lean, materialise, shielded, ship
+from pagemill.llm.common import discard, lean, lookup_join, materialise, shielded, ship
 
 SHINGLE = 4
 SEED = 42
@@ -173,33 +175,17 @@ def _forest(fps: np.ndarray, radius: int) -> list[np.ndarray]:
     return edges
 
 
-def _across(a: np.ndarray, b: np.ndarray, radius: int) -> list[np.ndarray]:
-    """Edges of a spanning forest of the links between two blocks, breadth first."""
-    edges = []
-    while len(a) and len(b):
-        front, a = a[:1], a[1:]
-        while len(front):
-            found = [front[:0]]
-            for at in range(0, len(front), 256):
-                own = front[at : at + 256]
-                near = np.bitwise_count(own[:, None] ^ b[None, :]) <= radius
-                hit = near.any(axis=0)
-                if hit.any():
-                    edges.append(np.stack([own[near[:, hit].argmax(axis=0)], b[hit]]))
-                    found.append(b[hit])
-                    b = b[~hit]
-            # What was found stands in b: the next step goes back over a.
-            front, a, b = np.concatenate(found), b, a
-    return edges
-
-
-def _verifier(radius: int, block: int):
+def _verifier(radius: int, block: int, free: list[int]):
+    """Verify rows pid, value, fp in runs of one key; free: the bits that a key of each pid leaves open."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("hot", pa.bool_())])
 
     def rows(edges, hot=False):
         both = np.concatenate(edges, axis=1) if edges else np.zeros((2, 0), np.uint64)
         return pa.RecordBatch.from_arrays([pa.array(both[0].astype(np.uint64).view(np.int64)), pa.array(both[1].astype(np.uint64).view(np.int64)), pa.array(np.full(both.shape[1], hot))], schema=schema)
 
+    def star(fp):
+        return np.stack([np.full(len(fp) - 1, fp[0]), fp[1:]])
+
     def runs(pid, value, fp):
         """Verify full runs of one key each."""
         new = np.ones(len(fp), bool)
@@ -217,29 +203,42 @@ def _verifier(radius: int, block: int):
             at = at[np.bitwise_count(fp[at] ^ fp[at + gap]) <= radius]
             edges.append(np.stack([fp[at], fp[at + gap]]))
         for s, n in zip(start[size > 8].tolist(), size[size > 8].tolist(), strict=True):
-            if n > block:
-                hot.append(np.array([[np.uint64(pid[s])], [value[s]]], np.uint64))
-            else:
+            if n <= block:
                 edges += _forest(fp[s : s + n], radius)
+            elif free[pid[s]] <= radius:
+                edges.append(star(fp[s : s + n]))
+            else:
+                hot.append(np.array([[np.uint64(pid[s])], [value[s]]], np.uint64))
         return edges, hot
 
     def verify(batches):
-        """Sorted rows pid, value, fp; a run may go over several batches."""
-        kept = None
+        """A run may go over several batches; of one that is too large only its key goes on."""
+        kept, gone = None, None
         for batch in batches:
             now = [np.ascontiguousarray(c.to_numpy(zero_copy_only=False)) for c in batch.columns]
             now = [now[0], now[1].view(np.uint64), now[2].view(np.uint64)]
+            if gone is not None:
+                new = (now[0] != gone[0]) | (now[1] != gone[1])
+                first = int(new.argmax()) if new.any() else len(new)
+                now = [x[first:] for x in now]
             if not len(now[0]):
                 continue
+            gone = None
             if kept is not None:
                 now = [np.concatenate(x) for x in zip(kept, now, strict=True)]
             same = (now[0] == now[0][-1]) & (now[1] == now[1][-1])
-            cut = len(same) if not same.size else len(same) - int(np.argmin(same[::-1])) if not same.all() else 0
-            kept = [x[cut:] for x in now]
+            cut = len(same) - int(np.argmin(same[::-1])) if not same.all() else 0
+            kept = [x[cut:].copy() for x in now]
             edges, hot = runs(*[x[:cut] for x in now])
+            if len(kept[0]) > block and free[kept[0][0]] <= radius:
+                edges.append(star(kept[2]))
+                kept = [x[:1] for x in kept]
+            elif len(kept[0]) > block:
+                gone, kept = (kept[0][0], kept[1][0]), None
+                hot.append(np.array([[np.uint64(gone[0])], [gone[1]]], np.uint64))
             yield rows(edges)
             yield rows(hot, True)
-        if kept is not None and len(kept[0]):
+        if kept is not None:
             edges, hot = runs(*kept)
             yield rows(edges)
             yield rows(hot, True)
@@ -247,16 +246,11 @@ def _verifier(radius: int, block: int):
     return verify
 
 
-def _block_verifier(radius: int):
-    def verify(key, table):
-        own = np.ascontiguousarray(table.column("fp").to_numpy()).view(np.uint64)
-        side = table.column("side").to_numpy()
-        a, b = own[side == 0], own[side == 1]
-        edges = _across(a, b, radius) if len(b) else _forest(a, radius)
-        both = np.concatenate(edges, axis=1) if edges else np.zeros((2, 0), np.uint64)
-        return pa.table({"a": pa.array(both[0].view(np.int64)), "b": pa.array(both[1].view(np.int64))})
-
-    return verify
+def finer(mask: int, parts: int) -> list[int]:
+    """Masks with one of about equal parts of the free bits each, as signed longs."""
+    free = [b for b in range(64) if not mask >> b & 1]
+    out = [(mask & (2**64 - 1)) | sum(1 << b for b in free[i::parts]) for i in range(parts)]
+    return [m - (1 << 64) if m >= 1 << 63 else m for m in out]
 
 
 def _filed(nodes: DataFrame, masks: list[int]) -> DataFrame:
@@ -268,19 +262,24 @@ def links(nodes: DataFrame, radius: int, block: int = BLOCK) -> DataFrame:
     """Edges a, b that join all fingerprints within the radius, directly or not."""
     total, both = bit_statistics(nodes)
     masks = masks_of(allocate(total, both, radius))
-    filed = _filed(nodes, masks)
-    found = materialise(filed.repartition("pid", "value").sortWithinPartitions("pid", "value").mapInArrow(lean(_verifier(radius, block)), "a long, b long, hot boolean"), "simhash-links")
-    edges = found.filter("not hot").select("a", "b").distinct()
-    hot = found.filter("hot").select(F.col("a").cast("int").alias("pid"), F.col("b").alias("value"))
-    if hot.isEmpty():
-        return edges
-    members = filed.join(hot, ["pid", "value"], "left_semi")
-    sizes = members.groupBy("pid", "value").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    members = members.join(sizes, ["pid", "value"]).withColumn("own", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
-    pair = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(o, F.col("own")).alias("x"), F.greatest(o, F.col("own")).alias("y"), F.when(o < F.col("own"), 1).otherwise(0).alias("side")))
-    dealt = members.withColumn("p", F.explode(pair)).select("pid", "value", "p.*", "fp")
-    more = dealt.groupBy("pid", "value", "x", "y").applyInArrow(_block_verifier(radius), "a long, b long")
-    return edges.unionByName(more).distinct()
+    filed, edges = _filed(nodes, masks), None
+    while True:
+        free = [64 - (m & (2**64 - 1)).bit_count() for m in masks]
+        found = filed.repartition("pid", "value").sortWithinPartitions("pid", "value").mapInArrow(lean(_verifier(radius, block, free)), "a long, b long, hot boolean")
+        found = materialise(found, "simhash-links")
+        own = found.filter("not hot").select("a", "b")
+        edges = own if edges is None else edges.unionByName(own)
+        hot = found.filter("hot").select(F.struct(F.col("a").cast("int").alias("pid"), F.col("b").alias("value")).alias("key"), F.lit(True).alias("hot"))
+        pids = sorted(r["pid"] for r in hot.select("key.pid").distinct().collect())
+        if not pids:
+            return edges.distinct()
+        # Two within the radius agree on one of radius + 1 parts of what their key leaves open.
+        new = [(p, m) for p in pids for m in finer(masks[p], radius + 1)]
+        members = lookup_join(filed.withColumn("key", F.struct("pid", "value")), hot, "key").filter("hot").select("pid", "fp")
+        ways = F.create_map(*[x for p in pids for x in (F.lit(p), F.array(*[F.struct(F.lit(i).alias("pid"), F.lit(m).cast("long").alias("mask")) for i, (q, m) in enumerate(new) if q == p]))])
+        members = members.select("fp", F.explode(F.element_at(ways, F.col("pid"))).alias("w"))
+        filed = materialise(members.select("w.pid", F.col("fp").bitwiseAND(F.col("w.mask")).alias("value"), "fp"), "simhash-hot")
+        masks = [m for _, m in new]
 
 
 def components(edges: DataFrame) -> DataFrame:

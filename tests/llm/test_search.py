@@ -65,27 +65,54 @@ def joined(edges):
     return root
 
 
-def test_links_between_blocks_join_all_they_should():
-    across = lambda a, b: [(int(x), int(y)) for e in simhash._across(np.array(a, np.uint64), np.array(b, np.uint64), 4) for x, y in e.T]
-    assert set(joined(across([0x0, 0xFF], [0xFFF, 0xF])).values()) == {0}
-    rng = np.random.default_rng(4)
-    for _ in range(30):
-        fps = np.unique(rng.integers(0, 1 << 12, 60))
-        side = rng.integers(0, 2, len(fps))
-        a, b = fps[side == 0].tolist(), fps[side == 1].tolist()
-        got = across(a, b)
-        assert joined(got) == joined([(x, y) for x in a for y in b if (x ^ y).bit_count() <= 4])
-        assert len(got) < len(fps)
-
-
-def test_chains_hold_over_blocks():
-    """Fingerprints 4 bits apart in two chains, dealt over small blocks."""
-    chains = [[((1 << 4 * i) - 1) ^ (c << 40) for i in range(9)] for c in (0, 0xFFFFF)]
+def batches(pid, value, fp, size):
+    import pyarrow as pa
+
+    for at in range(0, len(fp), size):
+        yield pa.RecordBatch.from_arrays([pa.array(x[at : at + size]) for x in (pid, value, fp)], names=["pid", "value", "fp"])
+
+
+def test_a_hot_run_is_not_held():
+    """Of ten blocks of one key only the key goes on, in the memory of a block."""
+    import tracemalloc
+
+    n = 10 * simhash.BLOCK
+    fp = np.arange(n + 2, dtype=np.int64) << 20
+    pid, value = np.zeros(n + 2, np.int32), np.r_[np.full(n, 7), [8, 8]].astype(np.int64)
+    fp[-1] = fp[-2] ^ 1
+    verify = simhash._verifier(4, simhash.BLOCK, [48])
+    tracemalloc.start()
+    before = tracemalloc.get_traced_memory()[0]
+    tracemalloc.reset_peak()
+    got = [tuple(r.values()) for b in verify(batches(pid, value, fp, 500)) for r in b.to_pylist()]
+    peak = tracemalloc.get_traced_memory()[1] - before
+    tracemalloc.stop()
+    assert got == [(0, 7, True), (int(fp[-2]), int(fp[-1]), False)]
+    assert peak < 8 * simhash.BLOCK * 20
+
+
+def test_chains_hold_over_finer_keys(spark):
+    """Chains of fingerprints 4 bits apart in groups that are filed anew, some more than once."""
     rng = np.random.default_rng(6)
-    for size in (2, 3, 5):
-        dealt = np.array_split(rng.permutation(np.array(sum(chains, []), np.uint64)), 18 // size)
-        edges = [(int(x), int(y)) for i, a in enumerate(dealt) for b in dealt[i:] for e in (simhash._forest(a, 4) if b is a else simhash._across(a, b, 4)) for x, y in e.T]
-        assert joined(edges) == {f: min(c) for c in chains for f in c}
+    chains = [[((1 << 4 * i) - 1) ^ (c << 40) for i in range(9)] for c in (0, 0xFFFFF)]
+    noise = [int(x) & 0xFFFFFF | 0x1F << 58 for x in rng.integers(0, 1 << 24, 100)]
+    fps = sorted({x - (1 << 64) if x >= 1 << 63 else x for x in sum(chains, []) + noise})
+    nodes = spark.createDataFrame([(f,) for f in fps], "fp long")
+    want = joined([(a, b) for i, a in enumerate(fps) for b in fps[i:] if ((a ^ b) & (2**64 - 1)).bit_count() <= 4])
+    for block in (12,):
+        edges = [(r.a, r.b) for r in simhash.links(nodes, 4, block).collect()]
+        got = joined(edges) | {f: f for f in fps if not any(f in e for e in edges)}
+        assert got == want
+
+
+def test_finer_masks_cover_what_is_free():
+    for mask in (0, 0xFFFF, -1 << 20, (1 << 63) - 1 - 31):
+        finer = [m & (2**64 - 1) for m in simhash.finer(mask, 5)]
+        assert all(m & mask & (2**64 - 1) == mask & (2**64 - 1) for m in finer)
+        union = 0
+        for m in finer:
+            union |= m
+        assert union == 2**64 - 1
 
 
 def test_thresholds_follow_the_pigeonhole(spark):
