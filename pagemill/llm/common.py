@@ -6,6 +6,7 @@ import sys
 import tempfile
 import types
 import uuid
+from contextlib import contextmanager
 
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -60,50 +61,80 @@ def lean(kernel, keeps: bool = False):
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a temporary one only if unset."""
+    """The folder named by spark.checkpoint.dir, or set as the checkpoint folder.
+
+    Only a local session, whose executors are this machine, may have neither.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder.rstrip("/")
     made = spark.sparkContext.getCheckpointDir()
     if not made:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="pagemill-"))
         made = spark.sparkContext.getCheckpointDir()
     return made.rstrip("/")
 
 
+#: Lists of paths made while a scratch() is open, the innermost last.
+_OPEN: list[list[str]] = []
+
+
 def new_path(spark: SparkSession, label: str) -> str:
     """A path in the shared folder that no other call uses."""
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    for made in _OPEN:
+        made.append(path)
+    return path
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """Delete what is written inside, when left, but for what keep(df) names."""
+    made: list[str] = []
+    kept: set[str] = set()
+    _OPEN.append(made)
+    try:
+        yield lambda df: kept.add(df.materialised_path)
+    finally:
+        _OPEN.remove(made)
+        for path in made:
+            if path not in kept:
+                delete(spark, path)
+
+
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def materialise(df: DataFrame, label: str) -> DataFrame:
     """Write df as a table in the shared folder and read it back.
 
-    This cuts lineage; a lost executor loses none of it.
+    This cuts lineage; a lost executor loses none of it.  The shuffles that made
+    it are deleted at once.
     """
     spark = df.sparkSession
-    path = new_path(spark, label)
-    df.write.parquet(path)
+    path, before = new_path(spark, label), spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out.materialised_path = path
     return out
 
 
-def release(spark: SparkSession) -> None:
-    """Free the shuffle files of finished stages, which go when the driver collects garbage."""
-    import gc
-
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+def delete(spark: SparkSession, path: str) -> None:
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
 def discard(df: DataFrame) -> None:
     """Delete a table made by materialise() that no plan needs any more."""
     path = getattr(df, "materialised_path", None)
     if path:
-        spark = df.sparkSession
-        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+        delete(df.sparkSession, path)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -140,6 +171,32 @@ def lookup_join(big: DataFrame, small: DataFrame, key: str, salts: int = 16) ->
     return left.join(right, on, "left").drop("_key", "_salt", "_deal")
 
 
+#: Rows of one key that one task gets in counted_join().
+MOST = 4000
+
+
+def counted_join(big: DataFrame, small: DataFrame, keys: list[str], count: str, how: str = "inner") -> DataFrame:
+    """Join of big to small, unique on keys, rows of a hot key dealt over salts.
+
+    small (a materialised table) counts big's rows by key in a column, which is
+    dropped.  The keys of more than ``most`` rows are broadcast; should they be
+    more than ``BROADCAST_ROWS``, of more than an even share of that many, which
+    no more keys can have.
+    """
+    most = MOST
+    hot = small.filter(F.col(count) > most).select(*keys, count)
+    if hot.count() > BROADCAST_ROWS:
+        most = small.agg(F.sum(count)).first()[0] // BROADCAST_ROWS + 1
+        hot = hot.filter(F.col(count) > most)
+    if hot.isEmpty():
+        return big.join(small.drop(count), keys, how)
+    salts = hot.select(*keys, F.ceil(F.col(count) / most).cast("int").alias("_salts"))
+    left = big.join(F.broadcast(salts), keys, "left").withColumn("_salt", F.coalesce(F.pmod(F.xxhash64(*big.columns, F.monotonically_increasing_id()), "_salts").cast("int"), F.lit(0))).drop("_salts")
+    last = F.when(F.col(count) > most, F.ceil(F.col(count) / most).cast("int") - 1).otherwise(F.lit(0))
+    right = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), last))).drop(count)
+    return left.join(right, [*keys, "_salt"], how).drop("_salt")
+
+
 def share(spark: SparkSession, value):
     """Broadcast a value of bounded size, its class sent along by value."""
     return spark.sparkContext.broadcast(cloudpickle.dumps(value))

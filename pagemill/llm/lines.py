@@ -15,9 +15,13 @@ are kept.  Lines that cannot have a partner are left out first, without loss:
 two lines within one edit agree on their first or last 2**(e-1) words, where
 2**e is at most the length of the shorter.
 
+A variant's hash is the exclusive or of its words' hashes by place, so all
+variants of a line take one pass.  Keys that many lines share (a template's
+variant, a common line) are counted first and dealt over tasks.
+
 A null or empty text is one blank line.  Repeated rows of one doc_id and text
-are one document; an empty table gives no rows.  Only Spark expressions run
-here.  Hashing all variants of a line of n words takes n * n steps.
+are one document; an empty table gives no rows; extra columns are kept by
+``deduplicate`` and otherwise ignored.  Only Spark expressions run here.
 """
 
 from __future__ import annotations
@@ -25,7 +29,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagemill.llm.common import discard, let, materialise, release, shielded, words
+from pagemill.llm.common import counted_join, discard, let, materialise, shielded, words
 
 MIN_WORDS = 8
 LAST = 2**63 - 1
@@ -75,56 +79,76 @@ def _within_one(a: Column, b: Column) -> Column:
     return let(differ, rest)
 
 
-def near_lines(docs: DataFrame, lines: DataFrame) -> DataFrame:
-    """h1, h2 and witness of each line within one edit of an earlier one."""
+def _variants(w: Column) -> Column:
+    """struct(whole, without): the hash of an array of words, and of it without each one word."""
+    none = F.lit(0).cast("long")
+    start = F.struct(none.alias("a"), none.alias("b"), F.lit(0).alias("i"), F.array().cast("array<bigint>").alias("out"))
+
+    def step(s: Column, word: Column) -> Column:
+        # Words before the gap keep their place; those after it move up by one.
+        moved = s["b"].bitwiseXOR(F.xxhash64(word, s["i"] - 1))
+        return F.struct(s["a"].bitwiseXOR(F.xxhash64(word, s["i"])).alias("a"), moved.alias("b"), (s["i"] + 1).alias("i"), F.array_append(s["out"], s["a"].bitwiseXOR(moved)).alias("out"))
+
+    done = lambda s: F.struct(s["a"].alias("whole"), F.transform(s["out"], lambda x: x.bitwiseXOR(s["b"])).alias("without"))
+    return F.aggregate(w, start, step, done)
+
+
+def near_lines(docs: DataFrame, lines: DataFrame, repeated: DataFrame) -> DataFrame:
+    """h1, h2 and witness of each line within one edit of an earlier one.
+
+    repeated: k, tie and rows of documents that docs has more than once.
+    """
     filed = lines.filter(F.col("n") >= MIN_WORDS).select("h1", "h2", F.posexplode("halves").alias("i", "half"))
-    shared = filed.groupBy("half").agg(F.count("*").alias("c")).filter("c > 1").select("half")
+    shared = materialise(filed.groupBy("half").agg(F.count("*").alias("c")).filter("c > 1"), "line-halves")
     # Where the first words agree the edit is after them; where the last do, before.
-    some = filed.join(shared, "half", "left_semi").groupBy("h1", "h2").agg(F.max(F.col("i") % 2 == 0).alias("start"), F.max(F.col("i") % 2 == 1).alias("end"))
+    some = counted_join(filed, shared, ["half"], "c").groupBy("h1", "h2").agg(F.max(F.col("i") % 2 == 0).alias("start"), F.max(F.col("i") % 2 == 1).alias("end"))
     wanted = lines.join(some, ["h1", "h2"]).select("h1", "h2", "first.*", "start", "end")
     by_doc = wanted.groupBy("k", "tie").agg(F.collect_list(F.struct("no", "h1", "h2", "start", "end")).alias("wanted"))
+    by_doc = materialise(by_doc.join(repeated, ["k", "tie"], "left").withColumn("rows", F.coalesce("rows", F.lit(1))), "line-wanted")
     own = docs.select(F.coalesce(F.col("doc_id"), F.lit(LAST)).cast("long").alias("k"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("tie"), "text")
-    found = own.join(by_doc, ["k", "tie"]).withColumn("w", F.explode("wanted")).select("k", "tie", "w.*", _line_words(F.get(F.split("text", "\n"), F.col("w.no"))).alias("words"))
-    hashed = F.transform("words", lambda w: F.xxhash64(w)).alias("hashes")
-    texts = materialise(found.select("h1", "h2", F.struct("k", "tie", "no").alias("first"), "start", "end", "words", hashed).dropDuplicates(["h1", "h2"]), "line-words")
-    release(docs.sparkSession)
-    # The hash of two arrays is that of one after the other.
-    n = F.size("hashes")
+    found = counted_join(own, by_doc, ["k", "tie"], "rows").withColumn("w", F.explode("wanted")).select("k", "tie", "w.*", _line_words(F.get(F.split("text", "\n"), F.col("w.no"))).alias("words"))
+    texts = materialise(found.select("h1", "h2", F.struct("k", "tie", "no").alias("first"), "start", "end", "words").dropDuplicates(["h1", "h2"]), "line-words")
+    discard(by_doc)
+    n = F.size("words")
     same = F.shiftright(F.pow(F.lit(2.0), F.floor(F.log2(n - 0.5))).cast("int"), 1)
-    places = F.filter(F.sequence(F.lit(1), n), lambda i: (F.col("start") & (i > same)) | (F.col("end") & (i <= n - same)))
-    without = F.transform(places, lambda i: F.struct(F.xxhash64(F.slice("hashes", F.lit(1), i - 1), F.slice("hashes", i + 1, n - i)).alias("key"), i.alias("at")))
-    whole = F.array(F.struct(F.xxhash64("hashes").alias("key"), F.lit(0).alias("at")))
-    variants = materialise(texts.select("h1", "h2", F.explode(F.concat(whole, without)).alias("v")).select("h1", "h2", "v.*"), "line-variants")
-    several = variants.groupBy("key").agg(F.min("h1").alias("a"), F.max("h1").alias("b"), F.min("h2").alias("c"), F.max("h2").alias("d")).filter("a <> b or c <> d").select("key")
-    joined = materialise(variants.join(several, "key", "left_semi").join(texts.select("h1", "h2", "first"), ["h1", "h2"]), "line-shared")
+    place = lambda i: (F.col("start") & (i > same)) | (F.col("end") & (i <= n - same))
+    without = lambda v: F.filter(F.transform(v["without"], lambda h, i: F.struct(h.alias("key"), (i + 1).alias("at"))), lambda x: place(x["at"]))
+    every = let(_variants(F.col("words")), lambda v: F.concat(F.array(F.struct(v["whole"].alias("key"), F.lit(0).alias("at"))), without(v)))
+    variants = materialise(texts.select("h1", "h2", F.explode(every).alias("v")).select("h1", "h2", "v.*"), "line-variants")
+    several = variants.groupBy("key").agg(F.count("*").alias("c"), F.min("h1").alias("a"), F.max("h1").alias("b"), F.min("h2").alias("x"), F.max("h2").alias("y"))
+    several = materialise(several.filter("a <> b or x <> y").select("key", "c"), "line-several")
+    joined = materialise(counted_join(variants, several, ["key"], "c").join(texts.select("h1", "h2", "first"), ["h1", "h2"]), "line-shared")
     discard(variants)
-    release(docs.sparkSession)
-    firsts = joined.groupBy("key", "at").agg(F.min("first").alias("same"))
-    sides = joined.groupBy("key").agg(F.min(F.when(F.col("at") == 0, F.col("first"))).alias("w"), F.min(F.when(F.col("at") > 0, F.col("first"))).alias("d"))
-    both = joined.join(firsts, ["key", "at"]).join(sides, "key")
+    firsts = joined.groupBy("key", "at").agg(F.count("*").alias("c"), F.min("first").alias("same"))
+    firsts = materialise(firsts, "line-firsts")
+    sides = firsts.groupBy("key").agg(F.sum("c").alias("c"), F.min(F.when(F.col("at") == 0, F.col("same"))).alias("w"), F.min(F.when(F.col("at") > 0, F.col("same"))).alias("d"))
+    sides = materialise(sides, "line-sides")
+    both = counted_join(counted_join(joined, firsts, ["key", "at"], "c"), sides, ["key"], "c")
     earlier = F.least(F.when(F.col("at") > 0, F.col("same")), F.when(F.col("at") > 0, F.col("w")).otherwise(F.col("d")))
     witness = both.withColumn("witness", earlier).filter(F.col("witness") < F.col("first")).groupBy("h1", "h2").agg(F.min("witness").alias("witness"))
-    a = witness.join(texts.select("h1", "h2", "words"), ["h1", "h2"])
-    b = texts.select(F.col("first").alias("witness"), F.col("words").alias("other"))
-    return a.join(b, "witness").filter(_within_one(F.col("words"), F.col("other"))).select("h1", "h2", "witness")
+    a = materialise(witness, "line-witness")
+    asked = materialise(a.groupBy("witness").agg(F.count("*").alias("c")), "line-asked")
+    b = asked.join(texts.select(F.col("first").alias("witness"), F.col("words").alias("other")), "witness")
+    mine = a.join(texts.select("h1", "h2", "words"), ["h1", "h2"])
+    return counted_join(mine, b, ["witness"], "c").filter(_within_one(F.col("words"), F.col("other"))).select("h1", "h2", "witness")
 
 
 def decide(docs: DataFrame) -> DataFrame:
-    """doc_id, tie, n_lines, n_kept and the numbers of dropped lines, from 0."""
+    """doc_id, tie, rows, n_lines, n_kept and the numbers of dropped lines, from 0."""
     occ = materialise(occurrences(docs), "line-occurrences")
     place = F.struct("k", "tie", "no")
-    lines = occ.filter("n > 0").groupBy("h1", "h2").agg(F.min(place).alias("first"), F.max(place).alias("last"), F.first("n").alias("n"), F.first("halves").alias("halves"))
+    lines = occ.filter("n > 0").groupBy("h1", "h2").agg(F.min(place).alias("first"), F.max(place).alias("last"), F.first("n").alias("n"), F.first("halves").alias("halves"), F.count("*").alias("c"))
     lines = materialise(lines, "lines")
-    release(docs.sparkSession)
-    near = near_lines(docs, lines).select("h1", "h2", F.lit(True).alias("near"))
-    info = lines.join(near, ["h1", "h2"], "left").filter("near or first <> last").select(F.col("h1").alias("a"), F.col("h2").alias("b"), "first", F.coalesce("near", F.lit(False)).alias("near"))
-    told = occ.join(info, (F.col("h1") == F.col("a")) & (F.col("h2") == F.col("b")) & (F.col("n") > 0), "left")
-    dropped = F.coalesce(F.col("near") | (F.col("first") != place), F.lit(False))
+    repeated = materialise(occ.filter("no = 0").groupBy("k", "tie").agg(F.count("*").alias("rows")).filter("rows > 1"), "line-repeated")
+    near = near_lines(docs, lines, repeated).select("h1", "h2", F.lit(True).alias("near"))
+    info = lines.join(near, ["h1", "h2"], "left").filter("near or first <> last").select("h1", "h2", "first", F.coalesce("near", F.lit(False)).alias("near"), "c")
+    told = counted_join(occ.withColumn("halves", F.lit(None)), materialise(info, "line-info"), ["h1", "h2"], "c", "left")
+    dropped = (F.col("n") > 0) & F.coalesce(F.col("near") | (F.col("first") != place), F.lit(False))
     return (
         told.select("doc_id", "tie", "no", dropped.alias("gone"))
         .groupBy("doc_id", "tie")
-        .agg(F.max("no").alias("last"), F.collect_set(F.when(F.col("gone"), F.col("no"))).alias("dropped"))
-        .select("doc_id", "tie", (F.col("last") + 1).cast("long").alias("n_lines"), (F.col("last") + 1 - F.size("dropped")).cast("long").alias("n_kept"), F.sort_array("dropped").alias("dropped"))
+        .agg(F.max("no").alias("last"), F.count(F.when(F.col("no") == 0, 1)).alias("rows"), F.collect_set(F.when(F.col("gone"), F.col("no"))).alias("dropped"))
+        .select("doc_id", "tie", "rows", (F.col("last") + 1).cast("long").alias("n_lines"), (F.col("last") + 1 - F.size("dropped")).cast("long").alias("n_kept"), F.sort_array("dropped").alias("dropped"))
     )
 
 
@@ -137,7 +161,8 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     """The documents without their dropped lines, all columns kept."""
     docs, back = shielded(docs, "doc_id", "text")
     keyed = docs.withColumn("_tie", F.xxhash64(F.coalesce("text", F.lit(""))))
-    told = decide(docs).select(F.col("doc_id").alias("_id"), F.col("tie").alias("_t"), F.col("dropped").alias("_gone"))
-    both = keyed.join(told, keyed["doc_id"].eqNullSafe(told["_id"]) & (keyed["_tie"] == told["_t"]), "left")
+    told = materialise(decide(docs).select(F.coalesce("doc_id", F.lit(LAST)).alias("_id"), F.col("doc_id").isNull().alias("_none"), F.col("tie").alias("_tie"), "rows", F.col("dropped").alias("_gone")), "line-told")
+    keyed = keyed.withColumn("_id", F.coalesce("doc_id", F.lit(LAST))).withColumn("_none", F.col("doc_id").isNull())
+    both = counted_join(keyed, told, ["_id", "_none", "_tie"], "rows", "left")
     kept = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("_gone", i)), "\n")
     return back(both.withColumn("text", kept))

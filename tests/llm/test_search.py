@@ -215,17 +215,40 @@ def test_line_report(spark, nasty, empty):
     assert lines.line_report(empty).count() == 0
 
 
+def test_lines_of_hot_keys(spark, monkeypatch):
+    """One template, one common line and one repeated document, dealt over several tasks."""
+    from pagemill.llm import common
+
+    template = "page {} of the long report on all of it and more"
+    rows = [(i, template.format(f"x{i}") + "\nthe very common line of all the documents here") for i in range(40)]
+    rows += [(99, "repeated text of some eight words or a few more")] * 30 + [(100 + i, f"same same same same same same same same w{i}") for i in range(9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute_lines(rows)
+    for most, broadcast in ((4000, 100_000), (3, 100_000), (3, 1)):
+        monkeypatch.setattr(common, "MOST", most)
+        monkeypatch.setattr(common, "BROADCAST_ROWS", broadcast)
+        got = {str(r.doc_id): (r.n_lines, r.n_kept, r.dropped) for r in lines.line_report(docs).collect()}
+        assert got == want
+    kept = lines.deduplicate(docs)
+    assert kept.count() == len(rows) and kept.filter("doc_id = 7").first().text == ""
+
+
+def test_a_long_line_takes_seconds(spark):
+    import time
+
+    words = [f"w{i}" for i in range(20_000)]
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(words[:9000] + ["other"] + words[9001:])), (3, " ".join(words[5:]))], "doc_id long, text string")
+    began = time.time()
+    got = {r.doc_id: r.n_kept for r in lines.line_report(docs).collect()}
+    assert got == {1: 1, 2: 0, 3: 1} and time.time() - began < 60
+
+
 def test_deduplicated_texts(spark):
     docs = spark.createDataFrame([(1, "a\nb\na", "k"), (2, "b\nc", "l"), (3, None, "m")], "doc_id long, text string, _tie string")
     got = {r.doc_id: (r.text, r._tie) for r in lines.deduplicate(docs).collect()}
     assert got == {1: ("a\nb", "k"), 2: ("c", "l"), 3: (None, "m")}
 
 
-def test_hash_of_two_arrays_is_that_of_one(spark):
-    r = spark.range(1).select((F.xxhash64(F.array(F.lit(1), F.lit(2)), F.array(F.lit(3))) == F.xxhash64(F.array(F.lit(1), F.lit(2), F.lit(3)))).alias("x"))
-    assert r.first().x
-
-
 def test_items_without_an_id_are_hit_but_not_named(spark):
     docs = spark.createDataFrame([(1, "a b c d"), (2, "c d e"), (3, "x y")], "doc_id long, text string")
     items = spark.createDataFrame([(None, "b c"), (7, "d e"), (None, "d e"), (None, None)], "item_id long, text string").coalesce(1)
