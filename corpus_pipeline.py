@@ -2,7 +2,14 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes
 each stage's result as Parquet in the shared folder and reads it back for the
-next.  All but the last stage return the columns of documents.
+next, then deletes what went before.  All but the last stage return the columns
+of documents, with extra ones untouched.
+
+Rows with nulls: a null text has no language and goes; a null doc_id is kept as
+its own document; a null source or lang is a value like any other.  Repeated
+rows are near copies and one stays.  Of texts without words only the language
+stage decides.  An empty table, or an empty stage, leaves none for those after.
+Long texts are read whole by each stage.
 """
 
 from __future__ import annotations
@@ -10,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from pagemill.llm import contamination, language, mixing, simhash, tokens
-from pagemill.llm.common import materialise, table
+from pagemill.llm.common import discard, materialise, scratch, table
 
 #: No SQL expresses the hash, the classifier or the tokenizer.
 ORACLE_SQL = None
@@ -54,6 +61,11 @@ STAGES = [
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for i, (_, stage) in enumerate(STAGES):
-        docs = materialise(stage(spark, docs, sf_dir), f"stage-{i}")
-    return docs
+    for i, (_, stage) in enumerate(STAGES[:-1]):
+        with scratch(spark) as keep:
+            after = materialise(stage(spark, docs, sf_dir), f"stage-{i}")
+            keep(after)
+        discard(docs)
+        docs = after
+    # The shards that the last stage writes stay beside its table.
+    return materialise(STAGES[-1][1](spark, docs, sf_dir), f"stage-{len(STAGES) - 1}")
