@@ -1,4 +1,4 @@
-"""Settings of a run, with their defaults."""
+"""Settings of a run, with their defaults; each has an effect in plans/document.py or the command."""
 
 from __future__ import annotations
 
@@ -6,9 +6,9 @@ import json
 from dataclasses import asdict, dataclass, field, fields, is_dataclass
 
 
+# The keys and defaults of a settings file.
 @dataclass
 class Image:
-    target_dpi: int = 300
     max_dimension: int = 4096
     color_mode: str = "rgb"
     allowed_formats: tuple = (".jpg", ".jpeg", ".png", ".bmp", ".tiff", ".webp")
@@ -49,10 +49,7 @@ class Ocr:
 @dataclass
 class Extraction:
     document_type: str = "auto"
-    templates_dir: str = "templates"
     confidence_threshold: float = 0.6
-    enable_fuzzy_match: bool = False
-    fuzzy_threshold: int = 85
 
 
 @dataclass

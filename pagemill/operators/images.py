@@ -9,14 +9,17 @@ component trees.
 
 from __future__ import annotations
 
+import struct
 import sys
+import time
+import zlib
 
 import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 
-from pagemill.config import Detection, Preprocess
+from pagemill.config import Detection, Preprocess, Settings
 
 
 def to_gray(image: np.ndarray) -> np.ndarray:
@@ -291,7 +294,41 @@ def red_mask(rgb: np.ndarray) -> np.ndarray:
     return grow(erode(red, 5, 5), 5, 5)
 
 
-SCHEMA = "path string, success boolean, error string, height int, width int, crop_x int, crop_y int, angle double, regions array<struct<region_idx:bigint,x:int,y:int,w:int,h:int,confidence:double,method:string>>, layout array<struct<layout_idx:int,x:int,y:int,w:int,h:int,region_type:string,confidence:double>>"
+def found_boxes(image: np.ndarray, config: Detection | None = None) -> list[tuple[int, int, int, int, float, str]]:
+    """Boxes by the method of the settings; an unknown one is both, stable regions first."""
+    config = config or Detection()
+    stable = [] if config.method == "contour_only" else [(*b, "mser") for b in stable_boxes(image, config)]
+    return stable + ([] if config.method == "mser_only" else [(*b, "contour") for b in contour_boxes(image, config)])
+
+
+def resize(image: np.ndarray, rows: int, cols: int) -> np.ndarray:
+    """Area mean of a gray image to a given size, larger or smaller."""
+
+    def bins(size: int, out: int) -> np.ndarray:
+        edges = np.linspace(0, size, out + 1)
+        at = np.arange(size)
+        return np.clip(np.minimum(edges[1:, None], at + 1) - np.maximum(edges[:-1, None], at), 0, None) * out / size
+
+    return np.floor(bins(image.shape[0], rows) @ image.astype(float) @ bins(image.shape[1], cols).T + 0.5).astype(np.uint8)
+
+
+def difference_hash(image: np.ndarray, n: int = 8) -> str:
+    """Bits of n rows of n neighbours, brighter to the right, in hex digits."""
+    small = resize(to_gray(image), n, n + 1).astype(int)
+    bits = (small[:, 1:] > small[:, :-1]).ravel()
+    return "".join(f"{int(''.join('1' if b else '0' for b in bits[i : i + 4]).ljust(4, '0'), 2):x}" for i in range(0, len(bits), 4))
+
+
+def png(image: np.ndarray) -> bytes:
+    """A gray or RGB image of bytes as a PNG file."""
+    h, w = image.shape[:2]
+    chunk = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+    rows = np.concatenate([np.zeros((h, 1), np.uint8), image.reshape(h, -1)], axis=1).tobytes()
+    head = struct.pack(">IIBBBBB", w, h, 8, 0 if image.ndim == 2 else 2, 0, 0, 0)
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + chunk(b"IDAT", zlib.compress(rows, 6)) + chunk(b"IEND", b"")
+
+
+SCHEMA = "path string, success boolean, error string, height int, width int, crop_x int, crop_y int, angle double, hash string, timings map<string,double>, regions array<struct<region_idx:bigint,x:int,y:int,w:int,h:int,confidence:double,method:string>>, layout array<struct<layout_idx:int,x:int,y:int,w:int,h:int,region_type:string,confidence:double>>"
 
 
 def pixels_of(row) -> np.ndarray:
@@ -302,28 +339,46 @@ def pixels_of(row) -> np.ndarray:
     return flat[..., 0] if row["nChannels"] == 1 else flat[..., 2::-1]
 
 
-def _analyse(most: int):
+def _analyse(settings: Settings, profile: str):
+    def one(row) -> tuple:
+        took, began = {}, time.perf_counter()
+
+        def done(stage: str) -> None:
+            nonlocal began
+            now = time.perf_counter()
+            took[stage], began = round((now - began) * 1000, 1), now
+
+        image = pixels_of(row)
+        image = lite_enhance(image) if profile == "lite" else shrink(image, settings.image.max_dimension)
+        image = to_gray(image) if settings.image.color_mode == "gray" else image
+        done("load")
+        binary, _, at = enhance(image, settings.preprocess)
+        done("preprocess")
+        regions = [dict(region_idx=i, x=b[0], y=b[1], w=b[2], h=b[3], confidence=b[4], method=b[5]) for i, b in enumerate(found_boxes(binary, settings.detection))]
+        done("detection")
+        layout = [dict(layout_idx=i, x=b[0], y=b[1], w=b[2], h=b[3], region_type=b[4], confidence=b[5]) for i, b in enumerate(layout_boxes(binary, image))]
+        done("layout")
+        return (row["origin"], True, None, binary.shape[0], binary.shape[1], at["crop_x"], at["crop_y"], at["angle"], difference_hash(image), took, regions, layout)
+
     def run(frames):
         for frame in frames:
             out = []
             for _, row in frame.iterrows():
                 try:
-                    image = shrink(pixels_of(row), most)
-                    binary, _, at = enhance(image)
-                    found = [(*b, "mser") for b in stable_boxes(binary)] + [(*b, "contour") for b in contour_boxes(binary)]
-                    regions = [dict(region_idx=i, x=b[0], y=b[1], w=b[2], h=b[3], confidence=b[4], method=b[5]) for i, b in enumerate(found)]
-                    layout = [dict(layout_idx=i, x=b[0], y=b[1], w=b[2], h=b[3], region_type=b[4], confidence=b[5]) for i, b in enumerate(layout_boxes(binary, image))]
-                    out.append((row["origin"], True, None, binary.shape[0], binary.shape[1], at["crop_x"], at["crop_y"], at["angle"], regions, layout))
+                    out.append(one(row))
                 except Exception as e:  # one bad image never fails the job
-                    out.append((row["origin"], False, str(e), None, None, None, None, None, [], []))
-            yield pd.DataFrame(out, columns=[c.split()[0] for c in SCHEMA.split(", ")])
+                    out.append((row["origin"], False, f"{type(e).__name__}: {e}", None, None, None, None, None, None, {}, [], []))
+            yield pd.DataFrame(out, columns=COLUMNS)
 
     return run
 
 
-def analyse(images: DataFrame, most: int = 4096) -> DataFrame:
-    """Clean up, find boxes and layout of rows of the image source."""
-    return images.select("image.origin", "image.height", "image.width", "image.nChannels", "image.data").mapInPandas(_analyse(most), SCHEMA)
+COLUMNS = ["path", "success", "error", "height", "width", "crop_x", "crop_y", "angle", "hash", "timings", "regions", "layout"]
+
+
+def analyse(images: DataFrame, settings: Settings | None = None, profile: str = "standard") -> DataFrame:
+    """Clean up, find boxes and layout of rows of the image source; timings are milliseconds by stage."""
+    return images.select("image.origin", "image.height", "image.width", "image.nChannels", "image.data").mapInPandas(_analyse(settings or Settings(), profile), SCHEMA)
 
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -97,9 +97,12 @@ def annotations(fields: Column, text_height: int = 12) -> Column:
     )
 
 
-def lite_style(confidence: Column) -> Column:
-    """Gray level and thickness of an overlay box in the lite profile."""
-    return F.struct(F.floor(180 * (0.3 + 0.5 * confidence)).cast("int").alias("gray"), F.when(confidence >= 0.8, 3).otherwise(2).alias("thickness"))
+def region_marks(regions: Column) -> Column:
+    """Boxes of regions in the colour of their type, labelled with it."""
+    return F.transform(
+        regions,
+        lambda r: F.struct(*[r[k].alias(k) for k in "xywh"], r["region_type"].alias("label"), F.greatest(r["y"] - 5, F.lit(17)).alias("label_y"), region_color(r["region_type"]).alias("color")),
+    )
 
 
 def svg(width: Column, height: Column, marks: Column) -> Column:
@@ -127,10 +130,15 @@ def field_json(f: Column) -> Column:
     return F.struct(f["field_type"].alias("field_type"), titled(f).alias("display_name"), f["value"].alias("value"), F.round(f["confidence"], 3).alias("confidence"), f["source_text"].alias("source_text"), category(f).alias("category"))
 
 
-def extraction_json(extracted: DataFrame) -> Column:
-    """One JSON text a document; fields is a map in order of confidence."""
+def extraction(extracted: DataFrame, high: float = 0.6) -> Column:
+    """What is said of a document's fields; fields is a map in order of confidence."""
     fields = F.map_from_entries(F.transform("fields", lambda f: F.struct(f["field_type"], field_json(f))))
-    return F.to_json(F.struct("document_type", F.size("fields").alias("total_fields"), F.size(F.filter("fields", lambda f: f["confidence"] >= 0.6)).alias("high_confidence_fields"), fields.alias("fields")), {"ignoreNullFields": "false"})
+    return F.struct("document_type", F.size("fields").alias("total_fields"), F.size(F.filter("fields", lambda f: f["confidence"] >= high)).alias("high_confidence_fields"), fields.alias("fields"))
+
+
+def extraction_json(extracted: DataFrame) -> Column:
+    """One JSON text a document."""
+    return F.to_json(extraction(extracted), {"ignoreNullFields": "false"})
 
 
 def result_json(success: Column, error: Column, body: Column) -> Column:

@@ -3,17 +3,23 @@
 from __future__ import annotations
 
 import logging
+import sys
+import zlib
 
+import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagemill.operators import report
 from pagemill.operators.extract import fields_long
+from pagemill.operators.images import pixels_of, png
 
 
 def write_json(extracted: DataFrame, folder: str, key: str = "doc_id") -> None:
     """A JSON line a document."""
-    extracted.select(F.to_json(F.struct(F.col(key), F.from_json(report.extraction_json(extracted), "document_type string, total_fields int, high_confidence_fields int, fields map<string,struct<field_type:string,display_name:string,value:string,confidence:double,source_text:string,category:string>>").alias("result")), {"ignoreNullFields": "false"}).alias("value")).write.mode("overwrite").text(folder)
+    row = F.struct(F.col(key), report.extraction(extracted).alias("result"))
+    extracted.select(F.to_json(row, {"ignoreNullFields": "false"}).alias("value")).write.mode("overwrite").text(folder)
 
 
 def write_csv(extracted: DataFrame, folder: str, key: str = "doc_id") -> None:
@@ -32,11 +38,40 @@ def write(extracted: DataFrame, folder: str, form: str = "json", key: str = "doc
         write_csv(extracted, f"{folder}/csv", key)
 
 
-def write_reports(extracted: DataFrame, folder: str, key: str = "doc_id") -> None:
-    """A row a document with its HTML report and SVG overlay, as Parquet."""
-    marks = report.annotations(F.col("fields"))
+def write_reports(results: DataFrame, folder: str, key: str = "path") -> None:
+    """A row a processed document with its HTML report and SVG overlay, as Parquet."""
+    marks = F.concat(report.region_marks(F.col("regions")), report.annotations(F.col("fields")))
     page = report.html(F.col(key), F.col("document_type"), F.col("fields"), F.col("full_text"))
-    extracted.select(key, page.alias("html"), report.svg(F.lit(2000), F.lit(2000), marks).alias("svg")).write.mode("overwrite").parquet(folder)
+    results.filter("success").select(key, page.alias("html"), report.svg(F.col("width"), F.col("height"), marks).alias("svg")).write.mode("overwrite").parquet(folder)
+
+
+def _saver(folder: str):
+    def save(frames):
+        from pyarrow import fs
+
+        store, base = fs.FileSystem.from_uri(folder)
+        for frame in frames:
+            out = []
+            for _, row in frame.iterrows():
+                data = png(pixels_of(row))
+                file = f"{base}/{row['origin'].rsplit('/', 1)[-1].rsplit('.', 1)[0]}-{zlib.crc32(row['origin'].encode()):08x}.png"
+                with store.open_output_stream(file) as f:
+                    f.write(data)
+                out.append((row["origin"], file, len(data)))
+            yield pd.DataFrame(out, columns=["path", "file", "size"])
+
+    return save
+
+
+def save_images(images: DataFrame, folder: str) -> DataFrame:
+    """Write rows of the image source as PNG files; path, file and size of each.
+
+    Names end in a hash of the path, so those of equal stems do not meet, and a
+    repeated task writes the same file again.  The folder is one that pyarrow
+    can open, and exists.
+    """
+    rows = images.filter("image.height > 0").select("image.origin", "image.height", "image.width", "image.nChannels", "image.data")
+    return rows.mapInPandas(_saver(folder), "path string, file string, size bigint")
 
 
 def logger(name: str, level: str = "INFO", file: str | None = None) -> logging.Logger:
@@ -51,3 +86,6 @@ def logger(name: str, level: str = "INFO", file: str | None = None) -> logging.L
     for h in out.handlers:
         h.setFormatter(form)
     return out
+
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

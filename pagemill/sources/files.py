@@ -21,9 +21,9 @@ def scan(spark: SparkSession, folder: str, formats: tuple[str, ...] = Image().al
     return files.filter(_listed(F.col("path"), formats)).orderBy("path")
 
 
-def images(spark: SparkSession, folder: str) -> DataFrame:
-    """Decoded images; one that cannot be decoded has height -1."""
-    return spark.read.format("image").load(folder)
+def images(spark: SparkSession, folder: str, formats: tuple[str, ...] = Image().allowed_formats) -> DataFrame:
+    """Decoded images of the listed suffixes; one that cannot be decoded has height -1."""
+    return spark.read.format("image").load(folder).filter(_listed(F.col("image.origin"), formats))
 
 
 def decoded(content: DataFrame) -> DataFrame:

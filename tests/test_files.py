@@ -6,10 +6,11 @@ import zlib
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from pagemill import config
 from pagemill.operators import images
+from pagemill.plans import document
+from pagemill.sinks import files as sinks
 from pagemill.sources import files, ocr
 from pagemill.streaming import landing
 
@@ -82,12 +83,98 @@ def test_folder_of_images(spark, tmp_path):
     (tmp_path / "b.png").write_bytes(b"broken")
     (tmp_path / "c.txt").write_text("no")
     assert [r.path[-5:] for r in files.scan(spark, str(tmp_path)).select("path").collect()] == ["a.PNG", "b.png"]
-    read = files.images(spark, str(tmp_path)).filter(~F.col("image.origin").endswith(".txt"))
+    read = files.images(spark, str(tmp_path))
     assert sorted(r.success for r in files.decoded(read).collect()) == [False, True]
     got = {r.path[-5:]: r for r in images.analyse(read).collect()}
     assert got["a.PNG"].success and {x.region_type for x in got["a.PNG"].layout} >= {"seal"} and not got["b.png"].success and got["b.png"].error
 
 
+def test_images_to_results(spark, tmp_path):
+    """PNG files and recognized lines in, JSON, report and overlay out."""
+    from pagemill.__main__ import main
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.png").write_bytes(images.png(page()))
+    (tmp_path / "in" / "b.png").write_bytes(b"broken")
+    (tmp_path / "in" / "c.png").write_bytes(images.png(np.full((50, 60), 255, np.uint8)))
+    path = files.images(spark, str(tmp_path / "in")).filter("image.origin like '%a.png'").first().image.origin
+    texts = ["增值税发票", "发票号码：１２３４５６７８", " ", "价税合计：¥99.50", "unsure: Tel 138-1234-5678"]
+    lines = [dict(path=path, line_idx=i, text=t, confidence=0.9 if i < 4 else 0.2, x=30, y=60 + 18 * i, w=90, h=10) for i, t in enumerate(texts)]
+    (tmp_path / "lines.json").write_text("\n".join(json.dumps(x) for x in lines))
+    own = config.Settings()
+    own.ocr.confidence_threshold, own.detection.method = 0.5, "contour_only"
+    own.preprocess.remove_borders, own.preprocess.deskew, own.preprocess.binarize_method = False, False, "otsu"
+    config.save(own, str(tmp_path / "s.json"))
+    main(["process", str(tmp_path / "in"), str(tmp_path / "out"), "--lines", str(tmp_path / "lines.json"), "--settings", str(tmp_path / "s.json")])
+    got = {r["image_path"][-5:]: r for r in (json.loads(x.value) for x in spark.read.text(str(tmp_path / "out" / "json")).collect())}
+    a, b, c = got["a.png"], got["b.png"], got["c.png"]
+    assert a["success"] and "error" not in a and "warnings" not in a
+    assert a["extraction"]["document_type"] == "invoice" and a["extraction"]["fields"]["invoice_number"]["value"] == "12345678"
+    assert "receiver_phone" not in a["extraction"]["fields"] and a["ocr"]["total_lines"] == 4
+    assert a["detection"]["total_regions"] > 0 and {"load", "preprocess", "detection", "layout"} == set(a["processing_times_ms"])
+    assert not b["success"] and b["error"] and b["extraction"] is None and b["ocr"] is None
+    assert c["success"] and c["warnings"] == ["no text was recognized"] and c["detection"]["total_regions"] == 0
+    rows = {r.path[-5:]: r for r in spark.read.parquet(str(tmp_path / "out" / "results")).collect()}
+    assert {r.method if "method" in r else "contour" for r in rows["a.png"].regions} == {"contour"} and all(r.confidence == 0.6 for r in rows["a.png"].regions)
+    told = {r.path[-5:]: r for r in spark.read.parquet(str(tmp_path / "out" / "reports")).collect()}
+    assert set(told) == {"a.png", "c.png"} and told["a.png"].svg.count("<rect") >= a["detection"]["total_regions"] and "12345678" in told["a.png"].html
+
+
+def test_method_of_detection():
+    gray = images.to_gray(page())
+    kinds = lambda m: {b[5] for b in images.found_boxes(gray, config.Detection(method=m))}
+    assert kinds("mser_only") == {"mser"} and kinds("contour_only") == {"contour"} and kinds("mser_contour") == kinds("odd") == {"mser", "contour"}
+
+
+def _ink(settings):
+    """An engine that reads how dark an image is, and its size."""
+
+    def read(image):
+        dark = int((images.to_gray(image) < 128).sum())
+        return [(f"{image.shape[1]}x{image.shape[0]}", 0.5, 0, 0, 1, 1), (" ", 0.1, 0, 0, 1, 1)] if dark else []
+
+    return read
+
+
+def test_engines_read_pages_and_regions(spark, tmp_path, monkeypatch):
+    from pyspark import cloudpickle
+
+    cloudpickle.register_pickle_by_value(__import__("sys").modules[__name__])
+    monkeypatch.setitem(ocr.ENGINES, "ink", (_ink, "numpy"))
+    (tmp_path / "a.png").write_bytes(images.png(page()))
+    (tmp_path / "b.png").write_bytes(b"broken")
+    rows = files.images(spark, str(tmp_path))
+    got = ocr.recognize(rows, "ink").collect()
+    assert sorted((r.path[-5:], r.success, r.line_idx) for r in got) == [("a.png", True, 0), ("a.png", True, 1), ("b.png", False, -1)]
+    origin = rows.filter("image.height > 0").first().image.origin
+    asked = spark.createDataFrame([(origin, 0, 30, 60, 90, 10), (origin, 1, 0, 0, 10, 10), (origin, 2, 290, 190, 50, 50), (origin, 3, 219, 149, 5, 5)], "path string, region_idx long, x int, y int, w int, h int")
+    read = {r.region_idx: (r.text, r.confidence) for r in ocr.recognize_regions(rows, asked, "ink").collect()}
+    assert read == {0: ("96x16", 0.5), 1: ("", 0.0), 2: ("", 0.0), 3: ("11x11", 0.5)}
+    own = config.Settings()
+    own.ocr.engine = "ink"
+    done = {r.path[-5:]: r for r in document.process(rows, settings=own).collect()}
+    assert done["a.png"].success and "ocr" in done["a.png"].timings and done["a.png"].full_text and not done["b.png"].success
+
+
+def test_saved_images_are_the_same(spark, tmp_path):
+    (tmp_path / "in").mkdir(), (tmp_path / "out").mkdir()
+    (tmp_path / "in" / "a.png").write_bytes(png(page()))
+    saved = sinks.save_images(files.images(spark, str(tmp_path / "in")), str(tmp_path / "out")).collect()
+    again = files.images(spark, str(tmp_path / "out")).first().image
+    assert len(saved) == 1 and (images.pixels_of(again) == page()).all()
+
+
+def test_hash_of_an_image():
+    steps = np.tile(np.arange(90, dtype=np.uint8) * 2, (40, 1))
+    assert images.difference_hash(steps) == "f" * 16 and images.difference_hash(steps[:, ::-1]) == "0" * 16
+    assert images.difference_hash(np.repeat(np.repeat(steps, 2, 0), 2, 1)) == "f" * 16
+
+
+def test_lite_clean_up_keeps_hue():
+    out = images.lite_enhance(np.full((10, 10, 3), (200, 100, 50), np.uint8))
+    assert out.shape == (10, 10, 3) and (out[..., 0] >= out[..., 1]).all() and (out[..., 1] >= out[..., 2]).all()
+
+
 def test_templates(spark, tmp_path):
     (tmp_path / "one.json").write_text(json.dumps({"document_type": "k", "name": "n", "field_types": ["a"], "layout_hints": {"x": "y"}}, indent=1))
     (tmp_path / "two.json").write_text(json.dumps({"name": "m"}))
