@@ -11,8 +11,10 @@ read back exactly.  The loss mask is a list of code point spans of the
 formatted text: each assistant text, without marks.
 
 A null text is empty; a null role is empty; a null turn comes first; rows of a
-null conv_id are one conversation; an empty table gives no rows.  A
-conversation is one string, so its turns meet in one task by definition.
+null conv_id are one conversation; repeated rows are turns of their own; an
+empty table gives no rows; extra columns are ignored.  A conversation is one
+string, so its turns meet in one task by definition; the work is nearly linear
+in them (see ``_ends``).
 """
 
 from __future__ import annotations
@@ -71,15 +73,34 @@ def _pieces(blocks: Column) -> Column:
     return F.flatten(F.transform(blocks, lambda b: of(b)))
 
 
-def _spans(pieces: Column) -> Column:
-    """struct(start, length) of each piece under the loss; start counts from 1."""
-    start = F.struct(F.lit(1).cast("long").alias("at"), F.array().cast("array<struct<start:bigint,length:bigint>>").alias("spans"))
+#: Numbers that are summed up in one array before it is joined to others.
+CHUNK = 512
+
 
-    def step(state: Column, p: Column) -> Column:
-        n = F.char_length(p["s"]).cast("long")
-        return F.struct((state["at"] + n).alias("at"), F.when(p["loss"], F.array_append(state["spans"], F.struct(state["at"].alias("start"), n.alias("length")))).otherwise(state["spans"]).alias("spans"))
+def _running(numbers: Column) -> Column:
+    """Running sums; each step copies the array so far."""
+    none = F.struct(F.lit(0).cast("long").alias("n"), F.array().cast("array<bigint>").alias("out"))
+    return F.aggregate(numbers, none, lambda s, x: F.struct((s["n"] + x).alias("n"), F.array_append(s["out"], s["n"] + x).alias("out")), lambda s: s["out"])
 
-    return F.aggregate(pieces, start, step)["spans"]
+
+def _ends(numbers: Column) -> Column:
+    """Running sums of a long array: of each chunk, moved by the sum of those before it."""
+    total = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda s, x: s + x)
+    chunks = F.transform(F.sequence(F.lit(0), F.floor((F.size(numbers) - 1) / CHUNK).cast("int")), lambda k: F.slice(numbers, k * CHUNK + 1, F.lit(CHUNK)))
+    return let(
+        chunks,
+        lambda own: let(
+            _running(F.transform(own, total)),
+            lambda upto: F.flatten(F.transform(own, lambda c, k: let(F.coalesce(F.get(upto, k - 1), F.lit(0).cast("long")), lambda base: F.transform(_running(c), lambda x: x + base)))),
+        ),
+    )
+
+
+def _spans(pieces: Column) -> Column:
+    """struct(start, length) of each piece under the loss; start counts from 1."""
+    sizes = F.transform(pieces, lambda p: F.char_length(p["s"]).cast("long"))
+    spans = lambda n, ends: F.transform(pieces, lambda p, i: F.when(p["loss"], F.struct((F.get(ends, i) - F.get(n, i) + 1).alias("start"), F.get(n, i).alias("length"))))
+    return let(sizes, lambda n: let(_ends(n), lambda ends: F.filter(spans(n, ends), lambda x: x.isNotNull())))
 
 
 def format_conversations(rows: DataFrame) -> DataFrame:
