@@ -12,15 +12,22 @@ answer proximity searches: all terms within a span, in any order.
 Words are runs of ASCII letters and digits and of non-ASCII characters, A-Z
 lower-cased.  A window is ``WINDOW`` consecutive words of an item; a shorter
 item that has words is one window.  A document word inside any occurrence of a
-window is hit.  A null or blank text has no words; an item with a null id is hit
-like any other but not counted or named; equal items are each counted; a repeated document gives repeated rows.  The
-benchmark is a stated query set: it is taken in blocks of ``BLOCK`` windows,
-each broadcast, and hits of several blocks are joined per document.
+window is hit.
+
+A null or blank text has no words; an item with a null id is hit like any other
+but not counted or named; equal items are each counted; item ids are of any
+type and compared as strings, doc_ids are integers.  A repeated document gives
+repeated rows; an empty table gives no rows, an empty benchmark no hits; a very
+long text is one document of one shard; extra columns are ignored, or kept by
+``clean_documents``.  The benchmark is a stated query set: it is taken in blocks
+of ``BLOCK`` windows, one broadcast at a time, and hits of several blocks are
+joined per document.
 """
 
 from __future__ import annotations
 
 import hashlib
+import struct
 from collections import defaultdict
 
 import numpy as np
@@ -108,10 +115,10 @@ def build_index(docs: DataFrame, window: int = WINDOW, shard_words: int = SHARD_
 class Queries:
     """Windows as numbers of terms, padded with -1, and the items of each."""
 
-    def __init__(self, items: list[tuple[int | None, list[bytes]]], window: int):
+    def __init__(self, items: list[tuple[str | None, list[bytes]]], window: int):
         vocabulary: dict[bytes, int] = defaultdict()
         vocabulary.default_factory = vocabulary.__len__
-        found: dict[tuple[int, ...], set[int]] = {}
+        found: dict[tuple[int, ...], set[str]] = {}
         for item, own in items:
             numbers = [vocabulary[w] for w in own]
             for at in range(max(1, len(own) - window + 1) if own else 0):
@@ -119,7 +126,7 @@ class Queries:
                 if item is not None:
                     named.add(item)
         self.terms = list(vocabulary)
-        self.items = [np.array(sorted(v), np.int64) for v in found.values()]
+        self.items = list(found.values())
         self.windows = np.full((len(found), window), -1, np.int32)
         for i, w in enumerate(found):
             self.windows[i, : len(w)] = w
@@ -236,7 +243,7 @@ def _finder(shared, gap: int, span: int | None):
                     d = int(doc[own[0]])
                     size = q.lengths[windows[own]] if span is None else np.full(len(own), span)
                     spans[d] = np.stack([starts[own] - begin[d], np.minimum(starts[own] - begin[d] + size, p.lengths[d])], axis=1).astype(np.int64).tobytes()
-                    items[d] = np.unique(np.concatenate([q.items[w] for w in np.unique(windows[own])])).tobytes()
+                    items[d] = _named(set().union(*[q.items[w] for w in np.unique(windows[own])]))
                 n = len(begin)
                 ids = pa.array(p.doc_ids, pa.int64(), mask=p.known == 0)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(n, row["part"])), pa.array(np.full(n, row["shard"])), pa.array(np.arange(n)), ids, pa.array(p.lengths), pa.array(spans, pa.binary()), pa.array(items, pa.binary())], schema=schema)
@@ -244,6 +251,20 @@ def _finder(shared, gap: int, span: int | None):
     return find
 
 
+def _named(names: set[str]) -> bytes:
+    """Names in bytes that may follow others, each after its length."""
+    return b"".join(struct.pack("<I", len(n)) + n for n in (x.encode() for x in sorted(names)))
+
+
+def _names(data: bytes) -> set[str]:
+    out, at = set(), 0
+    while at < len(data):
+        size = struct.unpack_from("<I", data, at)[0]
+        out.add(data[at + 4 : at + 4 + size].decode())
+        at += 4 + size
+    return out
+
+
 def _digest(batches):
     schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("n_items", pa.int64()), ("items_sha256", pa.string()), ("contaminated", pa.bool_())])
     none = hashlib.sha256(b"").hexdigest()
@@ -258,7 +279,7 @@ def _digest(batches):
             edges = np.frombuffer(spans, np.int64).reshape(-1, 2)
             step = np.bincount(edges[:, 0], minlength=n + 1) - np.bincount(edges[:, 1], minlength=n + 1)
             hits.append(int((np.cumsum(step)[:n] > 0).sum()))
-            own = sorted({str(x) for x in np.frombuffer(items, np.int64).tolist()})
+            own = sorted(_names(items))
             counts.append(len(own))
             names.append(hashlib.sha256(",".join(own).encode()).hexdigest())
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_words"), pa.array(hits, pa.int64()), pa.array(counts, pa.int64()), pa.array(names, pa.string()), pa.array([h > 0 for h in hits], pa.bool_())], schema=schema)
@@ -267,7 +288,7 @@ def _digest(batches):
 def query_blocks(benchmark: DataFrame, window: int = WINDOW, block: int = BLOCK):
     """The benchmark's windows, a bounded block at a time."""
     own, size, any_block = [], 0, False
-    for r in benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").toLocalIterator():
+    for r in benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").toLocalIterator():
         words = _cut(r["text"])
         own.append((r["item_id"], words))
         size += max(0, len(words) - window + 1) or bool(words)
@@ -280,13 +301,23 @@ def query_blocks(benchmark: DataFrame, window: int = WINDOW, block: int = BLOCK)
 
 def search(index: DataFrame, benchmark: DataFrame, window: int = WINDOW, span: int | None = None, block: int = BLOCK) -> DataFrame:
     """Spans and items by document: exact phrases, or within ``span`` words."""
-    spark = index.sparkSession
-    found = [index.mapInArrow(lean(_finder(share(spark, q), window, span)), FOUND_SCHEMA) for q in query_blocks(benchmark, window, block)]
-    if len(found) == 1:
-        return found[0]
-    every = found[0]
-    for f in found[1:]:
-        every = every.unionByName(f)
+    spark, every, waiting = index.sparkSession, None, None
+
+    def of(shared) -> DataFrame:
+        return index.mapInArrow(lean(_finder(shared, window, span)), FOUND_SCHEMA)
+
+    def written(shared) -> DataFrame:
+        nonlocal every
+        found = materialise(of(shared), "posting-hits")
+        shared.destroy()
+        return found if every is None else every.unionByName(found)
+
+    for q in query_blocks(benchmark, window, block):
+        every = written(waiting) if waiting is not None else every
+        waiting = share(spark, q)
+    if every is None:
+        return of(waiting)
+    every = written(waiting)
     joined = lambda c: F.unhex(F.array_join(F.transform(F.collect_list(c), F.hex), "")).alias(c)
     return every.groupBy("part", "shard", "at").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), joined("spans"), joined("items"))
 

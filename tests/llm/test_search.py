@@ -253,6 +253,8 @@ def test_items_without_an_id_are_hit_but_not_named(spark):
     docs = spark.createDataFrame([(1, "a b c d"), (2, "c d e"), (3, "x y")], "doc_id long, text string")
     items = spark.createDataFrame([(None, "b c"), (7, "d e"), (None, "d e"), (None, None)], "item_id long, text string").coalesce(1)
     sha = lambda x: hashlib.sha256(x).hexdigest()
+    named = spark.createDataFrame([("a,b", "b c"), ("é", "c d")], "item_id string, text string")
+    assert {r.doc_id: r.items_sha256 for r in contamination.contamination(docs, named).collect()}[1] == sha("a,b,é".encode())
     for block in (contamination.BLOCK, 1):
         got = sorted(map(tuple, contamination.contamination(docs, items, block=block).collect()))
         assert got == [(1, 4, 2, 0, sha(b""), True), (2, 3, 2, 1, sha(b"7"), True), (3, 2, 0, 0, sha(b""), False)]
