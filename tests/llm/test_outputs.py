@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+import re
 import zlib
 
 import numpy as np
@@ -70,6 +71,18 @@ def test_chat_reads_back_what_was_said(spark):
     assert chat.format_conversations(frame.limit(0)).count() == 0
 
 
+def test_repeated_turns_and_a_long_conversation(spark):
+    rows = [(1, 0, "user", "a")] * 3 + [(2, i, "assistant" if i % 2 else "user", f"t{i} ##") for i in range(5000)]
+    frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    formatted = chat.format_conversations(frame)
+    got = {r.conv_id: r for r in chat.digests(formatted).collect()}
+    assert got[1].n_turns == 3 and got[1].turns_sha256 == hashlib.sha256(b"user\na\n" * 3).hexdigest()
+    loss = "".join(t for _, _, r, t in rows if r == "assistant")
+    assert got[2].n_turns == 5000 and got[2].loss_sha256 == hashlib.sha256(loss.encode()).hexdigest()
+    spans = formatted.filter("conv_id = 2").first()
+    assert all(spans.formatted[s.start - 1 :].startswith(f"t{2 * i + 1} #") for i, s in enumerate(spans.loss_spans))
+
+
 def test_adjacent_turns_are_one_block(spark):
     frame = spark.createDataFrame([(1, 0, "user", "a"), (1, 1, "user", "b"), (1, 2, "assistant", "c")], "conv_id long, turn long, role string, text string")
     r = chat.format_conversations(frame).first()
@@ -168,6 +181,43 @@ def test_fingerprints(nasty, empty):
     assert fingerprints.fingerprint_edits(empty).count() == 0
 
 
+def brute_fingerprint(text):
+    """Bins, borrowed bins and low bits one by one."""
+    import struct
+
+    import xxhash
+
+    signed = lambda h: h - (1 << 64) if h >= 1 << 63 else h
+    words = [w for w in re.split(r"[\x20\x09-\x0D]+", text or "") if w]
+    bins = {}
+    for i in range(max(1, len(words) - 4) if words else 0):
+        h = 42
+        for w in words[i : i + 5]:
+            h = xxhash.xxh64_intdigest(w.encode(), h)
+        b = (signed(h) >> 56) + 128
+        bins[b] = min(bins.get(b, 1 << 63), signed(h))
+    number = lambda n, seed: xxhash.xxh64_intdigest(struct.pack("<i", n), seed)
+    out = []
+    for b in range(256 if bins else 0):
+        tried = [b] * (b in bins) + [t for t in (number(a, number(b, 42)) & 255 for a in range(fingerprints.ATTEMPTS)) if t in bins]
+        chosen = tried[0] if tried else min(bins, key=lambda k: signed(number(k, number(b, 42))))
+        out.append(f"{bins[chosen] & 255:02x}")
+    return "".join(out)
+
+
+def test_fingerprints_are_the_brute_ones(spark, nasty):
+    rng = random.Random(8)
+    rows = [(i, " ".join(rng.choice("abcdefgh") * rng.randrange(1, 4) for _ in range(n))) for i, n in enumerate((1, 2, 5, 6, 30, 300, 3000))]
+    rows += [(7, "é ünder\tThe\x0bEND."), (8, None), (8, "twice"), (8, "twice"), (None, "none")]
+    got = fingerprints.fingerprint_edits(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((str(r.doc_id), r.fingerprint) for r in got) == sorted((str(i), brute_fingerprint(t)) for i, t in rows)
+    for r in got:
+        a, b = (bytes.fromhex(x) for x in (r.fingerprint, r.edited_fingerprint))
+        if a and b:
+            same = sum(x == y for x, y in zip(a, b, strict=True)) / 256
+            assert abs(r.near_edited - min(1, max(0, (same - 1 / 256) / (1 - 1 / 256)))) < 1e-12
+
+
 def test_one_document_is_its_own_next(spark):
     r = fingerprints.fingerprint_edits(spark.createDataFrame([(4, "abcdef")], "doc_id long, text string")).first()
     assert r.edited_sha256 == hashlib.sha256(b"abcdab").hexdigest() and r.near_next == 1.0
