@@ -340,4 +340,21 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     return back(keyed.join(hit, "_key", "left_anti"))
 
 
+ORACLE = rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{{80}}-\x{{10FFFF}}]+') AS w FROM documents),
+b AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{{80}}-\x{{10FFFF}}]+') AS w FROM benchmark),
+q AS (
+  SELECT DISTINCT item_id, least(len(w), {WINDOW}) AS n, array_to_string(w[j:j + {WINDOW - 1}], ' ') AS k
+  FROM (SELECT item_id, w, unnest(range(1, greatest(1, len(w) - {WINDOW - 1}) + 1)) AS j FROM b WHERE len(w) > 0) x),
+s AS (SELECT r, w, n, unnest(range(1, len(w) - n + 2)) AS j FROM d JOIN (SELECT DISTINCT n FROM q) z ON len(w) >= n),
+f AS (SELECT s.r, s.j, s.n, q.item_id FROM s JOIN q ON q.n = s.n AND q.k = array_to_string(s.w[s.j:s.j + s.n - 1], ' ')),
+h AS (SELECT r, count(DISTINCT at_word) AS n FROM (SELECT r, unnest(range(j, j + n)) AS at_word FROM f) x GROUP BY r),
+i AS (SELECT r, count(*) AS n, string_agg(name, ',' ORDER BY name) AS names FROM (SELECT DISTINCT r, CAST(item_id AS VARCHAR) AS name FROM f WHERE item_id IS NOT NULL) x GROUP BY r)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(h.n, 0) AS n_hit, coalesce(i.n, 0) AS n_items, sha256(coalesce(i.names, '')) AS items_sha256, coalesce(h.n, 0) > 0 AS contaminated
+FROM d LEFT JOIN h ON h.r = d.r LEFT JOIN i ON i.r = d.r
+"""
+
+
 ship(__name__)

@@ -166,3 +166,25 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     both = counted_join(keyed, told, ["_id", "_none", "_tie"], "rows", "left")
     kept = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("_gone", i)), "\n")
     return back(both.withColumn("text", kept))
+
+
+#: For doc_ids that do not repeat.
+ORACLE = rf"""
+WITH t AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
+o AS (
+  SELECT doc_id, no, coalesce(doc_id, {LAST}) AS p, list_filter(string_split_regex(lower(l[no + 1]), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+  FROM (SELECT doc_id, l, unnest(range(0, len(l))) AS no FROM t) x),
+u AS (SELECT w, min((p, no)) AS first FROM o WHERE len(w) > 0 GROUP BY w),
+v AS (
+  SELECT w, first, 0 AS place, hash(array_to_string(w, ' ')) AS k FROM u WHERE len(w) >= {MIN_WORDS}
+  UNION ALL
+  SELECT w, first, i, hash(array_to_string(list_concat(w[1:i - 1], w[i + 1:]), ' ')) FROM (SELECT w, first, unnest(range(1, len(w) + 1)) AS i FROM u WHERE len(w) >= {MIN_WORDS}) x),
+m AS (SELECT k, place, min(first) AS same FROM v GROUP BY k, place),
+s AS (SELECT k, min(same) FILTER (place = 0) AS whole, min(same) FILTER (place > 0) AS lacking FROM m GROUP BY k),
+g AS (
+  SELECT DISTINCT v.w FROM v JOIN m ON m.k = v.k AND m.place = v.place JOIN s ON s.k = v.k
+  WHERE v.place > 0 AND m.same < v.first OR CASE WHEN v.place > 0 THEN s.whole ELSE s.lacking END < v.first)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (NOT gone) AS n_kept, coalesce(string_agg(CAST(no AS VARCHAR), ',' ORDER BY no) FILTER (gone), '') AS dropped
+FROM (SELECT o.doc_id, o.no, len(o.w) > 0 AND (g.w IS NOT NULL OR u.first <> (o.p, o.no)) AS gone FROM o LEFT JOIN u ON u.w = o.w LEFT JOIN g ON g.w = o.w) x
+GROUP BY doc_id
+"""

@@ -72,4 +72,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_chat": chat.ORACLE, "op6_urls": urls.ORACLE, "op7_mixing": mixing.ORACLE}
+    return {"op4_lines": lines.ORACLE, "op10_contamination": contamination.ORACLE, "op5_chat": chat.ORACLE, "op6_urls": urls.ORACLE, "op7_mixing": mixing.ORACLE}
