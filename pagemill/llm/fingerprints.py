@@ -10,7 +10,9 @@ corrected for the chance that low bits agree.
 Defined results: a null or blank text has no shingles and the fingerprint "";
 it is like another blank text (1.0) and unlike any other text (0.0).  A text of
 fewer words than a shingle is one shingle.  Equal texts have equal
-fingerprints.  Only Spark expressions run here.
+fingerprints; a repeated doc_id gives as many rows.  An empty table gives no
+rows; extra columns are ignored; very long texts are read whole.  Only Spark
+expressions run here.
 """
 
 from __future__ import annotations

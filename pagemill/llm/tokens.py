@@ -16,7 +16,8 @@ A byte-level tokenizer's pre-tokens are cut by its own pattern, spelled out for
 Latin text (``CUT``), and each is encoded by the tokenizer's model; those in use
 are remembered, twice ``CACHE`` a worker.  Texts with other characters (see
 ``plain``) or with special tokens, and other tokenizers, are encoded whole.
-Extra columns are ignored; a very long text is one document of one shard.
+Extra columns are ignored; a very long text is one document of one shard; doc_ids
+are integers.  The shared folder is one that pyarrow can open as well as Spark.
 """
 
 from __future__ import annotations

@@ -189,3 +189,60 @@ def test_pipeline(spark):
     got = pipeline.run(spark, SF).collect()
     ordered = sorted(got, key=lambda r: r.start)
     assert ordered[0].start == 0 and all(a.start + a.n_tokens == b.start and a.doc_id <= b.doc_id for a, b in zip(ordered, ordered[1:]))
+
+
+def staged(spark, folder, rows, items):
+    from tests.llm.conftest import SCHEMA
+
+    spark.createDataFrame(rows, SCHEMA).write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    return str(folder)
+
+
+def test_pipeline_is_the_brute_one(spark, tmp_path):
+    """Every stage again, one row at a time, on rows that have an id."""
+    import duckdb
+    import public_tokenizers
+
+    from pagemill.llm import mixing, tokens
+    from tests.llm.conftest import rows
+    from tests.llm.test_search import brute_components, brute_hits
+
+    pipeline = pytest.importorskip("corpus_pipeline")
+    docs = [r for r in rows() if r[0] is not None]
+    items = [(1, docs[9][1]), (2, "not there at all"), (None, docs[20][1])]
+    got = sorted((r.start, r.doc_id, r.n_tokens, r.ids_crc32) for r in pipeline.run(spark, staged(spark, tmp_path, docs, items)).collect())
+    left = [r for r in docs if any(c.isalpha() for c in r[1] or "")]
+    least = {int(c) for _, _, c in brute_components([(r[0], r[1]) for r in left])}
+    left = list({r[0]: r for r in left if r[0] in least}.values())
+    hit = {int(h[0]) for h in brute_hits([(r[0], r[1]) for r in left], items) if h[5]}
+    left = [r for r in left if r[0] not in hit]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR, source VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?, ?)", [(r[0], r[1], r[3]) for r in left])
+    copies = {d: taken // size for d, size, _, _, taken in con.execute(mixing.ORACLE).fetchall()}
+    want, at = [], 0
+    tok = tokens.tokenizer(public_tokenizers.path("byte_bpe_50k.json"))
+    for r in sorted(left):
+        ids = tok.encode(r[1], add_special_tokens=False).ids + [2]
+        for _ in range(copies[r[0]]):
+            want.append((at, r[0], len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+            at += len(ids)
+    assert hit and got == want and len(want) > 20
+
+
+def test_pipeline_on_odd_and_empty_tables(spark, tmp_path):
+    import os
+
+    from pagemill.llm.common import shared_dir
+    from tests.llm.conftest import rows
+
+    pipeline = pytest.importorskip("corpus_pipeline")
+    (tmp_path / "a").mkdir(), (tmp_path / "b").mkdir()
+    folder = shared_dir(spark).removeprefix("file:")
+    before = set(os.listdir(folder))
+    got = pipeline.run(spark, staged(spark, tmp_path / "a", rows(), [(None, None)])).collect()
+    assert any(r.doc_id is None for r in got) and not {65, 66, 67} & {r.doc_id for r in got}
+    # What no later stage needs is gone.
+    assert {x.rsplit("-", 1)[0] for x in set(os.listdir(folder)) - before} == {"stage-3", "stage-4", "wavelet", "wavelet-manifest"}
+    assert pipeline.run(spark, staged(spark, tmp_path / "b", [], [])).count() == 0
