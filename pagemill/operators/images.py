@@ -319,6 +319,67 @@ def difference_hash(image: np.ndarray, n: int = 8) -> str:
     return "".join(f"{int(''.join('1' if b else '0' for b in bits[i : i + 4]).ljust(4, '0'), 2):x}" for i in range(0, len(bits), 4))
 
 
+def decode(data: bytes) -> np.ndarray:
+    """A gray or RGB array of a PNG of 8 bits a sample without interlace, or of a BMP of 24 bits.
+
+    Alpha is dropped.  Anything else is a ValueError.
+    """
+    if data[:2] == b"BM":
+        return _decode_bmp(data)
+    if data[:8] != b"\x89PNG\r\n\x1a\n":
+        raise ValueError("cannot decode image")
+    at, head, palette, packed = 8, None, None, []
+    while at + 8 <= len(data):
+        size, kind = struct.unpack_from(">I4s", data, at)
+        body = data[at + 8 : at + 8 + size]
+        if kind == b"IHDR":
+            head = struct.unpack(">IIBBBBB", body)
+        elif kind == b"PLTE":
+            palette = np.frombuffer(body, np.uint8).reshape(-1, 3)
+        elif kind == b"IDAT":
+            packed.append(body)
+        at += 12 + size
+    channels = {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}.get(head[3] if head else -1)
+    if channels is None or head[2] != 8 or head[6]:
+        raise ValueError("cannot decode image")
+    width, height = head[:2]
+    rows = np.frombuffer(zlib.decompress(b"".join(packed)), np.uint8).reshape(height, 1 + width * channels)
+    out, above = np.empty((height, width, channels), np.uint8), np.zeros((width, channels), np.uint8)
+    for y in range(height):
+        above = out[y] = _unfilter(int(rows[y, 0]), rows[y, 1:].reshape(width, channels), above)
+    if head[3] == 3:
+        return palette[out[..., 0]]
+    return out[..., :3] if channels > 2 else out[..., 0]
+
+
+def _unfilter(kind: int, row: np.ndarray, above: np.ndarray) -> np.ndarray:
+    """A PNG row from its differences to the left (1), above (2), their mean (3) or the nearest (4)."""
+    if kind < 3:
+        return [row, np.cumsum(row, axis=0, dtype=np.uint8), row + above][kind]
+    out = []
+    for c in range(row.shape[1]):
+        left, corner, own = 0, 0, []
+        for x, up in zip(row[:, c].tolist(), above[:, c].tolist(), strict=True):
+            if kind == 3:
+                guess = (left + up) // 2
+            else:
+                near = [abs(up - corner), abs(left - corner), abs(left + up - 2 * corner)]
+                guess = (left, up, corner)[near.index(min(near))]
+            left, corner = (x + guess) & 255, up
+            own.append(left)
+        out.append(own)
+    return np.array(out, np.uint8).T
+
+
+def _decode_bmp(data: bytes) -> np.ndarray:
+    start, _, width, height, _, bits, packed = struct.unpack_from("<IIiiHHI", data, 10)
+    if bits != 24 or packed:
+        raise ValueError("cannot decode image")
+    step = -(-width * 3 // 4) * 4
+    rows = np.frombuffer(data, np.uint8, abs(height) * step, start).reshape(abs(height), step)[:, : width * 3].reshape(abs(height), width, 3)
+    return rows[:: -1 if height > 0 else 1, :, ::-1]
+
+
 def png(image: np.ndarray) -> bytes:
     """A gray or RGB image of bytes as a PNG file."""
     h, w = image.shape[:2]

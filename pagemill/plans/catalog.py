@@ -123,35 +123,35 @@ LITE = [
 # Words that speak for a document type, types in order of precedence.
 KEYWORDS = {
     "standard": {
-        "invoice": "发票 增值税 invoice 税额 纳税人识别号 价税合计 开票日期".split(),
-        "receipt": "收据 receipt 收款 付款 已收".split(),
-        "bank_statement": "银行流水 对账单 statement 交易记录 账户 余额".split(),
-        "contract": "合同 协议 contract 甲方 乙方 签署 条款".split(),
-        "quotation": "报价 quotation 报价单 单价".split(),
+        "invoice": ["发票", "增值税", "invoice", "税额", "纳税人识别号", "价税合计", "开票日期"],
+        "receipt": ["收据", "receipt", "收款", "付款", "已收"],
+        "bank_statement": ["银行流水", "对账单", "statement", "交易记录", "账户", "余额"],
+        "contract": ["合同", "协议", "contract", "甲方", "乙方", "签署", "条款"],
+        "quotation": ["报价", "quotation", "报价单", "单价"],
     },
     "lite": {
-        "invoice": "发票 增值税 invoice 税额 纳税人识别号 价税合计 开票日期 发票号码 发票代码 销售方 购买方 税率".split(),
-        "receipt": "收据 receipt 收款 已收 付款 微信支付 支付宝 刷卡 现金 商户 消费 小票".split(),
-        "bank_statement": "银行流水 对账单 statement 交易记录 账户 余额 借方 贷方 转账 存入 支出 汇款".split(),
-        "contract": "合同 协议 contract 甲方 乙方 签署 条款 履行 违约 约定".split(),
+        "invoice": ["发票", "增值税", "invoice", "税额", "纳税人识别号", "价税合计", "开票日期", "发票号码", "发票代码", "销售方", "购买方", "税率"],
+        "receipt": ["收据", "receipt", "收款", "已收", "付款", "微信支付", "支付宝", "刷卡", "现金", "商户", "消费", "小票"],
+        "bank_statement": ["银行流水", "对账单", "statement", "交易记录", "账户", "余额", "借方", "贷方", "转账", "存入", "支出", "汇款"],
+        "contract": ["合同", "协议", "contract", "甲方", "乙方", "签署", "条款", "履行", "违约", "约定"],
     },
 }
 
 # The fields of each document type in their order; "unknown" is for all other types.
 ROUTES = {
     "standard": {
-        "invoice": "invoice_number invoice_code invoice_date seller_name buyer_name seller_tax_id buyer_tax_id amount_before_tax tax_amount amount_total receiver_name receiver_phone remarks".split(),
-        "receipt": "invoice_date amount_total payment_method receiver_name receiver_phone remarks".split(),
-        "bank_statement": "bank_name bank_account amount_total receiver_name".split(),
-        "contract": "seller_name buyer_name invoice_date amount_total receiver_phone receiver_address".split(),
-        "unknown": "invoice_number invoice_date amount_total seller_name buyer_name receiver_name receiver_phone remarks".split(),
+        "invoice": ["invoice_number", "invoice_code", "invoice_date", "seller_name", "buyer_name", "seller_tax_id", "buyer_tax_id", "amount_before_tax", "tax_amount", "amount_total", "receiver_name", "receiver_phone", "remarks"],
+        "receipt": ["invoice_date", "amount_total", "payment_method", "receiver_name", "receiver_phone", "remarks"],
+        "bank_statement": ["bank_name", "bank_account", "amount_total", "receiver_name"],
+        "contract": ["seller_name", "buyer_name", "invoice_date", "amount_total", "receiver_phone", "receiver_address"],
+        "unknown": ["invoice_number", "invoice_date", "amount_total", "seller_name", "buyer_name", "receiver_name", "receiver_phone", "remarks"],
     },
     "lite": {
-        "invoice": "invoice_number invoice_code invoice_date seller_name buyer_name seller_tax_id buyer_tax_id amount_pretax tax_amount amount_total tax_rate goods_description".split(),
-        "receipt": "invoice_date amount_total payment_method merchant_name goods_description".split(),
-        "bank_statement": "bank_name bank_account amount_total invoice_date seller_name".split(),
-        "contract": "contract_number seller_name buyer_name amount_total invoice_date".split(),
-        "unknown": "invoice_number invoice_date amount_total seller_name buyer_name phone remarks".split(),
+        "invoice": ["invoice_number", "invoice_code", "invoice_date", "seller_name", "buyer_name", "seller_tax_id", "buyer_tax_id", "amount_pretax", "tax_amount", "amount_total", "tax_rate", "goods_description"],
+        "receipt": ["invoice_date", "amount_total", "payment_method", "merchant_name", "goods_description"],
+        "bank_statement": ["bank_name", "bank_account", "amount_total", "invoice_date", "seller_name"],
+        "contract": ["contract_number", "seller_name", "buyer_name", "amount_total", "invoice_date"],
+        "unknown": ["invoice_number", "invoice_date", "amount_total", "seller_name", "buyer_name", "phone", "remarks"],
     },
 }
 
@@ -161,10 +161,10 @@ TYPE_TITLES = {"invoice": "增值税发票", "receipt": "收据小票", "bank_st
 # The listed templates of each profile (type, name, description, fields; None: the route).
 TEMPLATES = {
     "standard": [
-        ("invoice", "增值税发票", "Chinese VAT invoice extraction", "invoice_number invoice_code invoice_date seller_name buyer_name amount_total".split()),
-        ("receipt", "收据", "Receipt extraction", "invoice_date amount_total payment_method".split()),
-        ("bank_statement", "银行流水", "Bank statement extraction", "bank_name bank_account amount_total".split()),
-        ("contract", "合同", "Contract extraction", "seller_name buyer_name invoice_date amount_total".split()),
+        ("invoice", "增值税发票", "Chinese VAT invoice extraction", ["invoice_number", "invoice_code", "invoice_date", "seller_name", "buyer_name", "amount_total"]),
+        ("receipt", "收据", "Receipt extraction", ["invoice_date", "amount_total", "payment_method"]),
+        ("bank_statement", "银行流水", "Bank statement extraction", ["bank_name", "bank_account", "amount_total"]),
+        ("contract", "合同", "Contract extraction", ["seller_name", "buyer_name", "invoice_date", "amount_total"]),
     ],
     "lite": [
         ("invoice", "增值税发票", "自动提取发票号码、代码、日期、买卖双方、金额、税率等字段", None),

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import sys
+
+import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagemill.config import Image
+from pagemill.operators import images as pixels
 
 TEMPLATE = "document_type string, name string, description string, field_types array<string>, layout_hints map<string,string>, _bad string"
 LINE = "line_idx int, text string, confidence double, x int, y int, w int, h int, region_type string"
@@ -26,6 +31,28 @@ def images(spark: SparkSession, folder: str, formats: tuple[str, ...] = Image().
     return spark.read.format("image").load(folder).filter(_listed(F.col("image.origin"), formats))
 
 
+FLAT = "origin string, height int, width int, nChannels int, mode int, data binary"
+
+
+def _decode_flat(frames):
+    for frame in frames:
+        out = []
+        for path, content in zip(frame["path"], frame["content"], strict=True):
+            try:
+                own = pixels.decode(bytes(content))
+                own = own[..., None] if own.ndim == 2 else own[..., ::-1]
+                out.append((path, *own.shape, 0 if own.shape[2] == 1 else 16, own.tobytes()))
+            except Exception:  # as the image source has it
+                out.append((path, -1, -1, -1, -1, b""))
+        yield pd.DataFrame(out, columns=[c.split()[0] for c in FLAT.split(", ")])
+
+
+def from_bytes(content: DataFrame) -> DataFrame:
+    """Rows of the image source from rows of path and content; what cannot be decoded has height -1."""
+    flat = content.select("path", "content").mapInPandas(_decode_flat, FLAT)
+    return flat.select(F.struct(*[c.split()[0] for c in FLAT.split(", ")]).alias("image"))
+
+
 def decoded(content: DataFrame) -> DataFrame:
     """Add success and error to rows of the image source."""
     ok = F.col("image.height") > 0
@@ -60,3 +87,6 @@ def quads_to_lines(quads: DataFrame, blanks: bool = False) -> DataFrame:
     rows = quads.withColumn("b", points_to_box(F.col("pts"))).withColumn("confidence", F.col("conf").try_cast("double"))
     rows = rows if blanks else rows.filter(F.regexp_replace("text", r"(?U)[\s\x1c-\x1f]+", "") != "")
     return rows.select("doc_id", F.col("idx").cast("int").alias("line_idx"), "text", "confidence", "b.*")
+
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

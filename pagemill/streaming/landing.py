@@ -1,4 +1,4 @@
-"""Pages that land in a folder, extracted as a stream.
+"""Pages, as text or as images, that land in a folder, handled as a stream.
 
 Each micro-batch is stateless: the same columns as in a batch job.
 """
@@ -9,8 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from pagemill.config import Settings
 from pagemill.functions.text import process_text
 from pagemill.operators.extract import extract, summary
+from pagemill.operators.images import analyse
+from pagemill.sources import files
 
 PAGE = "doc_id long, full_text string, document_type_hint string"
 
@@ -29,3 +32,14 @@ def start(stream: DataFrame, out: str, checkpoint: str, profile: str = "standard
     """Write results as Parquet, each file's pages once."""
     rows = extracted(stream, profile).withColumn("fields", F.to_json("fields"))
     return rows.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def images(spark: SparkSession, folder: str, files_a_batch: int = 100) -> DataFrame:
+    """Rows of the image source from PNG or BMP files that land in a folder."""
+    content = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("maxFilesPerTrigger", files_a_batch).load(folder)
+    return files.from_bytes(content)
+
+
+def start_images(stream: DataFrame, out: str, checkpoint: str, settings: Settings | None = None) -> StreamingQuery:
+    """Analyse images as they land, one Parquet row each."""
+    return analyse(stream, settings).writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

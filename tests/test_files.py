@@ -164,6 +164,50 @@ def test_saved_images_are_the_same(spark, tmp_path):
     assert len(saved) == 1 and (images.pixels_of(again) == page()).all()
 
 
+def filtered_png(image: np.ndarray, colour: int) -> bytes:
+    """Each row by another of the five filters."""
+    h, w, n = image.shape
+    rows, above = [], np.zeros((w, n), int)
+    for y in range(h):
+        row = image[y].astype(int)
+        left = np.vstack([np.zeros((1, n), int), row[:-1]])
+        corner = np.vstack([np.zeros((1, n), int), above[:-1]])
+        p = left + above - corner
+        near = np.stack([abs(p - left), abs(p - above), abs(p - corner)])
+        nearest = np.choose(near.argmin(axis=0), [left, above, corner])
+        guess = [0, left, above, (left + above) // 2, nearest][y % 5]
+        rows.append(bytes([y % 5]) + ((row - guess) % 256).astype(np.uint8).tobytes())
+        above = row
+    chunk = lambda k, d: struct.pack(">I", len(d)) + k + d + struct.pack(">I", zlib.crc32(k + d))
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, colour, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(b"".join(rows))) + chunk(b"IEND", b"")
+
+
+def test_bytes_decode_as_files_do(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    for name, n, colour in (("rgb", 3, 2), ("gray", 1, 0), ("alpha", 4, 6)):
+        image = rng.integers(0, 256, (11, 7, n)).astype(np.uint8)
+        data = filtered_png(image, colour)
+        assert (images.decode(data).reshape(11, 7, -1) == image[..., :3]).all(), name
+        if n < 4:
+            (tmp_path / f"{name}.png").write_bytes(data)
+    (tmp_path / "bad.png").write_bytes(b"broken")
+    flat = b"".join(bytes([1, 2, 3] * 3 + [0] * 3) for _ in range(2))
+    bmp = b"BM" + struct.pack("<IHHIIiiHHIIiiII", 54 + len(flat), 0, 0, 54, 40, 3, 2, 1, 24, 0, len(flat), 0, 0, 0, 0) + flat
+    assert images.decode(bmp).tolist() == [[[3, 2, 1]] * 3] * 2
+    read = {r.image.origin[-7:]: images.pixels_of(r.image) if r.image.height > 0 else None for r in files.images(spark, str(tmp_path)).collect()}
+    got = {r.image.origin[-7:]: images.pixels_of(r.image) if r.image.height > 0 else None for r in files.from_bytes(files.scan(spark, str(tmp_path))).collect()}
+    assert set(read) == set(got) and all((read[k] is None and got[k] is None) or (read[k] == got[k]).all() for k in read)
+
+
+def test_images_that_land(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.png").write_bytes(images.png(page()))
+    (tmp_path / "in" / "b.png").write_bytes(b"broken")
+    landing.start_images(landing.images(spark, str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination()
+    got = {r.path[-5:]: r for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert got["a.png"].success and got["a.png"].regions is not None and not got["b.png"].success
+
+
 def test_hash_of_an_image():
     steps = np.tile(np.arange(90, dtype=np.uint8) * 2, (40, 1))
     assert images.difference_hash(steps) == "f" * 16 and images.difference_hash(steps[:, ::-1]) == "0" * 16
