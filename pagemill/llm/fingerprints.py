@@ -17,6 +17,8 @@ expressions run here.
 
 from __future__ import annotations
 
+from collections import Counter
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -96,36 +98,38 @@ def _bucket(key: Column, bounds: list[int]) -> Column:
     )
 
 
-def ranged(df: DataFrame, order: str, columns: list[str]) -> tuple[DataFrame, DataFrame]:
-    """Deal rows to ranges of about equal size; returns them and the ghosts.
+def ranged(df: DataFrame, order: str, tie: str) -> DataFrame:
+    """Deal rows to ranges of about equal size, one a partition.
 
     Rows follow each other in descending order, in a ring.  The first row of
     each range is copied, as a ghost, to the end of the range before it, so no
-    range needs another's rows.  Ties are ordered by the hash of the first
-    column; a null comes last.  The driver sees one key for each range.
+    range needs another's rows.  Ties are ordered by the hash of a column; a
+    null comes last.  A key that fills several ranges is dealt by that hash, so
+    only rows equal in both stay together.  The driver sees one key a range.
     """
     spark = df.sparkSession
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    key = F.coalesce(F.col(order), F.lit(-(2**63)))
-    df = df.withColumn("_k", key).withColumn("_t", F.xxhash64(*columns[:1]))
+    df = df.withColumn("_k", F.coalesce(F.col(order), F.lit(-(2**63)))).withColumn("_t", F.xxhash64(tie))
     cuts = df.agg(F.percentile_approx("_k", [i / parts for i in range(1, parts)] or [0.5], 10 * parts)).first()[0] or []
-    bounds = sorted(set(cuts)) if parts > 1 else []
-    df = df.withColumn("_r", _bucket(F.col("_k"), bounds))
+    often = {c: n for c, n in Counter(cuts if parts > 1 else []).items() if n > 1}
+    bounds = sorted({*(cuts if parts > 1 else []), *(c + 1 for c in often)})
+    most = max(often.values(), default=1)
+    share = F.create_map(*[F.lit(x) for c, n in often.items() for x in (c, n)]) if often else None
+    inside = F.floor((F.col("_t") / F.lit(2.0**64) + 0.5) * F.coalesce(F.try_element_at(share, F.col("_k")), F.lit(1))).cast("int") if often else F.lit(0)
+    df = df.withColumn("_r", _bucket(F.col("_k"), bounds) * most + F.least(inside, F.lit(most - 1)))
     tops = sorted(((r["_r"], r["m"]["_k"], r["m"]["_t"]) for r in df.groupBy("_r").agg(F.max(F.struct("_k", "_t")).alias("m")).collect()))
-    if not tops:
-        ghosts = spark.createDataFrame([], "_k long, _t long, _g int")
-    else:
-        ranges = [t[0] for t in tops]
-        ghosts = spark.createDataFrame([(k, t, ranges[(i + 1) % len(ranges)]) for i, (_, k, t) in enumerate(tops)], "_k long, _t long, _g int")
-    return df, ghosts
+    ranges = [t[0] for t in tops]
+    ghosts = spark.createDataFrame([(k, t, ranges[(i + 1) % len(ranges)]) for i, (_, k, t) in enumerate(tops)], "_k long, _t long, _g int")
+    own, copy = F.struct(F.col("_r").alias("r"), F.lit(0).alias("g")), F.struct(F.col("_g").alias("r"), F.lit(1).alias("g"))
+    both = df.join(F.broadcast(ghosts), ["_k", "_t"], "left").withColumn("_c", F.explode(F.when(F.col("_g").isNull(), F.array(own)).otherwise(F.array(own, copy))))
+    both = both.withColumn("_r", F.col("_c.r")).withColumn("_ghost", F.col("_c.g")).drop("_c", "_g")
+    return both.repartitionByRange(max(1, len(ranges)), "_r")
 
 
-def _ringed(df: DataFrame, ghosts: DataFrame, columns: list[str]) -> DataFrame:
-    """Add next_<column> of each row; the ghosts are as few as the ranges."""
-    both = df.join(F.broadcast(ghosts), ["_k", "_t"], "left").withColumn("_c", F.explode(F.when(F.col("_g").isNull(), F.array(F.struct(F.col("_r").alias("r"), F.lit(0).alias("g")))).otherwise(F.array(F.struct(F.col("_r").alias("r"), F.lit(0).alias("g")), F.struct(F.col("_g").alias("r"), F.lit(1).alias("g"))))))
-    both = both.withColumn("_r", F.col("_c.r")).withColumn("_ghost", F.col("_c.g")).drop("_c", "_g")
+def followed(dealt: DataFrame, columns: list[str]) -> DataFrame:
+    """Add next_<column> of each row that ranged() has dealt; no shuffle, as a range is in one partition."""
     ring = Window.partitionBy("_r").orderBy(F.col("_ghost"), F.col("_k").desc(), F.col("_t").desc())
-    return both.select("*", *[F.lead(c).over(ring).alias(f"next_{c}") for c in columns]).filter("_ghost = 0").drop("_r", "_ghost", "_k", "_t")
+    return dealt.select("*", *[F.lead(c).over(ring).alias(f"next_{c}") for c in columns]).filter("_ghost = 0").drop("_r", "_ghost", "_k", "_t")
 
 
 def fingerprint_edits(docs: DataFrame) -> DataFrame:
@@ -135,9 +139,7 @@ def fingerprint_edits(docs: DataFrame) -> DataFrame:
     own next.
     """
     base = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    keyed, ghosts = ranged(base, "doc_id", ["text"])
-    signed = with_signature(keyed, "text", "sig")
-    ringed = _ringed(signed, ghosts, ["text", "sig"])
+    ringed = followed(with_signature(ranged(base, "doc_id", "text"), "text", "sig"), ["text", "sig"])
     n = F.char_length("text")
     tail = F.floor(n / 3).cast("int")
     edited = ringed.withColumn("n_chars", n).withColumn("edited", F.concat(F.substr("text", F.lit(1), n - tail), F.substr("next_text", F.lit(1), tail))).drop("text", "next_text")

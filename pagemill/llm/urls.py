@@ -121,7 +121,7 @@ def propagate(hosts: DataFrame, edges: DataFrame, tolerance: float = TOLERANCE,
     hosts: host, allowed, blocked (page counts).  edges: src, dst, n.
     """
     related = materialise(family(hosts.select("host").unionByName(edges.select(F.col("dst").alias("host"))).distinct()), "url-family")
-    nodes = hosts.select("host").union(edges.select("dst")).union(related.select("parent")).distinct().agg(F.count("*").alias("nodes"))
+    nodes = hosts.select("host").union(edges.select("dst")).union(related.select("parent")).distinct().count()
     seed = lambda k, c: F.struct(F.concat(F.lit(k), F.col("host")).alias("node"), F.lit(k).alias("kind"), F.col(c).cast("double").alias("n"))
     seeds = hosts.select(F.explode(F.array(seed("t", "allowed"), seed("d", "blocked"))).alias("s")).select("s.*").filter("n > 0")
     total = seeds.groupBy("kind").agg(F.sum("n").alias("all"))
@@ -142,7 +142,7 @@ def propagate(hosts: DataFrame, edges: DataFrame, tolerance: float = TOLERANCE,
             written = state
     part = lambda k: F.sum(F.when(F.substring("node", 1, 1) == k, F.col("total")).otherwise(0.0)) * (1.0 - damping)
     scores = state.groupBy(F.substring("node", 2, 1 << 30).alias("host")).agg(part("t").alias("trust"), part("d").alias("distrust"))
-    return scores.crossJoin(F.broadcast(nodes))
+    return scores.withColumn("nodes", F.lit(nodes))
 
 
 def judge_pages(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, margin: float = MARGIN) -> DataFrame:
@@ -221,7 +221,7 @@ score AS (
   SELECT host, coalesce(sum(m) FILTER (kind = 't'), 0) * (1e0 - {DAMPING}e0) AS trust, coalesce(sum(m) FILTER (kind = 'd'), 0) * (1e0 - {DAMPING}e0) AS distrust
   FROM walk GROUP BY host)
 SELECT r.page_id, r.host, r.path, r.rule,
-       coalesce(r.said, CASE WHEN round(s.distrust - s.trust - {MARGIN}e0 / n.nodes, 9) > 0 THEN 'block' ELSE 'allow' END) AS verdict,
+       coalesce(r.said, CASE WHEN round(s.distrust - s.trust - {MARGIN}e0 / (SELECT nodes FROM nodes), 9) > 0 THEN 'block' ELSE 'allow' END) AS verdict,
        coalesce(round(s.trust, 9), 0e0) AS host_trust, coalesce(round(s.distrust, 9), 0e0) AS host_distrust
-FROM r LEFT JOIN score s ON s.host = r.host CROSS JOIN nodes n
+FROM r LEFT JOIN score s ON s.host = r.host
 """

@@ -218,6 +218,25 @@ def test_fingerprints_are_the_brute_ones(spark, nasty):
             assert abs(r.near_edited - min(1, max(0, (same - 1 / 256) / (1 - 1 / 256)))) < 1e-12
 
 
+def test_rows_of_one_id_are_dealt(spark):
+    """Half of the rows have one id, as many none; each row still has its one next."""
+    rows = [(7, f"t{i} " * 4) for i in range(120)] + [(None, f"n{i} " * 4) for i in range(60)] + [(100 + i, f"d{i} " * 4) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    dealt = fingerprints.ranged(docs, "doc_id", "text")
+    assert max(r["count"] for r in dealt.filter("_ghost = 0").groupBy("_r").count().collect()) < 100
+    ring = fingerprints.followed(dealt, ["text"]).collect()
+    nexts = {r.text: r.next_text for r in ring}
+    assert len(ring) == len(nexts) == len(rows)
+    at, seen = rows[0][1], []
+    for _ in rows:
+        seen.append(at)
+        at = nexts[at]
+    assert at == rows[0][1] and sorted(seen) == sorted(t for _, t in rows)
+    of = {t: -1 if i is None else i for i, t in rows}
+    order = [of[t] for t in seen]
+    assert sum(a < b for a, b in zip(order, order[1:] + order[:1])) == 1
+
+
 def test_one_document_is_its_own_next(spark):
     r = fingerprints.fingerprint_edits(spark.createDataFrame([(4, "abcdef")], "doc_id long, text string")).first()
     assert r.edited_sha256 == hashlib.sha256(b"abcdab").hexdigest() and r.near_next == 1.0
