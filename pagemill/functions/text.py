@@ -49,7 +49,7 @@ def strip(c: Column | str) -> Column:
 
 
 def is_blank(c: Column | str) -> Column:
-    return strip(c) == ""
+    return ~F.rlike(_text(c), F.lit(rf"(?U)[^{SPACE[1:-1]}]"))
 
 
 def fullwidth_to_halfwidth(c: Column | str) -> Column:

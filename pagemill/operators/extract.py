@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagemill.functions.text import FLAGS, strip
+from pagemill.functions.text import FLAGS, is_blank, strip
 from pagemill.plans import catalog
 
 
@@ -61,24 +61,24 @@ def _candidates(text: Column, kind: Column, profile: str, every: bool) -> Column
 
     A pattern is only run where the text holds one of its labels, in any case.
     """
-    routes = catalog.ROUTES[profile]
-    listed = [k for k in routes if k != "unknown"]
-
-    def of(seen: Column) -> Column:
+    routes, own = catalog.ROUTES[profile], catalog.PROFILES[profile]
+    bits = {k: sum(1 << j for j, f in enumerate(own) if f.name in names) for k, names in routes.items()}
+    # A type's fields as the bits of one number, which is looked up once a text.
+    mask = F.lit(bits["unknown"])
+    for k in routes:
+        mask = F.when(kind == k, F.lit(bits[k])).otherwise(mask)
+
+    def of(seen: Column, wanted: Column) -> Column:
         out = []
-        for f in catalog.PROFILES[profile]:
-            own = [k for k in listed if f.name in routes[k]]
-            wanted = kind.isin(own) if own else F.lit(False)
-            if f.name in routes["unknown"]:
-                wanted = wanted | ~kind.isin(listed)
-            for i, pattern in enumerate(f.patterns if every or own or f.name in routes["unknown"] else ()):
+        for j, f in enumerate(own):
+            for i, pattern in enumerate(f.patterns if every or any(b >> j & 1 for b in bits.values()) else ()):
                 needs = [F.contains(seen, F.lit(x)) for x in catalog.literals(pattern)]
                 can = reduce(Column.__or__, needs) if needs else F.lit(True)
-                out.append(F.when(can if every else wanted & can, _found(text, f, i, profile)))
+                out.append(F.when(can if every else (wanted.bitwiseAND(F.lit(1 << j)) != 0) & can, _found(text, f, i, profile)))
         return F.filter(F.array(*out), lambda c: c.isNotNull())
 
     # Letters that only case folding makes equal to Latin ones.
-    return let(F.lower(F.translate(text, "ſİıK", "siik")), of)
+    return let(F.lower(F.translate(text, "ſİıK", "siik")), lambda seen: let(mask, lambda wanted: of(seen, wanted)))
 
 
 def extract(pages: DataFrame, profile: str = "standard", hint: str | None = None, every: bool = False, aligned: bool = False) -> DataFrame:
@@ -93,7 +93,7 @@ def extract(pages: DataFrame, profile: str = "standard", hint: str | None = None
     has_lines = "lines" in pages.columns
     full = F.coalesce(F.col("full_text"), F.lit("")) if "full_text" in pages.columns else F.lit("")
     own = F.transform("lines", lambda x: x["text"]) if has_lines else F.split(full, "\n")
-    both = let(F.filter(own, lambda t: strip(t) != ""), lambda lines: let(F.when(full == "", F.array_join(lines, "\n")).otherwise(full), lambda text: let(document_type(text, profile, F.col(hint) if hint else None), lambda kind: _extracted(text, lines, kind, has_lines, profile, every, aligned))))
+    both = let(F.filter(own, lambda t: ~is_blank(t)), lambda lines: let(F.when(full == "", F.array_join(lines, "\n")).otherwise(full), lambda text: let(document_type(text, profile, F.col(hint) if hint else None), lambda kind: _extracted(text, lines, kind, has_lines, profile, every, aligned))))
     # The row generator keeps later projections from working the fields out once more each.
     return pages.select("*", F.inline(F.array(both)))
 
@@ -106,9 +106,8 @@ def _extracted(text: Column, lines: Column, kind: Column, has_lines: bool, profi
     def box_of(at: Column) -> Column:
         if not has_lines:
             return no_box
-        rows = F.filter("lines", lambda x: strip(x["text"]) != "") if aligned else F.col("lines")
-        box = F.get(F.transform(rows, lambda x: F.struct(*[x[k].cast("int").alias(k) for k in "xywh"])), F.when(at >= 0, at))
-        return F.coalesce(box, no_box)
+        rows = F.filter("lines", lambda x: ~is_blank(x["text"])) if aligned else F.col("lines")
+        return F.when(at >= 0, let(F.get(rows, at), lambda x: F.struct(*[x[k].cast("int").alias(k) for k in "xywh"]))).otherwise(no_box)
 
     def best(scored: Column) -> Column:
         better = lambda o, c: (o["field"] == c["field"]) & ((o["confidence"] > c["confidence"]) | ((o["confidence"] == c["confidence"]) & (o["i"] < c["i"])))
@@ -154,16 +153,16 @@ def metadata_frame(spark, profile: str = "standard") -> DataFrame:
 
 
 def value_boxes(extracted: DataFrame) -> Column:
-    """The box of each field by text: the first distinct line text that holds the value or lies in it.
+    """The box of each field by text: the first line text that holds the value or lies in it.
 
     Lines of equal stripped text count once, where the first stands, with the last one's box.
     """
-    texts = F.array_distinct(F.transform("lines", lambda x: strip(x["text"])))
 
-    def box(f: Column) -> Column:
-        hit = F.get(F.filter(texts, lambda t: F.contains(t, f["value"]) | F.contains(f["value"], t)), F.lit(0))
-        own = F.filter("lines", lambda x: strip(x["text"]) == hit)
-        last = F.try_element_at(own, F.lit(-1))
-        return F.struct(f["field_type"].alias("field_type"), *[last[k].alias(k) for k in "xywh"])
+    def boxes(texts: Column, back: Column) -> Column:
+        hit = lambda value: F.get(F.filter(texts, lambda t: F.contains(t, value) | F.contains(value, t)), F.lit(0))
+        last = lambda text: F.get("lines", (F.size(texts) - F.array_position(back, text)).cast("int"))
+        box = lambda f: let(hit(f["value"]), lambda text: let(last(text), lambda own: F.struct(f["field_type"].alias("field_type"), *[own[k].alias(k) for k in "xywh"])))
+        return F.transform("fields", box)
 
-    return F.transform("fields", box)
+    # Bound once a document: a line is stripped once, not for each field, line and side of a box anew.
+    return let(F.transform("lines", lambda x: strip(x["text"])), lambda texts: let(F.reverse(texts), lambda back: boxes(texts, back)))

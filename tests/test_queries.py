@@ -68,6 +68,47 @@ def test_fields_are_worked_out_once(spark):
         assert patterns <= plan.count("regexp_extract(") <= 2 * patterns, name
 
 
+def test_lines_are_stripped_once_for_value_boxes(spark):
+    """In the plan: one strip binds the lines' texts, and none stands below it for a field, a line or a side of the box."""
+    from pagemill.operators import extract
+
+    pages = spark.createDataFrame([], "lines array<struct<text string, x int, y int, w int, h int>>, fields array<struct<field_type string, value string>>")
+    plan = pages.select(extract.value_boxes(pages).alias("b"))._jdf.queryExecution().analyzed().toString()
+    assert plan.count("regexp_replace(") == 1
+
+
+def test_value_boxes_of_odd_lines(spark):
+    from pagemill.operators import extract
+
+    def box(lines, value):
+        """The reference's way: a dict of stripped texts to boxes, read in order."""
+        seen = {}
+        for text, *sides in lines or []:
+            if text is not None:
+                seen[text.strip()] = tuple(sides)
+        return next((b for t, b in seen.items() if value in t or t in value), (None,) * 4) if value is not None else (None,) * 4
+
+    cases = [
+        ([("a 12", 1, 2, 3, 4), ("\u3000a 12 ", 5, 6, 7, 8), ("12", 9, 9, 9, 9)], ["12", "a 12 b", "x", None]),
+        ([("a 12", 1, 2, 3, 4), ("12", 9, 9, 9, 9), ("a 12", 5, 6, 7, 8)], ["12", "a"]),
+        ([(" ", 1, 1, 1, 1), ("b", 2, 2, 2, 2), ("", 3, 3, 3, 3)], ["b", "q"]),
+        ([(None, 1, 1, 1, 1), ("b", 2, None, 2, 2), (None, 4, 4, 4, 4)], ["b", "q"]),
+        ([], ["b"]),
+        (None, ["b"]),
+    ]
+    pages = spark.createDataFrame([(i, lines, [(str(k), v) for k, v in enumerate(values)]) for i, (lines, values) in enumerate(cases)], "i int, lines array<struct<text string, x int, y int, w int, h int>>, fields array<struct<field_type string, value string>>")
+    got = {r.i: [tuple(b) for b in r.b] for r in pages.select("i", extract.value_boxes(pages).alias("b")).collect()}
+    assert got == {i: [(str(k), *box(lines, v)) for k, v in enumerate(values)] for i, (lines, values) in enumerate(cases)}
+
+
+def test_pages_without_an_exchange_are_the_pages_of_lines(spark):
+    from pagemill.sources import files
+
+    ours, theirs = registry._paged(spark, SF), files.pages_of_lines(registry._lined(spark, SF))
+    rows = lambda pages: {(r.doc_id, r.full_text, *r.lines) for r in pages.select("doc_id", "full_text", "lines").collect()}
+    assert rows(ours) == rows(theirs) and rows(ours)
+
+
 def test_nothing_else_needs_the_corpus_package():
     import subprocess
     import sys
