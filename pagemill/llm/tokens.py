@@ -12,10 +12,11 @@ A null text is empty and has just the end id.  Repeated rows are encoded as
 often as they occur; an empty table gives no file.  A special token's string
 in a text is that token, as the tokenizer's default is.
 
-A byte-level tokenizer's pre-tokens are cut by its own pattern, spelled out for
-Latin text (``CUT``), and each is encoded by the tokenizer's model; those in use
-are remembered, twice ``CACHE`` a worker.  Texts with other characters (see
-``plain``) or with special tokens, and other tokenizers, are encoded whole.
+A byte-level tokenizer's pre-tokens are cut by its own pattern, worked out for
+Latin text on the bytes of many texts at once (``cuts``), and each distinct one
+is encoded by the tokenizer's model; the last in use are remembered, ``CACHE`` a
+worker.  Texts with other characters (see ``plain``) or with special tokens, and
+other tokenizers, are encoded whole.
 Extra columns are ignored; a very long text is one document of one shard; doc_ids
 are integers.  The shared folder is one that pyarrow can open as well as Spark.
 """
@@ -25,11 +26,12 @@ from __future__ import annotations
 import json
 import re
 import zlib
-from array import array
 from codecs import charmap_decode
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -38,15 +40,19 @@ from pyspark.sql.window import Window
 from pagemill.llm.common import lean, materialise, new_path, ship, worker_cache
 
 SHARD_TOKENS = 1 << 18
-CACHE = 150_000
-# The byte-level pattern, with the letters and numbers below U+0250.
+CACHE = 600_000
+#: Characters of texts that are cut at once, but for a longer text.
+CHARS = 1 << 22
+# The byte-level pattern's letters and numbers below U+0250.
 _LETTERS = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f"
 _NUMBERS = "0-9\xb2\xb3\xb9\xbc-\xbe"
-CUT = re.compile(f"'(?:[sdmt]|ll|ve|re)| ?[{_LETTERS}]+| ?[{_NUMBERS}]+| ?[^\\s{_LETTERS}{_NUMBERS}]+|\\s+(?!\\S)|\\s+")
 #: All but Latin and marks that are neither letters, numbers nor spaces.
 OTHER = re.compile("[^\x00-\u024f\u2010-\u2027\u2030-\u205e\u20a0-\u20bf]")
 #: Characters that regex engines class differently.
 CONTROLS = "\x1c\x1d\x1e\x1f\x85"
+#: Ends a text where many are cut at once; one of CONTROLS, so in none of them.
+STOP = b"\x1c"
+_MARK, _LETTER, _NUMBER, _SPACE, _STOP = range(5)
 MAGIC = b"PMWAVE01"
 STEP = 512
 
@@ -229,30 +235,59 @@ def _visible_bytes() -> str:
     return "".join(chr(b if b in shown else 256 + hidden.index(b)) for b in range(256))
 
 
-class _Recent(dict):
-    """Values made once and kept while in use: what is asked for again while
-    ``CACHE`` other keys pass moves to the next generation, the rest goes."""
+def _kind(char: str) -> int:
+    if char == STOP.decode():
+        return _STOP
+    return next((k for k, of in ((_LETTER, _LETTERS), (_NUMBER, _NUMBERS), (_SPACE, r"\s")) if re.match(f"[{of}]", char)), _MARK)
 
-    def __init__(self):
-        self.before = {}
 
-    def __missing__(self, key: str) -> bytes:
-        data = self.before.get(key)
-        if data is None:
-            data = self.made(key)
-        if len(self) >= CACHE:
-            self.before = dict(self)
-            self.clear()
-        self[key] = data
-        return data
+#: Kinds of the characters below U+0250, and of bytes (not ASCII: a mark until looked at).
+KINDS = np.array([_kind(chr(c)) for c in range(0x250)], np.uint8)
+BYTE_KINDS = np.concatenate([KINDS[:128], np.full(128, _MARK, np.uint8)])
 
 
-class _Words(_Recent):
-    """Ids of a pre-token, by the tokenizer's model."""
+def cuts(data: np.ndarray) -> np.ndarray:
+    """Where pre-tokens start in the bytes of plain texts, STOP after each text.
 
-    def __init__(self, tok, code: str):
-        super().__init__()
-        model, self.code, self.table = tok.model, code, _visible_bytes()
+    As the pattern has it: 's 't 'm 'd 'll 've 're, or letters, or numbers, or marks,
+    the last three with the one blank before them; else space, of which the last
+    character stands alone if anything but space follows.
+    """
+    kind = BYTE_KINDS[data]
+    far = np.flatnonzero(data >= 0x80)
+    lead = far[(data[far] >= 0xC0) & (data[far] < 0xE0)]
+    kind[lead] = KINDS[(data[lead] & 31).astype(np.int64) << 6 | data[lead + 1] & 63]
+    tail = far[data[far] < 0xC0]
+    kind[tail] = kind[tail - 1]
+    start = kind == _STOP
+    start[0] = True
+    start[1:] |= kind[1:] != kind[:-1]
+    space = kind == _SPACE
+    last = np.flatnonzero(space[:-1] & ~space[1:] & (kind[1:] != _STOP))
+    start[last[data[last] == ord(" ")] + 1] = False
+    start[last - (data[last] >= 0x80)] = True  # a no-break space has two bytes
+    quote = np.flatnonzero(data[:-2] == ord("'"))
+    quote = quote[start[quote] & (kind[quote + 1] == _LETTER)]
+    one, two = data[quote + 1], data[quote + 2]
+    short = quote[np.isin(one, list(b"sdmt"))]
+    long = quote[(one == ord("l")) & (two == ord("l")) | np.isin(one, list(b"vr")) & (two == ord("e"))]
+    start[short + 1] = start[long + 1] = False
+    start[short + 2] = start[long + 3] = True
+    return np.flatnonzero(start)
+
+
+class _Words:
+    """Ids of pre-tokens, by the tokenizer's model; the last in use are remembered.
+
+    STOP stands for the end id, in row 0.  The ids of row r are
+    pool[bounds[r]:bounds[r + 1]].
+    """
+
+    def __init__(self, tok, kind: type, end_id: int):
+        model, self.kind, self.table = tok.model, kind, _visible_bytes()
+        self.known = pa.array([STOP], pa.large_binary())
+        self.pool, self.bounds = np.array([end_id], kind), np.array([0, 1])
+        self.used, self.turn = np.zeros(1, np.int64), 0
         if hasattr(model, "_resize_cache"):
             model._resize_cache(0)  # words are remembered here; theirs costs more than it saves
         self.tokenize = model.tokenize
@@ -261,12 +296,58 @@ class _Words(_Recent):
         cut = told["pre_tokenizer"] or {}
         self.own = told["model"]["type"] == "BPE" and not told["normalizer"] and cut.get("type") == "ByteLevel" and cut.get("use_regex", True) and not cut["add_prefix_space"]
 
-    def made(self, word: str) -> bytes:
-        shown = charmap_decode(word.encode(), "strict", self.table)[0]
-        return array(self.code, [t.id for t in self.tokenize(shown)]).tobytes()
+    def made(self, word: bytes) -> list[int]:
+        return [t.id for t in self.tokenize(charmap_decode(word, "strict", self.table)[0])]
+
+    def rows(self, words: pa.Array) -> np.ndarray:
+        """The rows of distinct pre-tokens; the model makes those not remembered."""
+        found = pc.index_in(words, value_set=self.known)
+        new = words.filter(found.is_null())
+        rows = found.fill_null(0).to_numpy().astype(np.int64)
+        if len(new):
+            rows[found.is_null().to_numpy(zero_copy_only=False)] = np.arange(len(self.known), len(self.known) + len(new))
+            ids = [self.made(w) for w in new.to_pylist()]
+            self._append(new, np.fromiter(map(len, ids), np.int64, len(ids)), np.fromiter(chain.from_iterable(ids), self.kind))
+        self.turn += 1
+        self.used[rows] = self.turn
+        return rows
+
+    def _append(self, words: pa.Array, sizes: np.ndarray, ids: np.ndarray) -> None:
+        self.known = pa.concat_arrays([self.known, words])
+        self.pool = np.concatenate([self.pool, ids])
+        self.bounds = np.concatenate([self.bounds, self.bounds[-1] + np.cumsum(sizes)])
+        self.used = np.concatenate([self.used, np.zeros(len(sizes), np.int64)])
+
+    def _forget(self) -> None:
+        """Keep row 0 and the last used half of CACHE."""
+        rows = np.concatenate([[0], np.sort(1 + np.argsort(-self.used[1:], kind="stable")[: CACHE // 2])])
+        self.pool, sizes = self._ids(rows)
+        self.bounds = np.concatenate([[0], np.cumsum(sizes)])
+        self.known, self.used = self.known.take(pa.array(rows)), self.used[rows]
+
+    def _ids(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of rows, one after the other, and how many each has."""
+        sizes = np.diff(self.bounds)[rows]
+        ends = np.cumsum(sizes)
+        at = np.repeat(self.bounds[rows] - (ends - sizes), sizes)
+        at += np.arange(len(at))
+        return self.pool[at], sizes
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of plain texts, the end id last."""
+        data = STOP.join([b"", *[t.encode() for t in texts], b""])
+        seen = np.frombuffer(data, np.uint8)
+        starts = np.append(cuts(seen), len(seen))
+        words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts) - 1, [None, pa.py_buffer(starts), pa.py_buffer(data)]).dictionary_encode()
+        rows = self.rows(words.dictionary)[words.indices.to_numpy()]
+        flat, sizes = self._ids(rows)
+        upto = np.cumsum(sizes)[rows == 0].tolist()
+        if len(self.known) > CACHE:
+            self._forget()
+        return [flat[a:b] for a, b in zip(upto, upto[1:])]
 
     def plain(self, text: str) -> bool:
-        """Whether ``CUT`` cuts a text as the tokenizer does."""
+        """Whether ``cuts`` cuts a text as the tokenizer does."""
         if not self.own or any(m in text for m in self.marks) or any(c in text for c in CONTROLS):
             return False
         try:
@@ -281,17 +362,12 @@ def encode_texts(texts: list[str], path: str, end_id: int) -> list[np.ndarray]:
     tok = tokenizer(path)
     kind = np.uint16 if tok.get_vocab_size() <= 1 << 16 else np.uint32
     cache = worker_cache()
-    if ("words", path) not in cache:
-        cache["words", path] = _Words(tok, np.dtype(kind).char)
-    words = cache["words", path]
-    get, end, out = words.__getitem__, np.array([end_id], kind).tobytes(), []
-    for text in texts:
-        if words.plain(text):
-            data = b"".join(map(get, CUT.findall(text)))
-        else:
-            data = np.array(tok.encode(text, add_special_tokens=False).ids, kind).tobytes()
-        out.append(np.frombuffer(data + end, kind))
-    return out
+    if ("words", path, end_id) not in cache:
+        cache["words", path, end_id] = _Words(tok, kind, end_id)
+    words = cache["words", path, end_id]
+    plain = [words.plain(t) for t in texts]
+    cut = iter(words.encode([t for t, p in zip(texts, plain, strict=True) if p]) if any(plain) else ())
+    return [next(cut) if p else np.array([*tok.encode(t, add_special_tokens=False).ids, end_id], kind) for t, p in zip(texts, plain, strict=True)]
 
 
 def _open(folder: str):
@@ -325,7 +401,7 @@ def _writer(folder: str, path: str, end_id: int, shard_tokens: int):
             at = 0
             while at < len(texts):
                 upto, chars = at, 0
-                while upto < len(texts) and (upto == at or chars < 1 << 20):
+                while upto < len(texts) and (upto == at or chars < CHARS):
                     chars += len(texts[upto] or "")
                     upto += 1
                 for d, x in zip(docs[at:upto], encode_texts([t or "" for t in texts[at:upto]], path, end_id), strict=True):

@@ -24,6 +24,39 @@ def test_pieces_encode_as_whole_texts():
     assert [list(map(int, x)) for x in tokens.encode_texts(texts, PATH, 2)] == want
 
 
+def own_words():
+    """No words remembered from other tests."""
+    cache = tokens.worker_cache()
+    for key in [k for k in cache if isinstance(k, tuple)]:
+        del cache[key]
+
+
+def test_words_in_use_are_asked_of_the_model_once(monkeypatch):
+    own_words()
+    made, asked = tokens._Words.made, []
+    monkeypatch.setattr(tokens._Words, "made", lambda self, word: asked.append(word) or made(self, word))
+    texts = [" ".join(f"w{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676 % 26)}{chr(97 + i // 17576)}" for i in range(k, k + 1000)) for k in range(0, 400_000, 1000)]
+    for _ in range(2):
+        for k in range(0, len(texts), 50):
+            tokens.encode_texts(texts[k : k + 50], PATH, 2)
+    assert len(asked) == len(set(asked)) >= 400_000
+    own_words()
+
+
+def test_texts_cut_together_encode_as_whole_texts(monkeypatch):
+    own_words()
+    rng = random.Random(5)
+    parts = ["a", "b", "Cé", "1", "²", "½", ".", "!", "'", "’", "×", "÷", "€", " ", "\xa0", "\n", "\t", "\r", "\x0b", "\x0c", "'s", "'S", "'ll", "'ve", "'re", "'r", "'t", "'m", "'d", "l", "e", "s", "ª", "ɏ", "_", "—", "\n\n", " \n", "\n ", "\x7f", "\x00"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(30))) for _ in range(20_000)]
+    want = [e.ids + [7] for e in tokens.tokenizer(PATH).encode_batch(texts, add_special_tokens=False)]
+    assert [x.tolist() for x in tokens.encode_texts(texts, PATH, 7)] == want
+    monkeypatch.setattr(tokens, "CACHE", 40)  # forgets much of the time
+    got = [x.tolist() for k in range(0, len(texts), 10) for x in tokens.encode_texts(texts[k : k + 10], PATH, 7)]
+    words = tokens.worker_cache()["words", PATH, 7]
+    assert got == want and all(map(words.plain, texts)) and len(words.known) <= 40
+    own_words()
+
+
 @pytest.mark.parametrize("n,symbols", [(0, 1), (1, 1), (511, 2), (512, 3), (5000, 700)])
 def test_wavelet_answers(n, symbols):
     ids = np.random.default_rng(n).integers(0, symbols, n).astype(np.uint16) * 7
