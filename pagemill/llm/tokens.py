@@ -40,9 +40,11 @@ from pyspark.sql.window import Window
 from pagemill.llm.common import lean, materialise, new_path, ship, worker_cache
 
 SHARD_TOKENS = 1 << 18
-CACHE = 600_000
+CACHE = 400_000
 #: Characters of texts that are cut at once, but for a longer text.
-CHARS = 1 << 22
+CHARS = 1 << 21
+#: Pre-tokens whose ids are gathered at once.
+BLOCK = 1 << 16
 # The byte-level pattern's letters and numbers below U+0250.
 _LETTERS = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f"
 _NUMBERS = "0-9\xb2\xb3\xb9\xbc-\xbe"
@@ -327,11 +329,14 @@ class _Words:
 
     def _ids(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of rows, one after the other, and how many each has."""
-        sizes = np.diff(self.bounds)[rows]
-        ends = np.cumsum(sizes)
-        at = np.repeat(self.bounds[rows] - (ends - sizes), sizes)
-        at += np.arange(len(at))
-        return self.pool[at], sizes
+        each, parts = np.diff(self.bounds), []
+        for low in range(0, len(rows), BLOCK):
+            some = rows[low : low + BLOCK]
+            sizes = each[some]
+            at = np.repeat(self.bounds[some] - (np.cumsum(sizes) - sizes), sizes)
+            at += np.arange(len(at))
+            parts.append(self.pool[at])
+        return np.concatenate(parts), each[rows]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of plain texts, the end id last."""
@@ -344,6 +349,8 @@ class _Words:
         upto = np.cumsum(sizes)[rows == 0].tolist()
         if len(self.known) > CACHE:
             self._forget()
+        del words
+        pa.default_memory_pool().release_unused()  # the tables of both searches
         return [flat[a:b] for a, b in zip(upto, upto[1:])]
 
     def plain(self, text: str) -> bool:
@@ -397,14 +404,16 @@ def _writer(folder: str, path: str, end_id: int, shard_tokens: int):
 
         for batch in batches:
             docs = batch.column(0).to_pylist()
-            texts = batch.column(1).to_pylist()
+            texts = batch.column(1)
+            sizes = pc.fill_null(pc.utf8_length(texts), 0).to_pylist()
             at = 0
-            while at < len(texts):
+            while at < len(docs):
                 upto, chars = at, 0
-                while upto < len(texts) and (upto == at or chars < CHARS):
-                    chars += len(texts[upto] or "")
+                while upto < len(docs) and (upto == at or chars < CHARS):
+                    chars += sizes[upto]
                     upto += 1
-                for d, x in zip(docs[at:upto], encode_texts([t or "" for t in texts[at:upto]], path, end_id), strict=True):
+                some = [t or "" for t in texts.slice(at, upto - at).to_pylist()]
+                for d, x in zip(docs[at:upto], encode_texts(some, path, end_id), strict=True):
                     rows.append(d)
                     ids.append(x)
                     size += len(x)
